@@ -1,0 +1 @@
+"""Deliberately empty: every input is a batch table; the incremental path is ``sources.upsert``."""
