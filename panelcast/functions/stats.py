@@ -112,7 +112,7 @@ def binomial_test(hits: Column, n: Column, p: float, confidence: float = 0.95) -
     return run(hits.cast("bigint"), n.cast("bigint"))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def normal_cdf(z: pd.Series) -> pd.Series:
     erf = np.frompyfunc(math.erf, 1, 1)
     v = z.to_numpy(dtype="float64", na_value=np.nan)
