@@ -205,7 +205,7 @@ def target_inputs(spark, d):
 
 @query(
     "tolerance_join",
-    f"""WITH {pn.PANEL}, raw AS (SELECT o_orderpriority AS entity, {Q_ORD} AS q_idx, round(avg(o_totalprice) / 997, 3) AS exact FROM orders GROUP BY 1, 2)
+    f"""WITH {pn.PANEL}, raw AS (SELECT o_orderpriority AS entity, {Q_ORD} AS q_idx, round(avg(o_totalprice) / 997, 2) AS exact FROM orders GROUP BY 1, 2)
         SELECT p.entity, p.q_idx, {r('value', 'value')}, {r('exact', 'exact', 6)} FROM panel p JOIN raw USING (entity, q_idx)
         WHERE abs(value - exact) <= 1e-8 + 1e-5 * abs(exact)""",
 )
@@ -213,7 +213,7 @@ def tolerance_join(spark, d):
     """Equal keys and values equal within the float tolerance."""
     o = pn.table(spark, d, "orders")
     raw = o.groupBy(F.col("o_orderpriority").alias("entity"), cal.q_idx("o_orderdate").alias("q_idx")).agg(
-        F.round(F.avg("o_totalprice") / 997, 3).alias("exact")
+        F.round(F.avg("o_totalprice") / 997, 2).alias("exact")
     )
     p = pn.order_panel(spark, d).select("entity", "q_idx", "value")
     return align.join_close(p, raw, [*K, "q_idx"], "value", "exact")
