@@ -152,37 +152,53 @@ def rolling_fixed_step_mse(df: DataFrame, keys: list[str], value: str, start: in
 def common_grid(pred: DataFrame, keys: list[str]) -> DataFrame:
     """Rows of (origin, target, horizon) cells that every model of the entity has.
 
-    Only complete rows count, and the number of models is taken among complete rows.
+    Only complete rows count, and the number of models is taken among complete rows. With keys both
+    counts are windows over the entity's partition (models x horizons x origins rows), so the backtest's
+    own partitioning is reused and nothing is shuffled again.
     """
     complete = pred.dropna(subset=["actual", "forecast", "error"])
-    cells = complete.groupBy(*keys, *GRID).agg(F.count_distinct("model").alias("_m"))
-    models = complete.groupBy(*keys).agg(F.count_distinct("model").alias("_all"))
-    full = cells.join(models, keys) if keys else cells.crossJoin(models)
-    keep = full.where(F.col("_m") == F.col("_all")).select(*keys, *GRID)
-    return complete.join(keep, [*keys, *GRID], "left_semi")
+    if keys:
+        models = lambda by: F.size(F.collect_set("model").over(W.partitionBy(*by)))
+        counted = complete.withColumns({"_all": models(keys), "_m": models([*keys, *GRID])})
+        return counted.where(F.col("_m") == F.col("_all")).drop("_all", "_m")
+    cells = complete.groupBy(*GRID).agg(F.count_distinct("model").alias("_m"))
+    total = complete.agg(F.count_distinct("model").alias("_all"))
+    keep = cells.crossJoin(total).where(F.col("_m") == F.col("_all")).select(*GRID)
+    return complete.join(keep, GRID, "left_semi")
 
 
-def _with_overall(detail: DataFrame, ids: list[str], sums: list[str]) -> DataFrame:
-    """Per-horizon sums plus one overall row per id (horizon NULL), added on the reduced table."""
-    overall = detail.groupBy(*ids).agg(*[F.sum(c).alias(c) for c in sums]).withColumn(
-        "horizon", F.lit(None).cast("int")
+def with_overall(detail: DataFrame, ids: list[str], sums: list[str], sets: tuple[str, ...] = ()) -> DataFrame:
+    """Per-horizon rows plus one overall row per id (horizon NULL): sums added, array columns united.
+
+    The few horizon rows of an id travel as one array, so the input is evaluated once.
+    """
+    kept = [*sums, *sets]
+    overall = [F.sum(c).alias(f"_{c}") for c in sums] + [
+        F.array_distinct(F.flatten(F.collect_list(c))).alias(f"_{c}") for c in sets
+    ]
+    packed = detail.groupBy(*ids).agg(
+        F.collect_list(F.struct(F.col("horizon").cast("int").alias("horizon"), *kept)).alias("_h"), *overall
     )
-    return detail.withColumn("horizon", F.col("horizon").cast("int")).unionByName(overall).withColumn(
-        "grain", F.when(F.col("horizon").isNull(), "overall").otherwise("horizon")
+    total = F.struct(F.lit(None).cast("int").alias("horizon"), *[F.col(f"_{c}").alias(c) for c in kept])
+    rows = packed.select(*ids, F.inline(F.concat("_h", F.array(total))))
+    return rows.withColumn("grain", F.when(F.col("horizon").isNull(), "overall").otherwise("horizon"))
+
+
+def _errors_by_horizon(pred: DataFrame, keys: list[str], *extra: Column) -> DataFrame:
+    e = F.col("error")
+    return pred.where(e.isNotNull()).groupBy(*keys, "model", "horizon").agg(
+        F.count(e).alias("n"), F.sum(e * e).alias("sse"), F.sum(F.abs(e)).alias("sae"), *extra
     )
 
 
+RMSE = "sqrt(sse / n) AS rmse"
+MAE = "sae / n AS mae"
+
+
 def metric_table(pred: DataFrame, keys: list[str]) -> DataFrame:
     """n, RMSE and MAE per model, overall and per horizon."""
-    e = F.col("error")
-    detail = pred.where(e.isNotNull()).groupBy(*keys, "model", "horizon").agg(
-        F.count(e).alias("n"), F.sum(e * e).alias("_sse"), F.sum(F.abs(e)).alias("_sae")
-    )
-    both = _with_overall(detail, [*keys, "model"], ["n", "_sse", "_sae"])
-    return both.select(
-        *keys, "model", "grain", "horizon", "n", F.sqrt(F.col("_sse") / F.col("n")).alias("rmse"),
-        (F.col("_sae") / F.col("n")).alias("mae"),
-    )
+    both = with_overall(_errors_by_horizon(pred, keys), [*keys, "model"], ["n", "sse", "sae"])
+    return both.selectExpr(*keys, "model", "grain", "horizon", "n", RMSE, MAE)
 
 
 def horizon_label(horizons: Column) -> Column:
@@ -197,25 +213,18 @@ def horizon_label(horizons: Column) -> Column:
     )
 
 
-def with_grid_metadata(
-    metrics: DataFrame, pred: DataFrame, keys: list[str], grid_name: str, status: str = "evaluated",
-) -> DataFrame:
-    """Origin counts (overall and per horizon) and the evaluated horizon range of each model."""
+def metric_report(pred: DataFrame, keys: list[str], grid_name: str, status: str = "evaluated") -> DataFrame:
+    """Metric table with origin counts (overall and per horizon) and each model's evaluated horizons."""
     ids = [*keys, "model"]
-    cells = pred.groupBy(*ids, F.col("horizon").cast("int").alias("horizon")).agg(
-        F.collect_set("origin_q").alias("_o")
-    )
-    per_h = cells.select(*ids, "horizon", F.size("_o").cast("bigint").alias("forecast_origin_n"))
-    overall = cells.groupBy(*ids).agg(
-        F.size(F.array_distinct(F.flatten(F.collect_list("_o")))).cast("bigint").alias("_all_n"),
-        horizon_label(F.array_sort(F.collect_set("horizon"))).alias("evaluated_horizons"),
+    h = F.col("horizon").cast("int")
+    detail = _errors_by_horizon(pred, keys, F.collect_set("origin_q").alias("origins")).withColumn(
+        "horizons", F.array(h)
     )
-    out = metrics.join(overall, ids, "left").join(per_h, [*ids, "horizon"], "left")
-    return out.select(
-        *metrics.columns, F.lit(grid_name).alias("comparison_grid"), F.lit(status).alias("evaluation_status"),
-        F.when(F.col("grain") == "overall", F.col("_all_n")).otherwise(F.col("forecast_origin_n")).alias(
-            "forecast_origin_n"
-        ),
+    both = with_overall(detail, ids, ["n", "sse", "sae"], ("origins", "horizons"))
+    span = F.max(F.when(F.col("grain") == "overall", horizon_label(F.array_sort("horizons"))))
+    return both.withColumn("evaluated_horizons", span.over(W.partitionBy(*ids))).select(
+        *ids, "grain", "horizon", "n", F.expr(RMSE), F.expr(MAE), F.lit(grid_name).alias("comparison_grid"),
+        F.lit(status).alias("evaluation_status"), F.size("origins").cast("bigint").alias("forecast_origin_n"),
         "evaluated_horizons",
     )
 
@@ -239,7 +248,7 @@ def model_comparison(
 ) -> DataFrame:
     """Common grid, metrics, grid metadata and best model in one report."""
     common = common_grid(stack_predictions(preds), keys)
-    table = with_grid_metadata(metric_table(common, keys), common, keys, grid_name)
+    table = metric_report(common, keys, grid_name)
     hs = sorted(horizons)
     label = (
         str(hs[0]) if len(hs) == 1

@@ -12,7 +12,7 @@ from pyspark.sql import Window as W
 
 from panelcast.functions.numeric import close
 from panelcast.functions.stats import binomial_test
-from panelcast.operators.backtest import _with_overall
+from panelcast.operators.backtest import with_overall
 from panelcast.operators.skew import exact_quantiles
 
 # Side distances up to this count as zero; rolling window and minimum score count.
@@ -144,12 +144,12 @@ def coverage_counts(ivl: DataFrame, keys: list[str]) -> DataFrame:
     """n, hits and mean width per model, overall and per horizon."""
     rows = ivl.dropna(subset=["hit", "interval_width"])
     detail = rows.groupBy(*keys, "model", "horizon").agg(
-        F.count(F.lit(1)).alias("n"), F.count_if("hit").alias("hits"), F.sum("interval_width").alias("_w")
+        F.count(F.lit(1)).alias("n"), F.count_if("hit").alias("hits"), F.sum("interval_width").alias("w")
     )
-    both = _with_overall(detail, [*keys, "model"], ["n", "hits", "_w"])
+    both = with_overall(detail, [*keys, "model"], ["n", "hits", "w"])
     return both.select(
         *keys, "model", "grain", "horizon", "n", "hits", (F.col("hits") / F.col("n")).alias("empirical_coverage"),
-        (F.col("_w") / F.col("n")).alias("mean_interval_width"),
+        (F.col("w") / F.col("n")).alias("mean_interval_width"),
     )
 
 

@@ -67,9 +67,13 @@ def coverage_profile(df: DataFrame, keys: list[str], cols: list[str], material:
     stats = []
     for c in cols:
         filled = F.when(F.col(c).isNotNull(), F.col("q_idx"))
-        stats.append(F.struct(F.count(c).alias("n"), F.min(filled).alias("a"), F.max(filled).alias("b")).alias(c))
-    agg = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"), F.min("q_idx").alias("_start"), *stats)
-    long = agg.unpivot([*keys, "_rows", "_start"], cols, "variable", "_s")
+        stats.append(
+            F.struct(F.lit(c).alias("variable"), F.count(c).alias("n"), F.min(filled).alias("a"), F.max(filled).alias("b"))
+        )
+    agg = df.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("_rows"), F.min("q_idx").alias("_start"), F.array(*stats).alias("_all")
+    )
+    long = agg.select(*keys, "_rows", "_start", F.explode("_all").alias("_s")).withColumn("variable", F.col("_s.variable"))
     n, rows = F.col("_s.n"), F.col("_rows")
     share = n / rows
     return long.select(

@@ -180,7 +180,7 @@ def check_columns(df: DataFrame, keys: list[str], cols: list[str], limit: float
     long = agg.unpivot([*keys, "_n"], cols, "variable", "rows")
     missing = F.col("_n") - F.col("rows")
     share = F.coalesce(F.try_divide(missing.cast("double"), F.col("_n")), F.lit(1.0))
-    note = F.concat(F.format_number(share * 100, "0.0"), F.lit("% missing after quarterly merge"))
+    note = F.format_string("%.1f%% missing after quarterly merge", share * 100)
     return long.select(
         *keys, "variable", F.when(share > limit, "WARNING").otherwise("PASS").alias("status"), "rows",
         missing.alias("missing_values"), F.when(share > limit, note).otherwise(F.lit(OK)).alias("notes"),
