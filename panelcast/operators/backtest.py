@@ -167,19 +167,22 @@ def common_grid(pred: DataFrame, keys: list[str]) -> DataFrame:
     return complete.join(keep, GRID, "left_semi")
 
 
-def with_overall(detail: DataFrame, ids: list[str], sums: list[str], sets: tuple[str, ...] = ()) -> DataFrame:
-    """Per-horizon rows plus one overall row per id (horizon NULL): sums added, array columns united.
+def with_overall(
+    detail: DataFrame, ids: list[str], sums: list[str], sets: tuple[str, ...] = (), horizon_only: tuple[str, ...] = (),
+) -> DataFrame:
+    """Per-horizon rows plus one overall row per id (horizon NULL): sums added, array columns united,
+    ``horizon_only`` columns left missing.
 
     The few horizon rows of an id travel as one array, so the input is evaluated once.
     """
-    kept = [*sums, *sets]
+    kept, blank = [*sums, *sets], [F.lit(None).cast(detail.schema[c].dataType).alias(c) for c in horizon_only]
     overall = [F.sum(c).alias(f"_{c}") for c in sums] + [
         F.array_distinct(F.flatten(F.collect_list(c))).alias(f"_{c}") for c in sets
     ]
     packed = detail.groupBy(*ids).agg(
-        F.collect_list(F.struct(F.col("horizon").cast("int").alias("horizon"), *kept)).alias("_h"), *overall
+        F.collect_list(F.struct(F.col("horizon").cast("int").alias("horizon"), *kept, *horizon_only)).alias("_h"), *overall
     )
-    total = F.struct(F.lit(None).cast("int").alias("horizon"), *[F.col(f"_{c}").alias(c) for c in kept])
+    total = F.struct(F.lit(None).cast("int").alias("horizon"), *[F.col(f"_{c}").alias(c) for c in kept], *blank)
     rows = packed.select(*ids, F.inline(F.concat("_h", F.array(total))))
     return rows.withColumn("grain", F.when(F.col("horizon").isNull(), "overall").otherwise("horizon"))
 

@@ -118,23 +118,17 @@ def residual_paths(
     rows = resid.where(F.col("horizon").isin(*horizons) & F.col("residual").isNotNull())
     full = rows.groupBy(*keys, "origin_q").agg(
         F.count_distinct("horizon").alias("_h"),
-        F.map_from_entries(F.collect_list(F.struct("horizon", "residual"))).alias("_r"),
+        F.array_sort(F.collect_list(F.struct("horizon", "residual"))).alias("_r"),
     ).where(F.col("_h") == need)
-    med = full.select(*keys, F.explode("_r").alias("horizon", "_v")).groupBy(*keys, "horizon").agg(
-        F.median("_v").alias("_m")
-    )
-    med = med.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("horizon", "_m"))).alias("_med"))
+    # one array of whole residual rows per entity; its length is the number of origins
     packed = full.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("origin_q", "_r"))).alias("_u"))
-    both = packed.join(med, keys) if keys else packed.crossJoin(med)
-    picks = both.select(
-        *keys, "_u", "_med", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("draw_id")
-    )
+    med = full.select(*keys, F.inline("_r")).groupBy(*keys, "horizon").agg(F.median("residual").alias("_m"))
+    picks = packed.select(*keys, "_u", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("draw_id"))
     row = F.get("_u", draw_index(seed, F.col("draw_id"), F.lit(0), F.size("_u")).cast("int"))
-    drawn = picks.select(*keys, "draw_id", "_med", row["origin_q"].alias("source_q"), row["_r"].alias("_r"))
-    long = drawn.select(*keys, "draw_id", "source_q", "_med", F.explode("_r").alias("horizon", "_v"))
-    centred = long.select(
-        *keys, "draw_id", "source_q", "horizon",
-        (F.col("_v") - F.element_at("_med", F.col("horizon"))).alias("_e"),
+    drawn = picks.select(*keys, "draw_id", row["origin_q"].alias("source_q"), row["_r"].alias("_r"))
+    long = drawn.select(*keys, "draw_id", "source_q", F.inline("_r"))
+    centred = long.join(med, [*keys, "horizon"]).select(
+        *keys, "draw_id", "source_q", "horizon", (F.col("residual") - F.col("_m")).alias("_e")
     )
     j = centred.join(point.select(*keys, "horizon", "forecast"), [*keys, "horizon"])
     return j.select(

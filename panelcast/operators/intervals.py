@@ -13,7 +13,7 @@ from pyspark.sql import Window as W
 from panelcast.functions.numeric import close
 from panelcast.functions.stats import binomial_test
 from panelcast.operators.backtest import with_overall
-from panelcast.operators.skew import exact_quantiles
+from panelcast.operators.skew import bounded_quantiles, exact_quantiles
 
 # Side distances up to this count as zero; rolling window and minimum score count.
 ZERO_SIDE = 1e-12
@@ -34,13 +34,16 @@ def nonconformity(actual: Column, point: Column, lower: Column, upper: Column) -
 
 def score_intervals(
     draws: DataFrame, actuals: DataFrame, keys: list[str], lo: float = 0.1, hi: float = 0.9, value: str = "value",
+    bounded: bool = False,
 ) -> DataFrame:
     """Percentile interval and median of each (model, origin, horizon) group of draws, scored.
 
-    ``actuals`` has (keys, target_q, actual).
+    ``actuals`` has (keys, target_q, actual). ``bounded`` says that the number of draws per group is fixed
+    by the simulation, which allows a single aggregation.
     """
     ids = [*keys, "model", "origin_q", "horizon"]
-    q = exact_quantiles(
+    quantiles = bounded_quantiles if bounded else exact_quantiles
+    q = quantiles(
         draws, ids, value, {"interval_lower": lo, "point_forecast": 0.5, "interval_upper": hi}
     ).withColumn("target_q", (F.col("origin_q") + F.col("horizon")).cast("int"))
     return with_scores(q.join(actuals.select(*keys, "target_q", "actual"), [*keys, "target_q"]))
@@ -68,31 +71,45 @@ def _finite_scores(c: str = "nonconformity_score") -> Column:
     return F.collect_list(F.when(~F.isnan(v) & (v < _inf()), v))
 
 
-def rolling_factors(
+def with_rolling_factors(
     ivl: DataFrame, keys: list[str], coverage: float, window: int | None = WINDOW_QUARTERS,
     min_scores: int = MIN_SCORES,
 ) -> DataFrame:
-    """Scale factor per (model, origin, horizon) from scores whose target quarter was known at the origin.
+    """Interval rows plus the factor built from scores whose target quarter was known at their origin.
 
-    Scores enter at their target quarter, origins ask at theirs; a range frame over the merged stream
-    collects the last ``window`` target quarters, pooled over horizons, in one shuffle and no self-join.
-    Origins with fewer than ``min_scores`` finite scores get no row.
+    Every row enters one stream per model twice: its score at its target quarter and its question at its
+    origin quarter. A range frame over that stream pools the scores of the last ``window`` target
+    quarters over all horizons: one evaluation of the input, one shuffle, no self-join. Fewer than
+    ``min_scores`` finite scores leave the factor NULL.
     """
     ids = [*keys, "model"]
-    known = ivl.groupBy(*ids, F.col("target_q").alias("_t")).agg(_finite_scores().alias("_s"))
-    none = F.array().cast("array<int>")
-    asked = ivl.groupBy(*ids, F.col("origin_q").alias("_t")).agg(F.collect_set("horizon").alias("_h"))
-    stream = known.select(*ids, "_t", "_s", none.alias("_h")).unionByName(
-        asked.select(*ids, "_t", F.array().cast("array<double>").alias("_s"), F.col("_h").cast("array<int>"))
+    row = F.struct(*[c for c in ivl.columns if c not in ids])
+    v = F.col("nonconformity_score").cast("double")
+    score = F.when(~F.isnan(v) & (v < _inf()), v)
+    events = F.array(
+        F.struct(F.col("target_q").alias("_t"), score.alias("_s"), F.lit(False).alias("_ask"), row.alias("_row")),
+        F.struct(F.col("origin_q").alias("_t"), F.lit(None).cast("double").alias("_s"), F.lit(True).alias("_ask"), row.alias("_row")),
     )
+    stream = ivl.select(*ids, F.inline(events))
     start = W.unboundedPreceding if window is None else -(window - 1)
     w = W.partitionBy(*ids).orderBy("_t").rangeBetween(start, 0)
-    pooled = stream.withColumn("_all", F.array_sort(F.flatten(F.collect_list("_s").over(w))))
-    origins = pooled.where((F.size("_h") > 0) & (F.size("_all") >= min_scores))
-    return origins.select(
-        *ids, F.col("_t").alias("origin_q"), F.explode("_h").alias("horizon"),
-        F.size("_all").cast("bigint").alias("calibration_n"), F.lit(float(coverage)).alias("target_coverage"),
-        _scale(F.col("_all"), coverage).alias("scale_factor"),
+    pooled = stream.withColumn("_all", F.collect_list("_s").over(w)).where("_ask")
+    enough = F.size("_all") >= min_scores
+    return pooled.select(
+        *ids, "_row.*", F.when(enough, F.size("_all")).cast("bigint").alias("calibration_n"),
+        F.when(enough, _scale(F.array_sort("_all"), coverage)).alias("scale_factor"),
+    )
+
+
+def rolling_factors(
+    ivl: DataFrame, keys: list[str], coverage: float, window: int | None = WINDOW_QUARTERS,
+    min_scores: int = MIN_SCORES,
+) -> DataFrame:
+    """One row per (model, origin, horizon) that has enough known scores."""
+    rows = with_rolling_factors(ivl, keys, coverage, window, min_scores)
+    return rows.where(F.col("scale_factor").isNotNull()).select(
+        *keys, "model", "origin_q", "horizon", "calibration_n", F.lit(float(coverage)).alias("target_coverage"),
+        "scale_factor",
     )
 
 
@@ -112,32 +129,39 @@ def current_factors(
         F.array_distinct(F.flatten(F.collect_list("_h"))).alias("_h"),
     )
     return pooled.where(F.size("_all") >= min_scores).select(
-        *ids, F.explode("_h").cast("int").alias("horizon"), F.size("_all").cast("bigint").alias("calibration_n"),
+        *ids, F.explode(F.col("_h").cast("array<int>")).alias("horizon"), F.size("_all").cast("bigint").alias("calibration_n"),
         F.lit(float(coverage)).alias("target_coverage"), _scale(F.col("_all"), coverage).alias("scale_factor"),
     )
 
 
-def apply_factors(ivl: DataFrame, factors: DataFrame, keys: list[str]) -> DataFrame:
-    """Scale each side of the interval around its point; rows without a usable factor stay raw.
-
-    Factors are keyed by model and horizon, and by origin when they carry one.
-    """
-    on = [*keys, "model", *(["origin_q"] if "origin_q" in factors.columns else []), "horizon"]
-    j = ivl.join(factors.select(*on, F.col("scale_factor").alias("_f")), on, "left")
-    f = F.col("_f")
+def scale_rows(rows: DataFrame, factor: str = "scale_factor") -> DataFrame:
+    """Scale each side of the interval around its point; rows without a usable factor stay raw."""
+    f = F.col(factor)
     ok = F.coalesce(f.isNotNull() & ~F.isnan(f) & (f < _inf()) & (f >= 0), F.lit(False))
     p, a = F.col("point_forecast"), F.col("actual")
-    lo = F.when(ok, p - (p - F.col("interval_lower")) * f).otherwise(F.col("interval_lower"))
-    hi = F.when(ok, p + (F.col("interval_upper") - p) * f).otherwise(F.col("interval_upper"))
-    scaled = j.withColumns({"_ok": ok, "_lo": lo, "_hi": hi})
-    keep = [c for c in ivl.columns if c not in ("interval_lower", "interval_upper", "hit", "interval_width")]
-    raw = lambda c: F.col(c) if c in ivl.columns else F.lit(None)
-    return scaled.select(
-        *keep, F.col("_lo").alias("interval_lower"), F.col("_hi").alias("interval_upper"),
-        F.when(F.col("_ok"), (F.col("_lo") <= a) & (a <= F.col("_hi"))).otherwise(raw("hit")).alias("hit"),
-        F.when(F.col("_ok"), F.col("_hi") - F.col("_lo")).otherwise(raw("interval_width")).alias("interval_width"),
-        F.col("_ok").alias("interval_calibrated"), F.col("_f").alias("interval_scale_factor"),
+    bounds = rows.withColumns(
+        {
+            "interval_calibrated": ok, "interval_scale_factor": f,
+            "interval_lower": F.when(ok, p - (p - F.col("interval_lower")) * f).otherwise(F.col("interval_lower")),
+            "interval_upper": F.when(ok, p + (F.col("interval_upper") - p) * f).otherwise(F.col("interval_upper")),
+        }
     )
+    lo, hi = F.col("interval_lower"), F.col("interval_upper")
+    raw = lambda c, new: F.when(F.col("interval_calibrated"), new).otherwise(F.col(c)) if c in rows.columns else new
+    return bounds.withColumns(
+        {"hit": raw("hit", (lo <= a) & (a <= hi)), "interval_width": raw("interval_width", hi - lo)}
+    ).drop(factor)
+
+
+def apply_factors(ivl: DataFrame, factors: DataFrame, keys: list[str]) -> DataFrame:
+    """Calibrate with a factor table keyed by model and horizon, and by origin when it carries one."""
+    on = [*keys, "model", *(["origin_q"] if "origin_q" in factors.columns else []), "horizon"]
+    return scale_rows(ivl.join(factors.select(*on, F.col("scale_factor").alias("_f")), on, "left"), "_f")
+
+
+def calibrate_rolling(ivl: DataFrame, keys: list[str], coverage: float, **kw) -> DataFrame:
+    """Intervals calibrated with what was known at each origin, without joining factors back."""
+    return scale_rows(with_rolling_factors(ivl, keys, coverage, **kw)).drop("calibration_n")
 
 
 def coverage_counts(ivl: DataFrame, keys: list[str]) -> DataFrame:
@@ -169,17 +193,12 @@ def coverage_table(
     )
 
 
-def held_out_rows(ivl: DataFrame, keys: list[str], fraction: float = 0.7) -> DataFrame:
-    """Rows of the origins after each model's calibration share; at least one origin stays held out."""
-    ids = [*keys, "model"]
-    origins = ivl.select(*ids, "origin_q").distinct()
+def held_out(origin: str, ids: list[str], fraction: float) -> tuple[Column, Column]:
+    """Rank of a row's origin among its model's origins and the last rank used for calibration."""
     w = W.partitionBy(*ids)
-    ranked = origins.withColumns(
-        {"_r": F.row_number().over(w.orderBy("origin_q")), "_n": F.count(F.lit(1)).over(w)}
-    )
-    cut = F.greatest(F.lit(1), F.least(F.col("_n") - 1, F.floor(F.col("_n") * F.lit(fraction))))
-    held = ranked.where((F.col("_n") >= 2) & (F.col("_r") > cut)).select(*ids, "origin_q")
-    return ivl.join(held, [*ids, "origin_q"], "left_semi")
+    rank = F.dense_rank().over(w.orderBy(origin))
+    n = F.size(F.collect_set(origin).over(w))
+    return rank, F.greatest(F.lit(1), F.least(n - 1, F.floor(n * F.lit(fraction))))
 
 
 def factor_summary(factors: DataFrame, keys: list[str]) -> DataFrame:
@@ -189,43 +208,42 @@ def factor_summary(factors: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def heldout_comparison(
-    ivl: DataFrame, factors: DataFrame, keys: list[str], fraction: float = 0.7, lo: float = 0.1, hi: float = 0.9,
-    tests: bool = True,
+    ivl: DataFrame, keys: list[str], fraction: float = 0.7, lo: float = 0.1, hi: float = 0.9, tests: bool = True, **kw,
 ) -> DataFrame:
-    """Coverage before and after calibration on held-out origins, side by side.
+    """Coverage before and after calibration on the origins after each model's calibration share.
 
-    ``factors`` are rolling factors, so every held-out origin is calibrated with scores known at it.
+    Every held-out origin is calibrated with scores known at it; at least one origin stays held out. Both
+    sides come from one pass over the calibrated rows, which keep their raw hit and width.
     """
-    raw_rows = held_out_rows(ivl, keys, fraction)
-    cal_rows = apply_factors(raw_rows, factors, keys)
-    on = [*keys, "model", "grain", "horizon"]
-
-    def side(rows: DataFrame, name: str) -> DataFrame:
-        if tests:
-            t = coverage_table(rows, keys, lo, hi)
-            extra = {"binom_p_value": f"{name}_binom_p_value",
-                     "significantly_miscalibrated": f"{name}_significantly_miscalibrated"}
-        else:
-            t, extra = coverage_counts(rows, keys), {}
-        cols = {"empirical_coverage": f"{name}_empirical_coverage",
-                "mean_interval_width": f"{name}_mean_interval_width", "n": f"_{name}_n", **extra}
-        return t.select(*on, *[F.col(c).alias(o) for c, o in cols.items()])
-
-    # the overall row has a NULL horizon, so the join is null-safe on that column
-    a, b = side(raw_rows, "raw").alias("a"), side(cal_rows, "calibrated").alias("b")
-    cond = F.lit(True)
-    for c in on:
-        cond = cond & F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}"))
-    right = [c for c in b.columns if c not in on]
-    j = a.join(b, cond).select("a.*", *[F.col(f"b.{c}").alias(c) for c in right])
-    held_factors = factors.join(
-        raw_rows.select(*keys, "model", "origin_q").distinct(), [*keys, "model", "origin_q"], "left_semi"
+    ids = [*keys, "model"]
+    rows = with_rolling_factors(ivl, keys, hi - lo, **kw).withColumns(
+        {"_raw_hit": F.col("hit"), "_raw_width": F.col("interval_width")}
     )
-    out = j.join(factor_summary(held_factors, keys), [*keys, "model", "horizon"], "left")
-    stats = [c for c in out.columns if c not in (*on, "calibration_n", "scale_factor", "_raw_n", "_calibrated_n")]
-    return out.select(
-        *on, "calibration_n", F.col("_raw_n").alias("validation_n"), F.lit(hi - lo).alias("target_coverage"),
-        "scale_factor", *stats,
+    rank, cut = held_out("origin_q", ids, fraction)
+    held = scale_rows(rows).withColumns({"_rank": rank, "_cut": cut}).where(F.col("_rank") > F.col("_cut"))
+    detail = held.dropna(subset=["hit", "interval_width", "_raw_hit"]).groupBy(*ids, "horizon").agg(
+        F.count(F.lit(1)).alias("n"), F.count_if("_raw_hit").alias("raw_hits"), F.sum("_raw_width").alias("raw_w"),
+        F.count_if("hit").alias("cal_hits"), F.sum("interval_width").alias("cal_w"),
+        F.median("calibration_n").alias("calibration_n"), F.avg("interval_scale_factor").alias("scale_factor"),
+    )
+    both = with_overall(
+        detail, ids, ["n", "raw_hits", "raw_w", "cal_hits", "cal_w"], horizon_only=("calibration_n", "scale_factor")
+    )
+    sides = {"raw": ("raw_hits", "raw_w"), "calibrated": ("cal_hits", "cal_w")}
+    n = F.col("n")
+    out = []
+    for name, (hits, width) in sides.items():
+        out += [
+            (F.col(hits) / n).alias(f"{name}_empirical_coverage"), (F.col(width) / n).alias(f"{name}_mean_interval_width"),
+        ]
+    if tests:
+        both = both.withColumns({f"_{s}": binomial_test(F.col(h), n, hi - lo) for s, (h, _) in sides.items()})
+        for s in sides:
+            p = F.col(f"_{s}.p_value")
+            out += [p.alias(f"{s}_binom_p_value"), (p < 0.05).alias(f"{s}_significantly_miscalibrated")]
+    return both.select(
+        *ids, "grain", "horizon", "calibration_n", n.alias("validation_n"), F.lit(hi - lo).alias("target_coverage"),
+        "scale_factor", *out,
     )
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-COARSE, FINE = 32, 32  # a hot group is cut into COARSE * FINE value ranges
+RANGE_BITS = 10  # a hot group is cut into 2 ** RANGE_BITS value ranges
 
 
 def salted_join(
@@ -57,7 +57,7 @@ def exact_quantiles(
         flagged.where(F.col("_n").isNull())
         .groupBy(*keys)
         .agg(
-            F.percentile("_v", probs, "_c").alias("_q"),
+            F.percentile("_v", probs, F.col("_c")).alias("_q"),
             F.sum("_c").alias("_n"),
         )
         .where(F.col("_n").isNotNull())
@@ -68,22 +68,28 @@ def exact_quantiles(
     return out.withColumnRenamed("_n", "n_values") if with_count else out.drop("_n")
 
 
+def bounded_quantiles(df: DataFrame, keys: list[str], value: str, quantiles: Mapping[str, float]) -> DataFrame:
+    """The same quantiles in one aggregation, for groups whose size the caller has fixed (simulation counts)."""
+    probs = [float(p) for p in quantiles.values()]
+    agg = df.where(F.col(value).isNotNull()).groupBy(*keys).agg(F.percentile(F.col(value).cast("double"), probs).alias("_q"))
+    return agg.select(*keys, *[F.col("_q")[i].alias(n) for i, n in enumerate(quantiles)])
+
+
 def _null_safe(df: DataFrame, keys: list[str]) -> DataFrame:
     return df.dropna(subset=keys) if keys else df
 
 
 def _hot_quantiles(rows: DataFrame, keys: list[str], names, probs) -> DataFrame:
-    parts = COARSE * FINE
+    parts = 1 << RANGE_BITS
     cuts = [i / parts for i in range(1, parts)]
     edges = rows.groupBy(*keys).agg(F.percentile_approx("_v", cuts, 10000).alias("_e"))
-    with_edges = salted_join(rows, edges, keys, "inner", F.xxhash64("_v"))
-    # two short scans instead of one long one: every FINE-th edge, then the FINE edges of that block
-    coarse = F.expr(f"filter(_e, (e, i) -> i % {FINE} = {FINE - 1} and e < _v)")
-    ranged = with_edges.withColumn("_b1", F.size(coarse)).withColumn(
-        "_b",
-        F.col("_b1") * FINE
-        + F.size(F.filter(F.slice("_e", F.col("_b1") * FINE + 1, FINE - 1), lambda e: e < F.col("_v"))),
-    ).drop("_e", "_b1")
+    ranged = salted_join(rows, edges, keys, "inner", F.xxhash64("_v")).withColumn("_b", F.lit(0))
+    for bit in reversed(range(RANGE_BITS)):  # binary search: one array read and comparison per step
+        step = 1 << bit
+        ranged = ranged.withColumn(
+            "_b", F.col("_b") + F.when(F.get("_e", F.col("_b") + (step - 1)) < F.col("_v"), step).otherwise(0)
+        )
+    ranged = ranged.drop("_e")
     totals = ranged.groupBy(*keys, "_b").agg(F.sum("_c").alias("_t"), F.max("_n").alias("_n"))
     starts = totals.withColumn(
         "_s",

@@ -164,7 +164,7 @@ def actuals(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def interval_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return iv.score_intervals(draws(spark, sf_dir), actuals(spark, sf_dir), K, 0.1, 0.9)
+    return iv.score_intervals(draws(spark, sf_dir), actuals(spark, sf_dir), K, 0.1, 0.9, bounded=True)
 
 
 IVL = f"""{DRAWS}, raw_ivl AS (
