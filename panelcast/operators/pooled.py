@@ -191,8 +191,8 @@ def fit_ordinal_pair(df: DataFrame, features: list[str], label: str, trees: int
             raise ValueError(f"training rows have only one outcome for {c.strip('_')}")
     make = lambda c: GBTClassifier(
         featuresCol="_x", labelCol=c, maxIter=trees, maxDepth=depth, stepSize=step, minInstancesPerNode=3,
-        subsamplingRate=0.75, seed=seed, predictionCol=f"p{c}", probabilityCol=f"q{c}", rawPredictionCol=f"r{c}",
-    )
+        subsamplingRate=0.75, seed=seed, predictionCol=f"p{c}",
+    ).setProbabilityCol(f"q{c}").setRawPredictionCol(f"r{c}")
     return assembler, make("_gt_cut").fit(data), make("_gt_hold").fit(data)
 
 

@@ -389,21 +389,24 @@ def pick_alternative(coverage: DataFrame, keys: list[str], a: str, b: str) -> Da
 
 
 def shortlist(
-    base: DataFrame, keys: list[str], ccf: DataFrame, granger: DataFrame, vifs: DataFrame, chosen: DataFrame,
+    base: DataFrame, keys: list[str], ccf: DataFrame, granger: DataFrame | None, vifs: DataFrame, chosen: DataFrame,
     coverage: DataFrame, availability: DataFrame,
 ) -> DataFrame:
     """Everything known about each candidate on one row.
 
-    All inputs are reduced to at most one row per entity and variable (or feature and lag).
+    All inputs are reduced to at most one row per entity and variable (or feature and lag). Without the
+    F-screen table its p-value column is missing everywhere.
     """
     pick = chosen.select(*keys, "variable", "feature", "feature_lag")
     at_lag = ccf.select(*keys, "variable", F.col("lag").alias("feature_lag"), F.col("correlation").alias("candidate_corr"))
-    p_at_lag = granger.select(*keys, "variable", F.col("lag").alias("feature_lag"), F.col("p_value").alias("candidate_p"))
+    known = base.join(pick, [*keys, "variable"], "left").join(at_lag, [*keys, "variable", "feature_lag"], "left")
+    if granger is None:
+        known = known.withColumn("candidate_p", F.lit(None).cast("double"))
+    else:
+        p_at_lag = granger.select(*keys, "variable", F.col("lag").alias("feature_lag"), F.col("p_value").alias("candidate_p"))
+        known = known.join(p_at_lag, [*keys, "variable", "feature_lag"], "left")
     out = (
-        base.join(pick, [*keys, "variable"], "left")
-        .join(at_lag, [*keys, "variable", "feature_lag"], "left")
-        .join(p_at_lag, [*keys, "variable", "feature_lag"], "left")
-        .join(vifs.select(*keys, F.col("variable").alias("feature"), "vif"), [*keys, "feature"], "left")
+        known.join(vifs.select(*keys, F.col("variable").alias("feature"), "vif"), [*keys, "feature"], "left")
         .join(
             coverage.select(*keys, "variable", "coverage_pct", "late_start", "substantial_missingness"),
             [*keys, "variable"], "left",
