@@ -235,13 +235,14 @@ def metric_report(pred: DataFrame, keys: list[str], grid_name: str, status: str
 def assign_best(metrics: DataFrame, keys: list[str], model_order: list[str], full_label: str) -> DataFrame:
     """Lowest-RMSE model per horizon; overall only among models evaluated on every horizon.
 
-    Ties go to the model listed first. Metric tables are already reduced, so the window over one
+    Ties go to the model listed first; they are judged at 9 decimals because distributed sums of equal
+    errors may differ in their last bits. Metric tables are already reduced, so the window over one
     (keys, horizon) cell holds one row per model.
     """
     ok = F.col("rmse").isNotNull() & (
         (F.col("grain") != "overall") | (F.col("evaluated_horizons") == full_label)
     )
-    rank = F.when(ok, F.struct(F.col("rmse"), rank_of("model", model_order), F.col("model")))
+    rank = F.when(ok, F.struct(F.round("rmse", 9), rank_of("model", model_order), F.col("model")))
     w = W.partitionBy(*keys, "grain", "horizon")
     return metrics.withColumn("best_model", F.min_by("model", rank).over(w))
 

@@ -113,7 +113,7 @@ RAGGED = f"""{pn.PRED}, ragged AS (SELECT entity, model, origin_q, target_q, hor
    detail AS (SELECT entity, model, horizon, count(*) AS n, sqrt(avg(error * error)) AS rmse, avg(abs(error)) AS mae, count(DISTINCT origin_q) AS origins FROM common
               GROUP BY GROUPING SETS ((entity, model), (entity, model, horizon))),
    metrics AS (SELECT *, CASE WHEN horizon IS NULL THEN 'overall' ELSE 'horizon' END AS grain FROM detail),
-   best AS (SELECT entity, grain, horizon, arg_min(model, rmse) AS best_model FROM metrics GROUP BY 1, 2, 3)"""
+   best AS (SELECT entity, grain, horizon, first(model ORDER BY round(rmse, 9), CASE model WHEN 'seasonal_naive' THEN 0 WHEN 'last_value' THEN 1 ELSE 2 END) AS best_model FROM metrics GROUP BY 1, 2, 3)"""
 
 
 @query("common_grid", f"WITH {RAGGED} SELECT {ROW}, {rs('actual forecast error')} FROM common")
