@@ -142,12 +142,11 @@ def convolve(irf: DataFrame, shocks: DataFrame, keys: list[str], periods: int |
     An equi-join on the shock gives each shock quarter its responses at every later quarter; partial sums
     combine map-side. ``irf`` has (keys, response, shock, horizon, value), ``shocks`` (keys, shock, q_idx, value).
     """
-    last = shocks.groupBy(*keys).agg(F.max("q_idx").alias("_end"))
     r = irf if periods is None else irf.where(F.col("horizon") < periods)
-    j = shocks.select(*keys, "shock", "q_idx", F.col("value").alias("_s")).join(
+    end = F.max("q_idx").over(W.partitionBy(*keys))
+    j = shocks.select(*keys, "shock", "q_idx", F.col("value").alias("_s"), end.alias("_end")).join(
         r.select(*keys, "shock", "response", "horizon", F.col("value").alias("_r")), [*keys, "shock"]
     )
-    j = j.join(last, keys) if keys else j.crossJoin(last)
     t = (F.col("q_idx") + F.col("horizon")).cast("int")
     return (
         j.where(t <= F.col("_end"))

@@ -94,11 +94,13 @@ def event_dummies(spark, d):
         F.count(F.lit(1)).alias("n"), F.avg("o_totalprice").alias("v")
     )
     means = o.agg(F.avg("n").alias("mn"), F.avg("v").alias("mv"))
-    marked = o.crossJoin(means)
-    slow = marked.where(F.col("n") < F.col("mn")).select("q_idx", F.lit("slow").alias("dummy_name"), F.lit(1).alias("lead_quarters"))
-    dear = marked.where(F.col("v") > F.col("mv")).select("q_idx", F.lit("dear").alias("dummy_name"), F.lit(0).alias("lead_quarters"))
+    event = lambda cond, name, lead: F.when(cond, F.struct(F.lit(name).alias("dummy_name"), F.lit(lead).alias("lead_quarters")))
+    found = F.array_compact(F.array(
+        event(F.col("n") < F.col("mn"), "slow", 1), event(F.col("v") > F.col("mv"), "dear", 0)
+    ))
+    events = o.crossJoin(means).select("q_idx", F.inline(found))
     p = pn.order_panel(spark, d).select("entity", "q_idx")
-    return ft.add_event_dummies(p, slow.unionByName(dear), ["q_idx"], {"slow": 1, "dear": 0})
+    return ft.add_event_dummies(p, events, ["q_idx"], {"slow": 1, "dear": 0})
 
 
 @query("regime_labels", f"WITH {pn.PANEL} SELECT entity, q_idx, {REGIME} AS regime FROM panel")

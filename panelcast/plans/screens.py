@@ -14,6 +14,7 @@ from panelcast.plans import panels as pn
 from panelcast.plans import decisions
 from panelcast.plans.features import BOUNDS, REGIME
 from panelcast.plans.registry import query, r, rs
+from panelcast.sources.stage import staged
 
 K = pn.K
 
@@ -40,14 +41,14 @@ CCF = f"""{pn.LINE}, lu AS (SELECT entity, q_idx, price AS y, v AS variable, x,
    ccf AS (SELECT a.entity, a.variable, CAST(k AS INTEGER) AS lag, count(*) AS n_obs, {corr_sql('a.y', 'b.x')} AS correlation FROM lu a CROSS JOIN range(-4, 5) AS g(k) JOIN lu b ON b.entity = a.entity AND b.variable = a.variable AND b.rn = a.rn - k GROUP BY 1, 2, 3)"""
 
 
-def ccf(spark, d):
-    return sc.lead_lag(pn.line_panel(spark, d), K, "price", pn.DRIVERS)
+def ccf(panel):
+    return sc.lead_lag(panel, K, "price", pn.DRIVERS)
 
 
 @query("lead_lag_correlations", f"WITH {CCF} SELECT entity, variable, lag, {r('correlation', 'correlation')}, n_obs FROM ccf")
 def lead_lag_correlations(spark, d):
     """Correlations at lags -4 to 4."""
-    return ccf(spark, d)
+    return ccf(pn.line_panel(spark, d))
 
 
 BEST = f"{CCF}, best_lag AS (SELECT entity, variable, arg_max(lag, abs(correlation)) AS lag, arg_max(correlation, abs(correlation)) AS correlation, any_value(n_obs) AS any_n FROM ccf WHERE lag > 0 GROUP BY 1, 2)"
@@ -56,7 +57,7 @@ BEST = f"{CCF}, best_lag AS (SELECT entity, variable, arg_max(lag, abs(correlati
 @query("best_lags", f"WITH {BEST} SELECT b.entity, b.variable, b.lag, {r('b.correlation', 'correlation')}, n_obs FROM best_lag b JOIN ccf USING (entity, variable, lag)")
 def best_lags(spark, d):
     """Strongest positive lag per driver."""
-    return sc.best_lag(ccf(spark, d), K)
+    return sc.best_lag(ccf(pn.line_panel(spark, d)), K)
 
 
 @query(
@@ -117,14 +118,14 @@ def grouped_least_squares(spark, d):
     return o.select("entity", "n", "intercept", b[0].alias("b_quantity"), b[1].alias("b_tax"), "sse", "r2", "bic")
 
 
-def granger(spark, d):
-    return sc.granger_screen(pn.line_panel(spark, d), K, "price", pn.DRIVERS)
+def granger(panel):
+    return sc.granger_screen(panel, K, "price", pn.DRIVERS)
 
 
 @query("predictive_lag_screen")
 def predictive_lag_screen(spark, d):
     """Do a driver's lags add to the target's own lags?"""
-    return granger(spark, d)
+    return granger(pn.line_panel(spark, d))
 
 
 @query(
@@ -167,15 +168,16 @@ def regime_correlation(spark, d):
 )
 def stability_summary(spark, d):
     """Stability of a relationship with a warning text."""
+    p = staged(pn.line_panel(spark, d))
+    regimes = sc.regime_corr(p, K, "price", "quantity", BOUNDS)
     return sc.stability_summary(
-        rolling_correlation(spark, d), regime_correlation(spark, d), K, ["early", "middle"], ["late"]
+        sc.rolling_corr(p, K, "price", "quantity", 12), regimes, K, ["early", "middle"], ["late"]
     )
 
 
-def release_lags(spark, d):
-    """Assumed release lags, derived from how many rows each driver's rate has on average."""
-    p = pn.line_panel(spark, d)
-    m = p.agg(*[F.avg(c).alias(c) for c in pn.DRIVERS])
+def release_lags(panel):
+    """Assumed release lags, derived from each driver's mean level."""
+    m = panel.agg(*[F.avg(c).alias(c) for c in pn.DRIVERS])
     cells = F.array(*[F.struct(F.lit(c).alias("variable"), F.when(F.col(c) > 10, 2).when(F.col(c) > 4.5, 1).otherwise(0).alias("min_safe_lag")) for c in pn.DRIVERS])
     return m.select(F.inline(cells))
 
@@ -186,21 +188,21 @@ LAGS = f"""{CCF}, asm0 AS (SELECT avg(quantity) AS quantity, avg(discount) AS di
    avail AS (SELECT f.*, a.min_safe_lag, feature_lag >= min_safe_lag AS origin_safe FROM feats f LEFT JOIN asm a USING (variable))"""
 
 
-def lag_features(spark, d):
+def lag_features(panel):
     """The stored lag features 1, 2 and 4 of every driver."""
-    long = reshape.to_long(pn.line_panel(spark, d), ["entity", "q_idx"], pn.DRIVERS).select("variable").distinct()
+    long = reshape.to_long(panel, ["entity", "q_idx"], pn.DRIVERS).select("variable").distinct()
     names = F.transform(F.array(F.lit("1"), F.lit("2"), F.lit("4")), lambda k: F.concat("variable", F.lit("_lag"), k))
     return long.select(F.explode(names).alias("feature"))
 
 
-def checked(spark, d):
-    return sc.availability_check(lag_features(spark, d), release_lags(spark, d))
+def checked(panel):
+    return sc.availability_check(lag_features(panel), release_lags(panel))
 
 
 @query("feature_availability", f"WITH {LAGS} SELECT feature, variable, feature_lag, min_safe_lag, origin_safe FROM avail")
 def feature_availability(spark, d):
     """Is a feature's lag at least its series' assumed release lag?"""
-    return checked(spark, d).select("feature", "variable", "feature_lag", "min_safe_lag", "origin_safe")
+    return checked(staged(pn.line_panel(spark, d))).select("feature", "variable", "feature_lag", "min_safe_lag", "origin_safe")
 
 
 @query(
@@ -209,7 +211,7 @@ def feature_availability(spark, d):
 )
 def inherited_release_lags(spark, d):
     """Derived series take over their source's release lag."""
-    a = release_lags(spark, d)
+    a = release_lags(staged(pn.line_panel(spark, d)))
     derived = a.select(F.concat("variable", F.lit("_change")).alias("variable"), F.col("variable").alias("source_variable"))
     return sc.extend_assumptions(a, derived)
 
@@ -221,20 +223,20 @@ CHOSEN = f"""{LAGS}, bl AS (SELECT entity, variable, arg_max(lag, abs(correlatio
    chosen AS (SELECT p.entity, p.variable, p.feature, p.feature_lag, coverage_pct FROM pick p JOIN cover c USING (entity, feature) WHERE coverage_pct >= 0.5)"""
 
 
-def feature_coverage(spark, d):
-    lagged = add_lags(pn.line_panel(spark, d), K, {c: [1, 2, 4] for c in pn.DRIVERS})
+def feature_coverage(panel):
+    lagged = add_lags(panel, K, {c: [1, 2, 4] for c in pn.DRIVERS})
     names = [f"{c}_lag{k}" for c in pn.DRIVERS for k in (1, 2, 4)]
     return pf.coverage_profile(lagged, K, names).withColumnRenamed("variable", "feature")
 
 
-def chosen(spark, d):
-    return sc.choose_safe_lag(checked(spark, d), best_lags(spark, d), feature_coverage(spark, d), K)
+def chosen(panel):
+    return sc.choose_safe_lag(checked(panel), sc.best_lag(ccf(panel), K), feature_coverage(panel), K)
 
 
 @query("chosen_features", f"WITH {CHOSEN} SELECT entity, variable, feature, feature_lag, {r('coverage_pct', 'coverage_pct')} FROM chosen")
 def chosen_features(spark, d):
     """One safe lagged feature per driver."""
-    return chosen(spark, d)
+    return chosen(staged(pn.line_panel(spark, d)))
 
 
 @query(
@@ -248,19 +250,19 @@ def substitute_choice(spark, d):
     return sc.pick_alternative(cover, K, "gappy", "late")
 
 
-def candidates(spark, d, tests=None):
+def candidates(panel, tests=None):
     """Shortlist rows; without the F-screen every column has a SQL counterpart."""
-    base = pn.line_panel(spark, d).select("entity").distinct().select(
+    base = panel.select("entity").distinct().select(
         "entity", F.explode(F.array(*[F.lit(c) for c in pn.DRIVERS])).alias("variable"), F.lit(True).alias("has_lag_feature")
     )
-    p = ccf(spark, d)
-    picked = chosen(spark, d)
-    vifs = sc.vif(pn.line_panel(spark, d), K, pn.DRIVERS)
+    p = ccf(panel)
+    picked = chosen(panel)
+    vifs = sc.vif(panel, K, pn.DRIVERS)
     by_feature = picked.select("entity", "variable", "feature").join(vifs, [*K, "variable"]).select(
         "entity", F.col("feature").alias("variable"), "vif"
     )
-    cover = pf.coverage_profile(pn.line_panel(spark, d), K, pn.DRIVERS)
-    return sc.shortlist(base, K, p, tests, by_feature, picked, cover, checked(spark, d))
+    cover = pf.coverage_profile(panel, K, pn.DRIVERS)
+    return sc.shortlist(base, K, p, tests, by_feature, picked, cover, checked(panel))
 
 
 SHORT = f"""{CHOSEN}, cc AS (SELECT entity, count(*) AS n, corr(quantity, discount) AS ab, corr(quantity, tax) AS ac, corr(discount, tax) AS bc FROM line GROUP BY 1),
@@ -273,7 +275,7 @@ SHORT = f"""{CHOSEN}, cc AS (SELECT entity, count(*) AS n, corr(quantity, discou
 @query("candidate_shortlist", f"WITH {SHORT} SELECT entity, variable, feature, feature_lag, {rs('candidate_corr abs_corr vif')}, origin_safe FROM short")
 def candidate_shortlist(spark, d):
     """Correlation, collinearity, coverage and availability of each candidate on one row."""
-    return candidates(spark, d).select(
+    return candidates(staged(pn.line_panel(spark, d))).select(
         "entity", "variable", "feature", "feature_lag", "candidate_corr", "abs_corr", "vif", "origin_safe"
     )
 
@@ -287,13 +289,14 @@ def candidate_shortlist(spark, d):
 )
 def candidate_status(spark, d):
     """Screening status and reason of each candidate."""
-    return sc.classify_candidates(candidates(spark, d)).select("entity", "variable", "feature", "screening_status", "reason")
+    return sc.classify_candidates(candidates(staged(pn.line_panel(spark, d)))).select("entity", "variable", "feature", "screening_status", "reason")
 
 
 @query("tested_candidate_status")
 def tested_candidate_status(spark, d):
     """Screening status with the F-screen's p-values among the signals."""
-    return sc.classify_candidates(candidates(spark, d, granger(spark, d))).select(
+    panel = staged(pn.line_panel(spark, d))
+    return sc.classify_candidates(candidates(panel, granger(panel))).select(
         "entity", "variable", "feature", "candidate_p", "screening_status", "reason"
     )
 
@@ -307,7 +310,7 @@ def tested_candidate_status(spark, d):
 )
 def screen_comparison(spark, d):
     """Two targets' screens side by side."""
-    p = pn.line_panel(spark, d)
+    p = staged(pn.line_panel(spark, d))
     row = F.row_number().over(over_time(K))
     other = p.withColumn("price", -F.col("price") * row)
     best = lambda x: sc.best_lag(sc.lead_lag(x, K, "price", pn.DRIVERS), K).withColumn("p", 1 - F.abs("correlation"))
@@ -317,18 +320,18 @@ def screen_comparison(spark, d):
 FEATURES = ["quantity", "discount", "tax"]
 
 
-def pooled_frame(spark, d):
-    return po.with_time_folds(po.direct_frame(pn.line_panel(spark, d), K, "price", FEATURES, [1, 2, 3]))
+def pooled_frame(panel):
+    return po.with_time_folds(po.direct_frame(panel, K, "price", FEATURES, [1, 2, 3]))
 
 
-def fits(spark, d):
-    return po.tune_direct(pooled_frame(spark, d), FEATURES)
+def fits(panel):
+    return po.tune_direct(pooled_frame(panel), FEATURES)
 
 
 @query("tuned_elastic_nets")
 def tuned_elastic_nets(spark, d):
     """Best penalty per horizon by chronological cross-validation, with the fits it implies."""
-    f = fits(spark, d)
+    f = fits(pn.line_panel(spark, d))
     b = F.col("coefficients")
     return f.select("horizon", "fold", "alpha", "l1_ratio", "cv_mse", "train_rows", "intercept", *[b[i].alias(f"b_{c}") for i, c in enumerate(FEATURES)])
 
@@ -349,20 +352,21 @@ def pooled_least_squares(spark, d):
 @query("out_of_fold_residuals")
 def out_of_fold_residuals(spark, d):
     """Residuals of every test block under the fit of its own earlier rows."""
-    frame = pooled_frame(spark, d)
+    frame = pooled_frame(staged(pn.line_panel(spark, d)))
     return po.oof_residuals(frame, po.tune_direct(frame, FEATURES), K, FEATURES)
 
 
 @query("latest_pooled_forecasts")
 def latest_pooled_forecasts(spark, d):
     """All horizons from the latest complete row of each entity."""
-    return po.predict_latest(pn.line_panel(spark, d), fits(spark, d), K, FEATURES)
+    p = staged(pn.line_panel(spark, d))
+    return po.predict_latest(p, fits(p), K, FEATURES)
 
 
 @query("nonzero_coefficients")
 def nonzero_coefficients(spark, d):
     """Non-zero coefficients per horizon of the tuned fits."""
-    return po.nonzero_coefficients(fits(spark, d), FEATURES)
+    return po.nonzero_coefficients(fits(pn.line_panel(spark, d)), FEATURES)
 
 
 @query("ordinal_tree_pair")

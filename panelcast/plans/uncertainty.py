@@ -11,6 +11,7 @@ from panelcast.operators import stress as st
 from panelcast.plans import panels as pn
 from panelcast.plans.backtests import IDX
 from panelcast.plans.registry import query, r, rs
+from panelcast.sources.stage import staged
 
 K = pn.K
 KEY = "entity, model, origin_q, horizon"
@@ -81,7 +82,7 @@ def calibrated_intervals(spark, d):
 )
 def factor_table_applied(spark, d):
     """A stored factor table joined to the intervals; the model without factors stays raw."""
-    ivl = pn.interval_rows(spark, d)
+    ivl = staged(pn.interval_rows(spark, d))
     return iv.apply_factors(ivl, iv.current_factors(ivl, K, COVER).where("model = 'history'"), K)
 
 
@@ -149,7 +150,7 @@ def factor_summary(spark, d):
 )
 def served_intervals(spark, d):
     """Calibrated bounds and disclosed coverage of each entity's latest forecasts."""
-    ivl = pn.interval_rows(spark, d)
+    ivl = staged(pn.interval_rows(spark, d))
     last = ivl.groupBy("entity", "model").agg(F.max("origin_q").alias("origin_q"))
     fc = ivl.join(last, ["entity", "model", "origin_q"]).select(
         "entity", "model", "origin_q", "horizon", F.col("point_forecast").alias("forecast"), "interval_lower", "interval_upper"
