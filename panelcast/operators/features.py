@@ -14,6 +14,7 @@ from pyspark.sql import Window as W
 
 from panelcast.functions.numeric import finite, present, ratio, require_columns
 from panelcast.operators.align import over_time
+from panelcast.operators.skew import salted_join
 
 
 def lag_of(c: str | Column, k: int, keys: list[str], calendar: bool = False) -> Column:
@@ -85,7 +86,7 @@ def add_event_dummies(df: DataFrame, events: DataFrame, on: list[str], names: Ma
     flags = events.groupBy(*on).agg(
         *[F.max((F.col("dummy_name") == n).cast("int")).alias(f"{n}_lag{int(names[n])}") for n in order]
     )
-    joined = df.join(flags, on, "left")
+    joined = salted_join(df, flags, on, "left")  # few quarters, possibly very many entities per quarter
     return joined.fillna(0, subset=[f"{n}_lag{int(names[n])}" for n in order])
 
 

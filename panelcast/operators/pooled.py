@@ -20,6 +20,7 @@ from panelcast.operators.align import asof_latest, over_time
 from panelcast.operators.features import time_series_folds
 from panelcast.operators.rules import class_code, ordinal_combine
 from panelcast.operators.screening import _unpack, moments
+from panelcast.operators.skew import salted_join
 
 # Default tuning grid.
 ALPHAS = tuple(float(a) for a in np.logspace(-3, 1, 10))
@@ -50,10 +51,10 @@ def direct_frame(df: DataFrame, keys: list[str], target: str, features: list[str
 def with_time_folds(frame: DataFrame, folds: int = FOLDS) -> DataFrame:
     """Chronological folds cut on the calendar of each horizon, so no entity trains on another's future.
 
-    The calendar table has one row per horizon and quarter; the optimiser may broadcast it.
+    The calendar table has one row per horizon and quarter, each shared by all entities: a salted join.
     """
     calendar = frame.select("horizon", "q_idx").distinct()
-    return frame.join(time_series_folds(calendar, ["horizon"], folds), ["horizon", "q_idx"])
+    return salted_join(frame, time_series_folds(calendar, ["horizon"], folds), ["horizon", "q_idx"])
 
 
 def _merge(parts: list[tuple[int, np.ndarray, np.ndarray]]) -> tuple[int, np.ndarray, np.ndarray]:
@@ -149,7 +150,7 @@ def _linear(features: list[str]) -> Column:
 def oof_residuals(frame: DataFrame, fits: DataFrame, keys: list[str], features: list[str]) -> DataFrame:
     """Out-of-fold residuals: each test block scored with the fit of its own earlier rows."""
     f = fits.where("fold > 0").select("horizon", "fold", "intercept", "coefficients")
-    rows = frame.where("fold > 0").join(f, ["horizon", "fold"])
+    rows = salted_join(frame.where("fold > 0"), f, ["horizon", "fold"])
     return rows.select(
         *keys, F.col("q_idx").alias("origin_q"), "horizon", "fold", (F.col("y") - _linear(features)).alias("residual")
     )

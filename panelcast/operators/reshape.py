@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from panelcast.functions.calendar import horizon_label_to_int, q_from_label, q_label
 from panelcast.functions.numeric import to_number
+from panelcast.operators.skew import salted_join
 
 
 def to_long(df: DataFrame, ids: list[str], cols: list[str], drop_missing: bool = True) -> DataFrame:
@@ -94,7 +95,7 @@ def explode_scenarios(
         *keys, "scenario",
         *[F.try_element_at(F.col(m), F.col("scenario")).alias(name) for m, name in maps.items()],
     )
-    return out if scenarios is None else out.join(scenarios, "scenario", "left")
+    return out if scenarios is None else salted_join(out, scenarios, ["scenario"], "left")
 
 
 def explode_payload(df: DataFrame, json_col: str, schema: str, context: list[str], items: str) -> DataFrame:

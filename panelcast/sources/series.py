@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from panelcast.functions.numeric import numeric_complete, require_columns, to_number
+from panelcast.operators.skew import salted_join
 
 STEM = r"^(.+)_(\d{4})_(\d{4})$"
 
@@ -60,7 +61,7 @@ def read_latest(spark: SparkSession, directory: str, schema) -> DataFrame:
         "path", F.col("_metadata.file_path")
     )
     newest = latest_files(rows.select("path").distinct()).select("series", "path")
-    return rows.join(newest, "path")
+    return salted_join(rows, newest, ["path"])
 
 
 def typed_series(df: DataFrame, date: str, value: str) -> DataFrame:

@@ -156,3 +156,28 @@ def test_expected_loss_rows_and_missing_assumptions(spark):
         stress.credit_stress(seg, [{"name": "odd", "delta": 1}])
     with pytest.raises(ValueError):
         stress.join_assumptions(seg, [lgd.where("segment = 'a'")])
+
+
+def test_salted_join_spreads_a_hot_key(spark):
+    """With broadcasts off, no partition gets more than a fraction of a key that holds 90 % of the rows."""
+    old = {k: spark.conf.get(k) for k in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.enabled", "spark.sql.shuffle.partitions")}
+    try:
+        for k, v in zip(old, ("-1", "false", "16")):
+            spark.conf.set(k, v)
+        df = spark.range(20000).select(F.when(F.col("id") % 10 == 0, F.col("id")).otherwise(-1).alias("g"), "id")
+        side = df.select("g").distinct().withColumn("x", F.lit(1))
+        share = lambda j: max(r["n"] for r in j.groupBy(F.spark_partition_id().alias("p")).agg(F.count(F.lit(1)).alias("n")).collect()) / 20000
+        assert share(df.join(side, "g")) > 0.9
+        assert share(skew.salted_join(df, side, ["g"], salts=64)) < 0.25
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+
+
+def test_top_rows_per_group_are_limited_before_the_shuffle(spark):
+    from panelcast.operators import profile
+
+    df = spark.range(1000).select((F.col("id") % 3).alias("g"), "id")
+    out = profile.tail(df, ["g"], "id", 2)
+    assert "WindowGroupLimit" in out._jdf.queryExecution().executedPlan().toString()
+    assert out.count() == 6
