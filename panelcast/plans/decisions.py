@@ -11,7 +11,7 @@ from panelcast.operators import rules
 from panelcast.operators.align import over_time
 from panelcast.plans import panels as pn
 from panelcast.plans.backtests import IDX
-from panelcast.plans.registry import query, r, rs
+from panelcast.plans.registry import normal_cdf_sql, query, r, rs
 
 K = pn.K
 BASE = ["entity", "q_idx"]
@@ -87,7 +87,12 @@ def estimated_rule(spark, d):
     )
 
 
-@query("estimated_rule_probabilities")
+@query(
+    "estimated_rule_probabilities",
+    f"""WITH {OLS}, z AS (SELECT *, (-0.125 - predicted_change) / residual_se AS a, (0.125 - predicted_change) / residual_se AS b FROM ols),
+        probs AS (SELECT *, {normal_cdf_sql('a')} AS ca, {normal_cdf_sql('b')} AS cb FROM z)
+        SELECT entity, q_idx, {rs('predicted_change residual_se')}, {r('ca', 'p_cut')}, {r('cb - ca', 'p_hold')}, {r('1 - cb', 'p_hike')} FROM probs""",
+)
 def estimated_rule_probabilities(spark, d):
     """Normal class probabilities of the estimated rule."""
     p = rules.normal_band_probs(estimated(spark, d), "predicted_change", "residual_se")

@@ -10,7 +10,7 @@ from panelcast.operators import intervals as iv
 from panelcast.operators import stress as st
 from panelcast.plans import panels as pn
 from panelcast.plans.backtests import IDX
-from panelcast.plans.registry import query, r, rs
+from panelcast.plans.registry import binomial_sql, query, r, rs
 from panelcast.sources.stage import staged
 
 K = pn.K
@@ -97,7 +97,18 @@ def coverage_counts(spark, d):
     return iv.coverage_counts(calibrated_intervals(spark, d), K)
 
 
-@query("coverage_table")
+NOMINAL = "(CAST(0.9 AS DOUBLE) - CAST(0.1 AS DOUBLE))"
+IDS = "entity, model, grain, hkey"
+
+
+@query(
+    "coverage_table",
+    f"""WITH RECURSIVE {CAL}, cv0 AS (SELECT entity, model, horizon, lo <= actual AND actual <= hi AS hit, hi - lo AS width FROM cal),
+        cv AS (SELECT entity, model, CASE WHEN horizon IS NULL THEN 'overall' ELSE 'horizon' END AS grain, coalesce(horizon, 0) AS hkey, horizon, count(*) AS n, count(*) FILTER (hit) AS hits, avg(width) AS w
+               FROM cv0 GROUP BY GROUPING SETS ((entity, model), (entity, model, horizon))), {binomial_sql('cv', IDS, NOMINAL)}
+        SELECT entity, model, grain, horizon, n, {r(NOMINAL, 'nominal_coverage')}, {r('hits / n', 'empirical_coverage')}, {r('lower', 'coverage_ci_lower')}, {r('upper', 'coverage_ci_upper')}, {r('p_value', 'binom_p_value')},
+          p_value < 0.05 AS significantly_miscalibrated, {r('w', 'mean_interval_width')} FROM cv JOIN ci USING ({IDS}) JOIN pv USING ({IDS})""",
+)
 def coverage_table(spark, d):
     """Coverage with exact binomial test and bounds."""
     return iv.coverage_table(calibrated_intervals(spark, d), K)
@@ -123,7 +134,15 @@ def heldout_comparison(spark, d):
     return iv.heldout_comparison(pn.interval_rows(spark, d), K, tests=False)
 
 
-@query("heldout_tests")
+@query(
+    "heldout_tests",
+    f"""WITH RECURSIVE {HELD}, sides AS (SELECT entity, model, CASE WHEN horizon IS NULL THEN 'overall' ELSE 'horizon' END AS grain, coalesce(horizon, 0) AS hkey, s, count(*) AS n, count(*) FILTER (CASE s WHEN 'raw' THEN raw_hit ELSE cal_hit END) AS hits
+              FROM j CROSS JOIN (VALUES ('raw'), ('cal')) AS v(s) GROUP BY GROUPING SETS ((entity, model, s), (entity, model, s, horizon))), {binomial_sql('sides', IDS + ', s', NOMINAL)},
+        p AS (SELECT {IDS}, max(p_value) FILTER (s = 'raw') AS pr, max(p_value) FILTER (s = 'cal') AS pc FROM pv GROUP BY {IDS})
+        SELECT c.entity, c.model, c.grain, c.horizon, validation_n, {rs('calibration_n target_coverage scale_factor raw_empirical_coverage raw_mean_interval_width calibrated_empirical_coverage calibrated_mean_interval_width')},
+          {r('pr', 'raw_binom_p_value')}, pr < 0.05 AS raw_significantly_miscalibrated, {r('pc', 'calibrated_binom_p_value')}, pc < 0.05 AS calibrated_significantly_miscalibrated
+        FROM cmp c JOIN p ON p.entity = c.entity AND p.model = c.model AND p.grain = c.grain AND p.hkey = coalesce(c.horizon, 0)""",
+)
 def heldout_tests(spark, d):
     """The held-out comparison with exact tests on both sides."""
     return iv.heldout_comparison(pn.interval_rows(spark, d), K)
