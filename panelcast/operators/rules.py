@@ -194,7 +194,8 @@ def split_audit(df: DataFrame, keys: list[str], label: str, sizes: list[int]) ->
         F.count_if(inside & ((cut == 0) | (hold == 0) | (hike == 0))).alias("degenerate_folds"),
         F.array_join(F.array_sort(F.array_compact(F.array(
             any_bad(cut == 0, "cut"), any_bad(hold == 0, "hold"), any_bad(hike == 0, "hike")))), ", ").alias("_dc"),
-        low(hold + hike, "min_gt_cut_positive"), low(cut + hold, "min_gt_hold_negative"),
+        low(cut, "min_gt_cut_negative"), low(hold + hike, "min_gt_cut_positive"),
+        low(cut + hold, "min_gt_hold_negative"), low(hike, "min_gt_hold_positive"),
         F.count_if(inside & (gt_cut_bad | gt_hold_bad)).alias("degenerate_binary_folds"),
         F.array_join(F.array_compact(F.array(
             any_bad(gt_cut_bad, "Y>cut"), any_bad(gt_hold_bad, "Y>hold"))), ", ").alias("_db"),

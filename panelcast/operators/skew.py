@@ -24,7 +24,8 @@ def salted_join(
     if not keys:
         return big.crossJoin(per_group) if how == "inner" else big.join(per_group, F.lit(True), how)
     base = spread if spread is not None else F.xxhash64(*[F.col(c) for c in big.columns])
-    left = big.withColumn("_salt", F.pmod(base, F.lit(salts)).cast("int"))
+    # never NULL, so that no filter is inferred below the join and equal inputs stay one shared exchange
+    left = big.withColumn("_salt", F.coalesce(F.pmod(base, F.lit(salts)).cast("int"), F.lit(0)))
     right = per_group.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     return left.join(right, [*keys, "_salt"], how).drop("_salt")
 
@@ -42,30 +43,24 @@ def exact_quantiles(
     ranks are exact whatever edges it returns.
     """
     names, probs = list(quantiles), [float(p) for p in quantiles.values()]
-    rows = df.select(*keys, F.col(value).cast("double").alias("_v")).where(F.col("_v").isNotNull())
-    counts = rows.groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_c"))
-    sizes = counts.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("_d"), F.sum("_c").alias("_n")
-    )
-    flagged = salted_join(
-        counts, _null_safe(sizes.where(F.col("_d") > group_limit), keys), keys, "left",
-        F.xxhash64("_v"),
-    ) if keys else counts.crossJoin(sizes).withColumn(
-        "_n", F.when(F.col("_d") > group_limit, F.col("_n"))
-    )
+    # one never-NULL key column: the branches below then share the same counted exchange, and NULL keys
+    # are groups like any other
+    key = F.struct(*[F.col(k) for k in keys]) if keys else F.struct(F.lit(0).alias("all"))
+    rows = df.select(key.alias("_k"), F.col(value).cast("double").alias("_v")).where(F.col("_v").isNotNull())
+    counts = rows.groupBy("_k", "_v").agg(F.count(F.lit(1)).alias("_c"))
+    sizes = counts.groupBy("_k").agg(F.count(F.lit(1)).alias("_d"), F.sum("_c").alias("_n"))
+    large = sizes.where(F.col("_d") > group_limit).select("_k", "_n")
+    flagged = salted_join(counts, large, ["_k"], "left", F.xxhash64("_v"))
     cold = (
         flagged.where(F.col("_n").isNull())
-        .groupBy(*keys)
-        .agg(
-            F.percentile("_v", probs, F.col("_c")).alias("_q"),
-            F.sum("_c").alias("_n"),
-        )
-        .where(F.col("_n").isNotNull())
-        .select(*keys, *[F.col("_q")[i].alias(n) for i, n in enumerate(names)], "_n")
+        .groupBy("_k")
+        .agg(F.percentile("_v", probs, F.col("_c")).alias("_q"), F.sum("_c").alias("_n"))
+        .select("_k", *[F.col("_q")[i].alias(n) for i, n in enumerate(names)], "_n")
     )
-    hot = _hot_quantiles(flagged.where(F.col("_n").isNotNull()).drop("_d"), keys, names, probs)
+    hot = _hot_quantiles(flagged.where(F.col("_n").isNotNull()), ["_k"], names, probs)
     out = cold.unionByName(hot)
-    return out.withColumnRenamed("_n", "n_values") if with_count else out.drop("_n")
+    total = [F.col("_n").alias("n_values")] if with_count else []
+    return out.select(*[F.col("_k").getField(k).alias(k) for k in keys], *names, *total)
 
 
 def bounded_quantiles(df: DataFrame, keys: list[str], value: str, quantiles: Mapping[str, float]) -> DataFrame:
@@ -75,14 +70,11 @@ def bounded_quantiles(df: DataFrame, keys: list[str], value: str, quantiles: Map
     return agg.select(*keys, *[F.col("_q")[i].alias(n) for i, n in enumerate(quantiles)])
 
 
-def _null_safe(df: DataFrame, keys: list[str]) -> DataFrame:
-    return df.dropna(subset=keys) if keys else df
-
-
 def _hot_quantiles(rows: DataFrame, keys: list[str], names, probs) -> DataFrame:
     parts = 1 << RANGE_BITS
     cuts = [i / parts for i in range(1, parts)]
-    edges = rows.groupBy(*keys).agg(F.percentile_approx("_v", cuts, 10000).alias("_e"))
+    # the (always true) condition keeps the count column, so that this branch reads the same exchange
+    edges = rows.where(F.col("_c") > 0).groupBy(*keys).agg(F.percentile_approx("_v", cuts, 10000).alias("_e"))
     ranged = salted_join(rows, edges, keys, "inner", F.xxhash64("_v")).withColumn("_b", F.lit(0))
     for bit in reversed(range(RANGE_BITS)):  # binary search: one array read and comparison per step
         step = 1 << bit

@@ -9,7 +9,7 @@ from panelcast.functions import calendar as cal
 from panelcast.operators import quality as ql
 from panelcast.plans import panels as pn
 from panelcast.plans.registry import query, r, rs
-from panelcast.sources import series, sinks
+from panelcast.sources import series, sinks, stage
 from panelcast.sources import upsert as up
 
 K = pn.K
@@ -214,7 +214,7 @@ SNAP = """old AS (SELECT o_custkey AS entity, year(o_orderdate) AS y, max(o_tota
     coalesce(o.actual, n.actual) AS actual FROM old o FULL JOIN new n ON n.entity = o.entity AND n.y = o.y)"""
 
 
-def snapshots(spark, d):
+def snapshot_cuts(spark, d):
     o = pn.table(spark, d, "orders").select(F.col("o_custkey").alias("entity"), F.year("o_orderdate").alias("y"), "o_orderdate", "o_totalprice")
     old = o.where(F.col("o_orderdate") < F.lit("1999-01-01").cast("date")).groupBy("entity", "y").agg(
         F.max("o_totalprice").alias("point_forecast"), F.min("o_totalprice").alias("m")
@@ -222,7 +222,11 @@ def snapshots(spark, d):
     new = o.where(F.col("o_orderdate") >= F.lit("1997-01-01").cast("date")).groupBy("entity", "y").agg(
         (F.avg("o_totalprice") / 997).alias("point_forecast"), F.max("o_totalprice").alias("actual")
     )
-    return up.upsert(old, new, ["entity", "y"], ["actual"])
+    return old, new
+
+
+def snapshots(spark, d):
+    return up.upsert(*snapshot_cuts(spark, d), ["entity", "y"], ["actual"])
 
 
 @query("snapshot_upsert", f"WITH {SNAP} SELECT entity, y, {rs('point_forecast actual')} FROM merged")
@@ -249,3 +253,61 @@ def latest_per_key(spark, d):
     """Last row per key by date, combined map-side."""
     o = pn.table(spark, d, "orders").select("o_custkey", "o_orderkey", "o_orderstatus", "o_orderdate")
     return up.keep_last(o, ["o_custkey"], "o_orderdate").drop("o_orderdate")
+
+
+@query(
+    "gated_publish",
+    f"WITH {pn.PANEL} SELECT entity, q_idx, {r('value', 'value')}, n_orders FROM panel",
+)
+def gated_publish(spark, d):
+    """The panel published behind its quality report and read back through the pointer."""
+    panel = pn.order_panel(spark, d)
+    folder = stage.fresh_folder(spark)
+    sinks.publish_if_clean(panel, ql.check_curated(panel, K, "value", ["q_idx", "value"], 8), folder)
+    return sinks.read_published(spark, folder)
+
+
+@query(
+    "curated_files",
+    f"WITH {pn.LINE} SELECT entity, q_idx, {rs('price quantity')} FROM line UNION ALL SELECT entity, q_idx, {rs('price quantity')} FROM line",
+)
+def curated_files(spark, d):
+    """The curated panel written as Parquet and CSV, split by entity; both copies read back."""
+    folder = stage.fresh_folder(spark)
+    sinks.write_curated(pn.line_panel(spark, d).select("entity", "q_idx", "price", "quantity"), folder, ["entity"])
+    schema = "q_idx int, price double, quantity double, entity string"
+    return spark.read.schema(schema).parquet(f"{folder}/parquet").unionByName(
+        spark.read.schema(schema).option("header", True).csv(f"{folder}/csv")
+    )
+
+
+@query(
+    "series_files",
+    f"WITH {pn.PANEL} SELECT entity AS series_id, q_idx, {r('value', 'value')} FROM panel",
+)
+def series_files(spark, d):
+    """One CSV folder per series, written and read back with a declared schema."""
+    folder = stage.fresh_folder(spark)
+    sinks.write_series(pn.order_panel(spark, d).select(F.col("entity").alias("series_id"), "q_idx", "value"), folder)
+    return series.read_series(spark, folder, "q_idx int, value double, series_id string")
+
+
+@query(
+    "published_tables",
+    f"""WITH {pn.SPARSE} SELECT 'table:curated_panel' AS dataset, 'PASS' AS status, count(*) AS rows, CAST(6 AS BIGINT) AS columns, 2 * count(*) - count(gappy) - count(late) AS missing_values, 'ok' AS notes FROM sparse
+        UNION ALL SELECT 'table:quality', 'PASS', count(DISTINCT entity), CAST(9 AS BIGINT), 0, 'ok' FROM sparse""",
+)
+def published_tables(spark, d):
+    """Curated and quality tables registered for SQL, with a load record each."""
+    p = pn.sparse_panel(spark, d)
+    return sinks.publish_tables({"curated_panel": p, "quality": ql.check_curated(p, K, "value", ["q_idx"], 8)})
+
+
+@query("snapshot_table", f"WITH {SNAP} SELECT entity, y, {rs('point_forecast actual')} FROM merged")
+def snapshot_table(spark, d):
+    """The versioned table after three merges, the last two of them identical."""
+    old, new = snapshot_cuts(spark, d)
+    folder = stage.fresh_folder(spark)
+    for incoming in (old, new, new):
+        out = up.merge_table(spark, folder, incoming, ["entity", "y"], ["actual"])
+    return out

@@ -174,7 +174,7 @@ AUDIT = f"""{pn.POLICY}, f AS (SELECT entity, q_idx, row_number() OVER w - 1 AS
    g AS (SELECT entity, CAST(s AS INTEGER) AS initial_size, pos >= s AS inside, q_idx, c, h, k FROM f CROSS JOIN (SELECT unnest({SIZES}) AS s)),
    audit0 AS (SELECT entity, initial_size, count(*) FILTER (inside) AS test_rows, min(q_idx) FILTER (inside) AS fq, min(c) FILTER (inside) AS min_train_cut, min(h) FILTER (inside) AS min_train_hold, min(k) FILTER (inside) AS min_train_hike,
       count(*) FILTER (inside AND (c = 0 OR h = 0 OR k = 0)) AS degenerate_folds, concat_ws(', ', CASE WHEN bool_or(inside AND c = 0) THEN 'cut' END, CASE WHEN bool_or(inside AND k = 0) THEN 'hike' END, CASE WHEN bool_or(inside AND h = 0) THEN 'hold' END) AS dc,
-      min(h + k) FILTER (inside) AS min_gt_cut_positive, min(c + h) FILTER (inside) AS min_gt_hold_negative, count(*) FILTER (inside AND (c = 0 OR h + k = 0 OR k = 0 OR c + h = 0)) AS degenerate_binary_folds,
+      min(c) FILTER (inside) AS min_gt_cut_negative, min(h + k) FILTER (inside) AS min_gt_cut_positive, min(c + h) FILTER (inside) AS min_gt_hold_negative, min(k) FILTER (inside) AS min_gt_hold_positive, count(*) FILTER (inside AND (c = 0 OR h + k = 0 OR k = 0 OR c + h = 0)) AS degenerate_binary_folds,
       concat_ws(', ', CASE WHEN bool_or(inside AND (c = 0 OR h + k = 0)) THEN 'Y>cut' END, CASE WHEN bool_or(inside AND (k = 0 OR c + h = 0)) THEN 'Y>hold' END) AS db FROM g GROUP BY 1, 2),
    audit AS (SELECT * EXCLUDE (fq, dc, db), {pn.label_sql('fq')} AS first_test_quarter, CASE WHEN test_rows = 0 THEN 'invalid_no_test_rows' WHEN dc = '' THEN 'none' ELSE dc END AS degenerate_classes,
       CASE WHEN test_rows = 0 THEN 'invalid_no_test_rows' WHEN db = '' THEN 'none' ELSE db END AS degenerate_binary_problems FROM audit0),

@@ -3,19 +3,30 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+
+def checkpoint_folder(spark: SparkSession) -> str:
+    """The session's reliable checkpoint folder, set from ``spark.checkpoint.dir``; only a session without
+    one (a single-machine test) gets a temporary folder."""
+    context = spark.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="panelcast-"))
+    return context.getCheckpointDir()
+
+
+def fresh_folder(spark: SparkSession) -> str:
+    """A new folder for written tables beside the checkpoints."""
+    return f"{checkpoint_folder(spark)}/tables-{uuid.uuid4().hex}"
 
 
 def staged(df: DataFrame) -> DataFrame:
     """Write the table once to the session's reliable checkpoint folder and continue from there.
 
     Meant for calendar-sized results of a large scan that a query uses in several places: the scan then
-    runs once, and a lost executor rereads the files instead of repeating it. The folder is the one the
-    cluster names; only a session without one (a single-machine test) gets a temporary folder.
+    runs once, and a lost executor rereads the files instead of repeating it.
     """
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="panelcast-"))
+    checkpoint_folder(df.sparkSession)
     return df.checkpoint()
