@@ -15,6 +15,13 @@ from panelcast.operators.features import label_regime
 from panelcast.operators.skew import salted_join
 
 
+# Coverage classes and their lower bounds.
+COVERAGE_CLASSES = [
+    (0.95, "core_long_sample_candidate"), (0.80, "shorter_sample_candidate"), (0.50, "limited_sample_candidate"),
+]
+LOW_COVERAGE = "exclude_low_coverage"
+
+
 def annual_summary(df: DataFrame, keys: list[str], cols: list[str]) -> DataFrame:
     year = F.floor(F.col("q_idx") / 4).cast("int").alias("year")
     return df.groupBy(*keys, year).agg(*[F.avg(c).alias(f"avg_{c}") for c in cols])
@@ -83,11 +90,9 @@ def coverage_profile(df: DataFrame, keys: list[str], cols: list[str], material:
         q_label("_s.a").alias("first_non_null"), q_label("_s.b").alias("last_non_null"),
         F.coalesce(F.col("_s.a") != F.col("_start"), F.lit(False)).alias("late_start"),
         ((rows - n) / rows >= material).alias("substantial_missingness"),
-        F.when(share >= 0.95, "core_long_sample_candidate")
-        .when(share >= 0.80, "shorter_sample_candidate")
-        .when(share >= 0.50, "limited_sample_candidate")
-        .otherwise("exclude_low_coverage")
-        .alias("coverage_class"),
+        F.coalesce(*[F.when(share >= lo, F.lit(name)) for lo, name in COVERAGE_CLASSES], F.lit(LOW_COVERAGE)).alias(
+            "coverage_class"
+        ),
     )
 
 

@@ -11,13 +11,26 @@ from panelcast.functions.calendar import parse_temporal, q_idx, q_label
 from panelcast.functions.numeric import require_columns, to_number
 
 # Note texts of the quality report.
+OK = "ok"
 EMPTY = "dataset is empty"
+TOO_FEW = "row count below minimum"
+INVALID_DATES = "invalid date values"
+DUPLICATE_DATES = "duplicate dates"
 UNSORTED = "dates are not sorted"
-OK = "ok"
+NO_COLUMN = "missing value column:"
+NON_NUMERIC = "non-numeric values"
+MISSING = "missing values"
+MISSING_QUARTERS = "missing quarters in date range"
+FUTURE = "future date values"
+OUTSIDE = "values outside 0-100 percent"
+NO_REQUIRED = "missing required columns:"
+DUPLICATE_QUARTERS = "duplicate quarters"
+FEW_USABLE = "usable rows below minimum"
+SPARSE = "missing after quarterly merge"
 
 
 def _number_note(n: Column, text: str) -> Column:
-    return F.when(n > 0, F.concat(n.cast("string"), F.lit(text)))
+    return F.when(n > 0, F.concat(n.cast("string"), F.lit(f" {text}")))
 
 
 def _status(fails: list[Column], warns: list[Column]) -> Column:
@@ -103,29 +116,29 @@ def check_series(
     missing = sum((F.coalesce(f"_miss{i}", F.lit(0)) for i in range(len(have))), F.lit(0))
     fails = [
         F.when(rows == 0, F.lit(EMPTY)),
-        F.when(rows < min_rows, F.lit(f"row count below minimum {min_rows}")),
-        _number_note(F.col("_invalid"), " invalid date values"),
-        _number_note(F.col("duplicate_dates"), " duplicate dates"),
+        F.when(rows < min_rows, F.lit(f"{TOO_FEW} {min_rows}")),
+        _number_note(F.col("_invalid"), INVALID_DATES),
+        _number_note(F.col("duplicate_dates"), DUPLICATE_DATES),
     ]
     unsorted = F.when(F.col("unsorted"), F.lit(UNSORTED))
-    value_fails = [F.lit(f"missing value column: {c}") for c in absent] + [
+    value_fails = [F.lit(f"{NO_COLUMN} {c}") for c in absent] + [
         F.when(
             F.col(f"_bad{i}") > 0,
-            F.concat(F.lit(f"{c} has "), F.col(f"_bad{i}").cast("string"), F.lit(" non-numeric values")),
+            F.concat(F.lit(f"{c} has "), F.col(f"_bad{i}").cast("string"), F.lit(f" {NON_NUMERIC}")),
         )
         for i, c in enumerate(have)
     ]
     base = _status(fails + value_fails, [unsorted])
-    miss_note = F.when((base == "PASS") & (missing > 0), F.concat(missing.cast("string"), F.lit(" missing values")))
+    miss_note = F.when(base == "PASS", _number_note(missing, MISSING))
     fail2, warn2, extra = [], [], []
     if percent:
         span = q_idx("_b") - q_idx("_a") + 1 - F.col("_quarters")
-        gap = _number_note(span, " missing quarters in date range")
-        future = _number_note(F.col("_future"), " future date values") if as_of else F.lit(None)
+        gap = _number_note(span, MISSING_QUARTERS)
+        future = _number_note(F.col("_future"), FUTURE) if as_of else F.lit(None)
         outside = [
             F.when(
                 F.col(f"_out{i}") > 0,
-                F.concat(F.lit(f"{c} has "), F.col(f"_out{i}").cast("string"), F.lit(" values outside 0-100 percent")),
+                F.concat(F.lit(f"{c} has "), F.col(f"_out{i}").cast("string"), F.lit(f" {OUTSIDE}")),
             )
             for i, c in enumerate(have)
         ]
@@ -161,11 +174,11 @@ def check_curated(
     )
     dup = F.col("rows") - F.col("_q")
     fails = [
-        F.lit(f"missing required columns: {', '.join(absent)}") if absent else F.lit(None).cast("string"),
-        _number_note(dup, " duplicate quarters"),
-        F.when(F.col("_use") < min_rows, F.lit(f"{target} usable rows below minimum {min_rows}")),
+        F.lit(f"{NO_REQUIRED} {', '.join(absent)}") if absent else F.lit(None).cast("string"),
+        _number_note(dup, DUPLICATE_QUARTERS),
+        F.when(F.col("_use") < min_rows, F.lit(f"{target} {FEW_USABLE} {min_rows}")),
     ]
-    gap = _number_note(F.col("_b") - F.col("_a") + 1 - F.col("_q"), " missing quarters in date range")
+    gap = _number_note(F.col("_b") - F.col("_a") + 1 - F.col("_q"), MISSING_QUARTERS)
     return agg.select(
         *keys, _status(fails, [gap]).alias("status"), "rows",
         F.lit(len(data)).cast("bigint").alias("columns"),
@@ -180,7 +193,7 @@ def check_columns(df: DataFrame, keys: list[str], cols: list[str], limit: float
     long = agg.unpivot([*keys, "_n"], cols, "variable", "rows")
     missing = F.col("_n") - F.col("rows")
     share = F.coalesce(F.try_divide(missing.cast("double"), F.col("_n")), F.lit(1.0))
-    note = F.format_string("%.1f%% missing after quarterly merge", share * 100)
+    note = F.format_string(f"%.1f%% {SPARSE}", share * 100)
     return long.select(
         *keys, "variable", F.when(share > limit, "WARNING").otherwise("PASS").alias("status"), "rows",
         missing.alias("missing_values"), F.when(share > limit, note).otherwise(F.lit(OK)).alias("notes"),
@@ -208,7 +221,7 @@ def check_schema(df: DataFrame, contract: T.StructType) -> DataFrame:
     records = []
     for i, (name, problem, c) in enumerate(rows):
         n = F.col(f"_n{i}") if c else F.lit(0).cast("bigint")
-        text = F.lit(problem) if problem else F.when(n > 0, F.concat(n.cast("string"), F.lit(" missing values")))
+        text = F.lit(problem) if problem else _number_note(n, MISSING)
         records.append(
             F.struct(
                 F.lit(name).alias("column_name"),
