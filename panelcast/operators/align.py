@@ -59,12 +59,19 @@ def merge_series(long: DataFrame, keys: list[str], names: list[str], series: str
 
 def labelled_sample(
     pred: DataFrame, panel: DataFrame, keys: list[str], model: str, horizon: int,
-    feature: str, required: list[str],
+    feature: str, required: list[str], check: bool = True,
 ) -> DataFrame:
-    """Forecasts of one model and horizon joined to their target quarter's row; complete rows only."""
+    """Forecasts of one model and horizon joined to their target quarter's row; complete rows only.
+
+    ``check`` refuses repeated forecasts of one target quarter (one small action).
+    """
     chosen = pred.where((F.col("model") == model) & (F.col("horizon") == horizon)).select(
         *keys, F.col("target_q").alias("q_idx"), F.col("forecast").alias(feature)
     )
+    if check:
+        from panelcast.operators.quality import assert_unique
+
+        assert_unique(chosen, [*keys, "q_idx"], f"{model} horizon {horizon} forecasts")
     return chosen.join(panel, [*keys, "q_idx"]).dropna(subset=[feature, *required])
 
 

@@ -13,6 +13,7 @@ from pyspark.sql import Window as W
 from panelcast.functions.numeric import close
 from panelcast.functions.stats import binomial_test
 from panelcast.operators.backtest import with_overall
+from panelcast.operators.quality import assert_unique
 from panelcast.operators.skew import bounded_quantiles, exact_quantiles
 
 # Side distances up to this count as zero; rolling window and minimum score count.
@@ -153,9 +154,14 @@ def scale_rows(rows: DataFrame, factor: str = "scale_factor") -> DataFrame:
     ).drop(factor)
 
 
-def apply_factors(ivl: DataFrame, factors: DataFrame, keys: list[str]) -> DataFrame:
-    """Calibrate with a factor table keyed by model and horizon, and by origin when it carries one."""
+def apply_factors(ivl: DataFrame, factors: DataFrame, keys: list[str], check: bool = True) -> DataFrame:
+    """Calibrate with a factor table keyed by model and horizon, and by origin when it carries one.
+
+    ``check`` refuses a table with two factors for one key, which would repeat interval rows.
+    """
     on = [*keys, "model", *(["origin_q"] if "origin_q" in factors.columns else []), "horizon"]
+    if check:
+        assert_unique(factors, on, "calibration factors")
     return scale_rows(ivl.join(factors.select(*on, F.col("scale_factor").alias("_f")), on, "left"), "_f")
 
 

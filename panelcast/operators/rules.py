@@ -136,6 +136,11 @@ def invalid_votes(df: DataFrame, voters: list[str]) -> DataFrame:
     return df.where(bad)
 
 
+def assert_votes(df: DataFrame, voters: list[str]) -> None:
+    if not invalid_votes(df, voters).isEmpty():
+        raise ValueError("majority vote received labels other than " + ", ".join(CLASSES))
+
+
 def ordinal_combine(df: DataFrame, p_gt_cut: str, p_gt_hold: str) -> DataFrame:
     """Two cumulative probabilities to three class probabilities and the most probable action."""
     a = F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.col(p_gt_cut)))

@@ -199,6 +199,8 @@ def test_apply_factors(spark):
     skewed = data.withColumns({"interval_lower": F.lit(8.0), "interval_upper": F.lit(13.0)})
     one = f.drop("origin_q").withColumn("scale_factor", F.lit(1.0))
     assert rows(iv.apply_factors(skewed, one, K), "interval_lower", "interval_upper")[0] == (8.0, 13.0)
+    with pytest.raises(ValueError):
+        iv.apply_factors(skewed, one.union(one), K)
     bad = one.withColumn("scale_factor", F.lit(-1.0))
     assert rows(iv.apply_factors(skewed, bad, K), "interval_calibrated")[0] == (False,)
 

@@ -70,7 +70,9 @@ def test_majority_vote(spark):
     assert [(r.predicted_action, r.tie_break) for r in out] == [("cut", False), ("hike", True), ("hold", False), ("cut", True)]
     with pytest.raises(ValueError):
         rules.majority_vote(df, voters[:3], "band", voters)
-    assert rules.invalid_votes(df.withColumn("fixed", F.lit("raise")), voters).count() == 4
+    rules.assert_votes(df, voters)
+    with pytest.raises(ValueError):
+        rules.assert_votes(df.withColumn("fixed", F.lit("raise")), voters)
 
 
 def test_ordinal_combine(spark):
