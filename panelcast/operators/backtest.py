@@ -162,8 +162,8 @@ def common_grid(pred: DataFrame, keys: list[str]) -> DataFrame:
         counted = complete.withColumns({"_all": models(keys), "_m": models([*keys, *GRID])})
         return counted.where(F.col("_m") == F.col("_all")).drop("_all", "_m")
     cells = complete.groupBy(*GRID).agg(F.count_distinct("model").alias("_m"))
-    total = complete.agg(F.count_distinct("model").alias("_all"))
-    keep = cells.crossJoin(total).where(F.col("_m") == F.col("_all")).select(*GRID)
+    total = complete.agg(F.count_distinct("model")).scalar()
+    keep = cells.where(F.col("_m") == total).select(*GRID)
     return complete.join(keep, GRID, "left_semi")
 
 

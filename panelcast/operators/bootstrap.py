@@ -75,12 +75,15 @@ def bootstrap_gap(
     )
     gap = F.sqrt(F.col("sse_a") / F.col("cells")) - F.sqrt(F.col("sse_b") / F.col("cells"))
     boot = _packed_reps(per_origin, keys, "origin_q", ["sse_a", "sse_b", "cells"], reps, seed).withColumn("_g", gap)
-    ci = boot.groupBy(*keys).agg(F.percentile("_g", [0.025, 0.975]).alias("_q"))
+    ci = F.percentile("_g", [0.025, 0.975]).alias("_q")
     point = per_origin.groupBy(*keys).agg(
         F.sum("sse_a").alias("sse_a"), F.sum("sse_b").alias("sse_b"), F.sum("cells").alias("cells"),
         F.count(F.lit(1)).alias("origins"),
     )
-    j = point.join(ci, keys) if keys else point.crossJoin(ci)
+    if keys:
+        j = point.join(boot.groupBy(*keys).agg(ci), keys)
+    else:
+        j = point.withColumn("_q", boot.agg(ci).scalar())
     return j.select(
         *keys, "origins", gap.alias("gap"), F.col("_q")[0].alias("ci_lower"), F.col("_q")[1].alias("ci_upper")
     )
@@ -115,9 +118,12 @@ def bootstrap_f1_gap(
     stats = [c for group in names.values() for c in group]
     gap = _macro_f1(names["ta"], names["pa"], names["ac"]) - _macro_f1(names["tb"], names["pb"], names["ac"])
     boot = _packed_reps(units, keys, period, stats, reps, seed).withColumn("_g", gap)
-    ci = boot.groupBy(*keys).agg(F.percentile("_g", [0.025, 0.975]).alias("_q"))
+    ci = F.percentile("_g", [0.025, 0.975]).alias("_q")
     point = units.groupBy(*keys).agg(*[F.sum(c).alias(c) for c in stats], F.count(F.lit(1)).alias("periods"))
-    j = point.join(ci, keys) if keys else point.crossJoin(ci)
+    if keys:
+        j = point.join(boot.groupBy(*keys).agg(ci), keys)
+    else:
+        j = point.withColumn("_q", boot.agg(ci).scalar())
     return j.select(
         *keys, "periods", gap.alias("gap"), F.col("_q")[0].alias("ci_lower"), F.col("_q")[1].alias("ci_upper")
     )

@@ -23,8 +23,9 @@ def fan(draws: DataFrame, ids: list[str], value: str = "value", **kw) -> DataFra
 def interval(draws: DataFrame, ids: list[str], lo: float, hi: float, value: str = "value", **kw) -> DataFrame:
     """Lower and upper quantile, median and mean."""
     q = exact_quantiles(draws, ids, value, {"lower": lo, "median": 0.5, "upper": hi}, **kw)
-    m = draws.groupBy(*ids).agg(F.avg(value).alias("mean"))
-    return q.join(m, ids) if ids else q.crossJoin(m)
+    if not ids:
+        return q.withColumn("mean", draws.agg(F.avg(value)).scalar())
+    return q.join(draws.groupBy(*ids).agg(F.avg(value).alias("mean")), ids)
 
 
 def sample_paths(draws: DataFrame, ids: list[str], n: int, seed: int, draw: str = "draw_id") -> DataFrame:

@@ -120,12 +120,12 @@ def current_factors(
 ) -> DataFrame:
     """Serving factors at the latest target quarter observed by any model."""
     ids = [*keys, "model"]
-    as_of = ivl.agg(F.max("target_q").alias("_as_of"))
+    as_of = ivl.agg(F.max("target_q")).scalar()
     per_target = ivl.groupBy(*ids, "target_q").agg(
         _finite_scores().alias("_s"), F.collect_set("horizon").alias("_h")
     )
     inside = F.lit(True) if window is None else F.col("target_q") > F.col("_as_of") - window
-    pooled = per_target.crossJoin(as_of).groupBy(*ids).agg(
+    pooled = per_target.withColumn("_as_of", as_of).groupBy(*ids).agg(
         F.array_sort(F.flatten(F.collect_list(F.when(inside, F.col("_s"))))).alias("_all"),
         F.array_distinct(F.flatten(F.collect_list("_h"))).alias("_h"),
     )

@@ -156,15 +156,15 @@ def oof_residuals(frame: DataFrame, fits: DataFrame, keys: list[str], features:
     )
 
 
-def predict_latest(df: DataFrame, fits: DataFrame, keys: list[str], features: list[str]) -> DataFrame:
-    """Every horizon from the latest complete row of each entity.
-
-    The fit table has one row per horizon, so pairing it with the entities is a small nested loop.
-    """
+def predict_latest(
+    df: DataFrame, fits: DataFrame, keys: list[str], features: list[str], horizons: list[int],
+) -> DataFrame:
+    """Every horizon from the latest complete row of each entity (a salted join on the horizon)."""
     last = df.groupBy(*keys).agg(F.max("q_idx").alias("origin_q"))
     latest = asof_latest(df, keys, features, last).where(F.col("asof_q").isNotNull())
     final = fits.where("fold = 0").select("horizon", "intercept", "coefficients")
-    return latest.crossJoin(F.broadcast(final)).select(
+    fanned = latest.withColumn("horizon", F.explode(F.array(*[F.lit(h) for h in horizons])))
+    return salted_join(fanned, final, ["horizon"]).select(
         *keys, F.col("asof_q").alias("origin_q"), "horizon",
         (F.col("asof_q") + F.col("horizon")).cast("int").alias("target_q"), _linear(features).alias("forecast"),
     )

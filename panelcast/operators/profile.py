@@ -119,7 +119,7 @@ def integrity_summary(df: DataFrame, keys: list[str], order: str | None = None)
     if order is None:
         return out
     flags = unsorted_flags(df, keys, F.col("q_idx"), order)
-    joined = out.join(flags, keys, "left") if keys else out.join(flags, F.lit(True), "left")
+    joined = out.join(flags, keys, "left") if keys else out.withColumn("unsorted", flags.scalar())
     return joined.withColumn("is_sorted", ~F.col("unsorted")).drop("unsorted")
 
 

@@ -109,7 +109,7 @@ def check_series(
     agg = days.groupBy(*keys).agg(*total)
     if order is not None:
         flags = unsorted_flags(typed, keys, F.col("_d"), order)
-        agg = agg.join(flags, keys, "left") if keys else agg.join(flags, F.lit(True), "left")
+        agg = agg.join(flags, keys, "left") if keys else agg.withColumn("unsorted", flags.scalar())
     else:
         agg = agg.withColumn("unsorted", F.lit(False))
     rows = F.coalesce("rows", F.lit(0))

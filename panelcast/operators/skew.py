@@ -21,8 +21,6 @@ def salted_join(
     of ``spread`` (its whole content by default). No broadcast hint is given: the optimiser still
     broadcasts ``per_group`` when its measured size is under the session threshold.
     """
-    if not keys:
-        return big.crossJoin(per_group) if how == "inner" else big.join(per_group, F.lit(True), how)
     base = spread if spread is not None else F.xxhash64(*[F.col(c) for c in big.columns])
     # never NULL, so that no filter is inferred below the join and equal inputs stay one shared exchange
     left = big.withColumn("_salt", F.coalesce(F.pmod(base, F.lit(salts)).cast("int"), F.lit(0)))

@@ -93,12 +93,12 @@ def event_dummies(spark, d):
     o = pn.table(spark, d, "orders").groupBy(cal.q_idx("o_orderdate").alias("q_idx")).agg(
         F.count(F.lit(1)).alias("n"), F.avg("o_totalprice").alias("v")
     )
-    means = o.agg(F.avg("n").alias("mn"), F.avg("v").alias("mv"))
+    usual, mean = o.agg(F.avg("n")).scalar(), o.agg(F.avg("v")).scalar()
     event = lambda cond, name, lead: F.when(cond, F.struct(F.lit(name).alias("dummy_name"), F.lit(lead).alias("lead_quarters")))
     found = F.array_compact(F.array(
-        event(F.col("n") < F.col("mn"), "slow", 1), event(F.col("v") > F.col("mv"), "dear", 0)
+        event(F.col("n") < usual, "slow", 1), event(F.col("v") > mean, "dear", 0)
     ))
-    events = o.crossJoin(means).select("q_idx", F.inline(found))
+    events = o.withColumn("_found", found).select("q_idx", F.inline("_found"))
     p = pn.order_panel(spark, d).select("entity", "q_idx")
     return ft.add_event_dummies(p, events, ["q_idx"], {"slow": 1, "dear": 0})
 

@@ -360,7 +360,7 @@ def out_of_fold_residuals(spark, d):
 def latest_pooled_forecasts(spark, d):
     """All horizons from the latest complete row of each entity."""
     p = staged(pn.line_panel(spark, d))
-    return po.predict_latest(p, fits(p), K, FEATURES)
+    return po.predict_latest(p, fits(p), K, FEATURES, [1, 2, 3])
 
 
 @query("nonzero_coefficients")

@@ -181,3 +181,24 @@ def test_top_rows_per_group_are_limited_before_the_shuffle(spark):
     out = profile.tail(df, ["g"], "id", 2)
     assert "WindowGroupLimit" in out._jdf.queryExecution().executedPlan().toString()
     assert out.count() == 6
+
+
+def test_single_series_case_without_keys(spark):
+    from panelcast.operators import bootstrap, intervals
+
+    m = np.random.default_rng(3).normal(size=(41, 1))
+    d = paths(spark, m)
+    r = dr.interval(d, [], 0.1, 0.9).first()
+    assert (r.lower, r.mean) == (pytest.approx(np.percentile(m, 10)), pytest.approx(m.mean()))
+    point = spark.createDataFrame([(7.0,)], "target double")
+    pairs = skew.salted_join(d, point, [])
+    assert pairs.count() == 41 and pairs.agg(F.min("target")).first()[0] == 7.0
+    pred = spark.createDataFrame(
+        [(x, o, o + 1, 1, 0.0, e, -e) for o in range(9) for x, e in (("a", float(o)), ("b", 1.0))],
+        "model string, origin_q int, target_q int, horizon int, actual double, forecast double, error double",
+    )
+    g = bootstrap.bootstrap_gap(pred, [], "a", "b", 50, 1).first()
+    assert g.origins == 9 and g.ci_lower <= g.gap <= g.ci_upper
+    ivl = pred.selectExpr("model", "origin_q", "target_q", "horizon", "abs(error) nonconformity_score")
+    f = intervals.current_factors(ivl, [], 0.8, None, 5)
+    assert rows(f, "model", "scale_factor") == [("a", 7.0), ("b", 1.0)]

@@ -317,7 +317,7 @@ def test_tuning_equals_refits_on_raw_rows(spark):
     fits_df = pooled.tune_direct(frame, ["x", "z"], alphas, ratios, 3)
     res = pooled.oof_residuals(frame, fits_df, K, ["x", "z"]).toPandas()
     assert len(res) == (pdf.fold > 0).sum() and set(res.fold) == {1, 2, 3}
-    latest = pooled.predict_latest(df, fits_df, K, ["x", "z"]).collect()
+    latest = pooled.predict_latest(df, fits_df, K, ["x", "z"], [2]).collect()
     assert {(r.k, r.horizon, r.origin_q) for r in latest} == {("a", 2, 29), ("b", 2, 29)}
 
 
