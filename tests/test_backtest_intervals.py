@@ -260,3 +260,11 @@ def test_bootstrap_matches_plain_resampling(spark):
         gaps.append(math.sqrt(sa[idx].sum() / 24) - math.sqrt(sb[idx].sum() / 24))
     assert r.gap == pytest.approx(math.sqrt(sa.mean() / 2) - math.sqrt(sb.mean() / 2))
     assert (r.ci_lower, r.ci_upper) == pytest.approx(tuple(np.percentile(gaps, [2.5, 97.5])))
+
+
+def test_report_orders(spark):
+    p = preds(spark, [(m, 1, h, 1.0) for m in ("b", "a") for h in (2, 1)])
+    t = bt.metric_table(p, K)
+    listed = lambda df: [(r.model, r.horizon) for r in df.collect()]
+    assert listed(bt.order_by_model(t, K)) == [("a", None), ("a", 1), ("a", 2), ("b", None), ("b", 1), ("b", 2)]
+    assert listed(bt.report_order(t, K, ["b"])) == [("b", None), ("a", None), ("b", 1), ("a", 1), ("b", 2), ("a", 2)]
