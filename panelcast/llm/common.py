@@ -58,6 +58,21 @@ def salted_join(rows: DataFrame, per_key: DataFrame, keys: list[str], spread: Co
     return left.join(right, [*keys, "_salt"], how).drop("_salt")
 
 
+#: Bits of the filter below: at most 2**17 words of 64 bits, so the table that is broadcast never exceeds 2 MB.
+FILTER_BITS = 1 << 23
+
+
+def maybe_in(rows: DataFrame, key: str, wanted: DataFrame, wanted_key: str) -> DataFrame:
+    """Rows whose key may be among the wanted: none of those is lost, a few others pass.
+
+    A join that follows then shuffles little more than its result. A null key is not among them.
+    """
+    bit = lambda c: F.pmod(F.xxhash64(F.col(c).cast("long")), F.lit(FILTER_BITS))
+    words = wanted.select(bit(wanted_key).alias("_b")).groupBy(F.shiftright("_b", 6).alias("_w")).agg(F.expr("bit_or(shiftleft(1L, cast(_b & 63 AS INT)))").alias("_bits"))
+    marked = rows.withColumn("_b", bit(key)).withColumn("_w", F.shiftright("_b", 6)).join(F.broadcast(words), "_w")
+    return marked.where("shiftrightunsigned(_bits, cast(_b & 63 AS INT)) & 1 = 1").drop("_w", "_b", "_bits")
+
+
 def worker_cache(name: str) -> dict:
     """A dict that lives as long as the Python worker, across its tasks. Callers bound its size."""
     holder = sys.modules.setdefault("panelcast_worker_cache", types.ModuleType("panelcast_worker_cache"))
@@ -104,4 +119,4 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     raise RuntimeError(f"no components after {max_rounds} rounds")
 
 
-__all__ = ["SPACES", "ascii_lower", "checkpoint_folder", "components", "crc_fold", "fresh_folder", "id_and_text", "partitions", "salted_join", "slices", "table", "worker_cache", "written"]
+__all__ = ["SPACES", "ascii_lower", "checkpoint_folder", "components", "crc_fold", "fresh_folder", "id_and_text", "maybe_in", "partitions", "salted_join", "slices", "table", "worker_cache", "written"]

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelcast.llm import byte_bpe, chat, exact, packing, token_files
+from panelcast.llm import byte_bpe, chat, exact, neardup, packing, token_files
 from panelcast.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -65,6 +65,12 @@ def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.decode(byte_bpe.encode(table(spark, sf_dir, "documents"), ranks, pattern), ranks, pattern)
 
 
+@query
+def op9_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its component of near duplicates on 4-word shingles."""
+    return neardup.near_groups(table(spark, sf_dir, "documents"), words=4, percent=80)
+
+
 @query
 def op10_swap_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's pieces placed in sequences of 4096 ids."""
