@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelcast.llm import byte_bpe, chat, exact, neardup, packing, token_files
-from panelcast.llm.common import table
+from panelcast.llm import byte_bpe, chat, exact, neardup, packing, token_files, toxicity
+from panelcast.llm.common import crc_fold, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -65,6 +65,20 @@ def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.decode(byte_bpe.encode(table(spark, sf_dir, "documents"), ranks, pattern), ranks, pattern)
 
 
+def toxicity_model(docs: DataFrame, labels: DataFrame) -> toxicity.Model:
+    """Fitted on the labels outside the held-out fold."""
+    return toxicity.fit(docs, labels.where(crc_fold(3) != 1))
+
+
+@query
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's probability of being toxic."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity_model(docs, table(spark, sf_dir, "labels"))
+    scored = toxicity.score(docs, model, "score").select("doc_id", (crc_fold(3) == 1).alias("held_out"), "score")
+    return scored.withColumn("predicted", (F.col("score") >= 0.7).cast("int"))
+
+
 @query
 def op9_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with its component of near duplicates on 4-word shingles."""
