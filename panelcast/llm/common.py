@@ -62,15 +62,19 @@ def salted_join(rows: DataFrame, per_key: DataFrame, keys: list[str], spread: Co
 FILTER_BITS = 1 << 23
 
 
-def maybe_in(rows: DataFrame, key: str, wanted: DataFrame, wanted_key: str) -> DataFrame:
+def maybe_in(rows: DataFrame, key: str, wanted: DataFrame, wanted_key: str, flag: str | None = None) -> DataFrame:
     """Rows whose key may be among the wanted: none of those is lost, a few others pass.
 
-    A join that follows then shuffles little more than its result. A null key is not among them.
+    A join that follows then shuffles little more than its result. A null key is not among them. With ``flag``
+    all rows stay and that column tells.
     """
     bit = lambda c: F.pmod(F.xxhash64(F.col(c).cast("long")), F.lit(FILTER_BITS))
     words = wanted.select(bit(wanted_key).alias("_b")).groupBy(F.shiftright("_b", 6).alias("_w")).agg(F.expr("bit_or(shiftleft(1L, cast(_b & 63 AS INT)))").alias("_bits"))
-    marked = rows.withColumn("_b", bit(key)).withColumn("_w", F.shiftright("_b", 6)).join(F.broadcast(words), "_w")
-    return marked.where("shiftrightunsigned(_bits, cast(_b & 63 AS INT)) & 1 = 1").drop("_w", "_b", "_bits")
+    marked = rows.withColumn("_b", F.when(F.col(key).isNotNull(), bit(key))).withColumn("_w", F.shiftright("_b", 6))
+    set_ = F.expr("coalesce(shiftrightunsigned(_bits, cast(_b & 63 AS INT)) & 1, 0) = 1")
+    if flag:
+        return marked.join(F.broadcast(words), "_w", "left").withColumn(flag, set_).drop("_w", "_b", "_bits")
+    return marked.join(F.broadcast(words), "_w").where(set_).drop("_w", "_b", "_bits")
 
 
 def worker_cache(name: str) -> dict:

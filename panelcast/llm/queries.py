@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelcast.llm import byte_bpe, chat, exact, imatch, neardup, packing, token_files, toxicity
+from panelcast.llm import byte_bpe, chat, exact, imatch, neardup, packing, secret_scan, token_files, toxicity
 from panelcast.llm.common import crc_fold, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -37,6 +37,13 @@ def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.encoded_files(table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"), end_id=2)
 
 
+@query
+def op2_secret_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every candidate secret of the documents with its place, score and the forest's decision."""
+    found = secret_scan.scan(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "start", F.length("value").alias("length"), F.sha2(F.col("value").cast("binary"), 256).alias("value_sha256"), "score", "is_secret")
+
+
 @query
 def op3_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's fingerprint, and how near it is to its edited text's and the next document's."""
