@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelcast.llm import byte_bpe, chat, exact, imatch, neardup, packing, secret_scan, token_files, toxicity
+from panelcast.llm import byte_bpe, chat, exact, imatch, lm, neardup, packing, secret_scan, token_files, toxicity
 from panelcast.llm.common import crc_fold, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -78,6 +78,13 @@ def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.decode(byte_bpe.encode(table(spark, sf_dir, "documents"), ranks, pattern), ranks, pattern)
 
 
+@query
+def op7_interpolated_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's log10 probability, learned from those outside the held-out tenth."""
+    docs = table(spark, sf_dir, "documents")
+    return lm.score(docs.withColumn("held", crc_fold(10) == 0))
+
+
 def toxicity_model(docs: DataFrame, labels: DataFrame) -> toxicity.Model:
     """Fitted on the labels outside the held-out fold."""
     return toxicity.fit(docs, labels.where(crc_fold(3) != 1))
