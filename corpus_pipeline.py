@@ -7,9 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelcast.llm import exact, packing
-from panelcast.llm.common import fresh_folder
-from panelcast.llm.queries import tokenizer
+from panelcast.llm import exact, neardup, packing, secret_scan, toxicity
+from panelcast.llm.common import fresh_folder, table
+from panelcast.llm.queries import tokenizer, toxicity_model
+
+
+def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that score 0.7 or more go; the model learns from the labels of those at hand."""
+    return toxicity.drop_toxic(docs, toxicity_model(docs, table(spark, sf_dir, "labels")), bar=0.7)
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -17,6 +22,16 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return exact.drop_copies(docs)
 
 
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates stays: five-word shingles, similarity 0.8 or more."""
+    return neardup.drop_near_copies(docs, words=5, percent=80)
+
+
+def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """What the forest takes for a secret is masked in the text; every document stays."""
+    return secret_scan.redact(docs, secret_scan.scan(docs))
+
+
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of what is left, placed in sequences."""
     own = packing.pieces(docs, tokenizer("word_bpe_49k.json"), end_id=1)
@@ -24,7 +39,11 @@ def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
-    ("exact_dedup", exact_dedup), ("pack_sequences", pack_sequences),
+    ("toxicity", reject_toxic),
+    ("exact_dedup", exact_dedup),
+    ("near_dedup", near_dedup),
+    ("secrets", mask_secrets),
+    ("packing", pack_sequences),
 ]
 
 ORACLE_SQL: str | None = None  # model fits, sketches and packing have no SQL; tests hold them against brute force
