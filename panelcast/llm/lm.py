@@ -17,7 +17,7 @@ from panelcast.llm.words import hash_words
 
 CHUNK = 4_000_000  # tokens of a chunk; one longer document is a chunk of its own
 BUCKETS = 40  # context-frequency buckets: the bit length of the context's count
-BINS, FINE = 1600, 16  # ratio classes: sixteenths of an octave from 2**-40 to 2**60, class 0 for a ratio of 0
+BINS, FINE = 3200, 32  # ratio classes: 1/32 of an octave from 2**-40 to 2**60, class 0 for a ratio of 0
 TOTAL = 8  # bytes of a total over all chunks; those of a chunk fit in 4
 KEY = "chunk long, kind int, q int, keys binary, counts binary"
 CHUNKS = "chunk long, ids array<long>, held array<boolean>, sizes array<int>, vocab binary, tokens binary"
@@ -210,7 +210,7 @@ def _bucket(context):
 
 
 def _class(ratio):
-    """Class of a ratio; its middle stands for it in the mixture."""
+    """Class of a ratio; its lower end stands for it, so that no probability is more than the mixture gives."""
     import numpy as np
 
     with np.errstate(divide="ignore"):
@@ -221,7 +221,7 @@ def _class(ratio):
 def class_ratio():
     import numpy as np
 
-    out = 2.0 ** ((np.arange(BINS) - 0.5) / FINE - 40)
+    out = 2.0 ** ((np.arange(BINS) - 1) / FINE - 40)
     out[0] = 0.0
     return out
 

@@ -253,4 +253,6 @@ def near_groups(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame
 def drop_near_copies(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """``docs`` with its columns, one document of each group of near duplicates; a kept id keeps all its rows."""
     gone = written(near_groups(docs, words, percent).where("not kept").select(F.col("doc_id").alias("_gone")).distinct())
-    return docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
+    rows = docs.select(F.struct(*docs.columns).alias("_row"), F.col("doc_id").cast("long").alias("_doc"))
+    kept = rows.join(gone, F.col("_doc") == F.col("_gone"), "left_anti")
+    return kept.select(*[F.col(f"_row.`{c}`").alias(c) for c in docs.columns])

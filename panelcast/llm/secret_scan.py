@@ -160,14 +160,13 @@ def redact(docs: DataFrame, findings: DataFrame, mask: str = "[SECRET]") -> Data
     masked first, so that one inside another leaves no rest.
     """
     values = written(findings.where("is_secret").groupBy("_key").agg(F.collect_set("value").alias("_secrets")))
-    keyed = docs.withColumn("_own_key", _row_key())
-    marked = maybe_in(keyed, "_own_key", values, "_key", flag="_maybe")
-    rest = marked.where("NOT _maybe").select(*docs.columns)
-    hit = marked.where("_maybe").select(*docs.columns, "_own_key").join(values, F.col("_own_key") == F.col("_key"), "left")
+    rows = docs.select(F.struct(*docs.columns).alias("_row"), _row_key().alias("_own_key"))
+    marked = maybe_in(rows, "_own_key", values, "_key", flag="_maybe")
+    plain = [F.col(f"_row.`{c}`").alias(c) for c in docs.columns]
+    rest = marked.where("NOT _maybe").select(*plain)
+    hit = marked.where("_maybe").join(values, F.col("_own_key") == F.col("_key"), "left")
     longest = F.array_sort("_secrets", lambda a, b: F.length(b) - F.length(a))
-    text = F.when(F.col("_secrets").isNull(), F.col("text")).otherwise(F.aggregate(longest, F.col("text"), lambda t, v: F.replace(t, v, F.lit(mask))))
-    hit = hit.withColumn("text", text)
-    if "n_chars" in docs.columns:
-        kind = docs.schema["n_chars"].dataType
-        hit = hit.withColumn("n_chars", F.when(F.col("_secrets").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(kind)))
-    return rest.unionByName(hit.select(*docs.columns))
+    masked = F.aggregate(longest, F.col("_row.text"), lambda t, v: F.replace(t, v, F.lit(mask)))
+    new = {"text": masked, "n_chars": F.length(masked)}
+    changed = [F.when(F.col("_secrets").isNull(), F.col(f"_row.`{c}`")).otherwise(new[c].cast(docs.schema[c].dataType)).alias(c) if c in new else p for c, p in zip(docs.columns, plain)]
+    return rest.unionByName(hit.select(*changed))
