@@ -46,8 +46,16 @@ def resample(
     return out.withColumn("quarter", q_label("q_idx"))
 
 
-def merge_series(long: DataFrame, keys: list[str], names: list[str], series: str = "series_id") -> DataFrame:
-    """Outer merge of many series on the quarter as one grouped pivot (a single shuffle)."""
+def merge_series(long: DataFrame, keys: list[str], names: list[str], series: str = "series_id", others: bool = False) -> DataFrame:
+    """Outer merge of many series on the quarter as one grouped pivot (a single shuffle).
+
+    A series that ``names`` does not list is an error (found in a pass over the reduced table), unless ``others``
+    says that it may be left out.
+    """
+    if not others:
+        unlisted = long.where(~F.col(series).isin(*names)).select(series).distinct().limit(5).collect()
+        if unlisted:
+            raise ValueError(f"series that are not merged: {sorted(str(r[0]) for r in unlisted)}")
     cells = [F.max(F.when(F.col(series) == n, F.col("value"))).alias(n) for n in names]
     return (
         long.where(F.col(series).isin(*names))

@@ -1,7 +1,8 @@
 """Deterministic resampling with replacement and paired bootstrap gaps.
 
 The position drawn for (seed, replicate, slot) is an md5 remainder, so a rerun, a retried task or another
-engine draws the same rows.
+engine draws the same rows. The position has no key in it: entities with equally many units draw alike, as paired
+comparisons across entities need.
 """
 
 from __future__ import annotations
@@ -11,6 +12,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 
+BLOCK = 100  # replicates that one row of packed units makes
+
+
 def draw_index(seed: int, rep: Column, slot: Column, n: Column) -> Column:
     """0-based position: the first 32 bits of md5("seed:rep:slot") modulo n."""
     text = F.concat_ws(":", F.lit(str(seed)), rep.cast("string"), slot.cast("string"))
@@ -40,16 +44,20 @@ def _packed_reps(units: DataFrame, keys: list[str], order: str, stats: list[str]
     packed = units.groupBy(*keys).agg(
         F.array_sort(F.collect_list(F.struct(order, F.array(*[F.col(c).cast("double") for c in stats]).alias("v")))).alias("_u")
     )
-    reps_rows = packed.select(*keys, "_u", F.explode(F.sequence(F.lit(0), F.lit(reps - 1))).alias("rep"))
-    n = F.size("_u")
-    picks = F.transform(
-        F.sequence(F.lit(0), n - 1),
-        lambda s: F.get(F.col("_u"), draw_index(seed, F.col("rep"), s, n).cast("int"))["v"],
-    )
+    last, n = F.lit(reps - 1), F.size("_u")
+    blocks = packed.select(*keys, "_u", F.explode(F.sequence(F.lit(0), last, F.lit(BLOCK))).alias("_b"))
+    # a few replicates per task also where one group holds all units
+    blocks = blocks.repartition(int(units.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys, "_b")
     zero = F.array(*[F.lit(0.0)] * len(stats))
-    total = F.aggregate("_p", zero, lambda acc, v: F.zip_with(acc, v, lambda x, y: x + y))
-    summed = reps_rows.withColumn("_p", picks).select(*keys, "rep", total.alias("_t"))
-    return summed.select(*keys, "rep", *[F.col("_t")[i].alias(c) for i, c in enumerate(stats)])
+
+    def total(rep: Column) -> Column:
+        picks = F.transform(F.sequence(F.lit(0), n - 1), lambda s: F.get(F.col("_u"), draw_index(seed, rep, s, n).cast("int"))["v"])
+        return F.aggregate(picks, zero, lambda acc, v: F.zip_with(acc, v, lambda x, y: x + y))
+
+    # replicates are made inside the row, so the units are not copied for each of them
+    summed = F.transform(F.sequence(F.col("_b"), F.least(F.col("_b") + (BLOCK - 1), last)), lambda rep: F.struct(rep.alias("rep"), total(rep).alias("_t")))
+    out = blocks.select(*keys, F.inline(summed))
+    return out.select(*keys, "rep", *[F.col("_t")[i].alias(c) for i, c in enumerate(stats)])
 
 
 def bootstrap_gap(

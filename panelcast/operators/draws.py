@@ -16,16 +16,13 @@ from panelcast.operators.skew import exact_quantiles, salted_join
 FAN = {"p10": 0.10, "p25": 0.25, "median": 0.50, "p75": 0.75, "p90": 0.90}
 
 
-def fan(draws: DataFrame, ids: list[str], value: str = "value", **kw) -> DataFrame:
-    return exact_quantiles(draws, ids, value, FAN, **kw)
+def fan(draws: DataFrame, ids: list[str], value: str = "value") -> DataFrame:
+    return exact_quantiles(draws, ids, value, FAN)
 
 
-def interval(draws: DataFrame, ids: list[str], lo: float, hi: float, value: str = "value", **kw) -> DataFrame:
+def interval(draws: DataFrame, ids: list[str], lo: float, hi: float, value: str = "value") -> DataFrame:
     """Lower and upper quantile, median and mean."""
-    q = exact_quantiles(draws, ids, value, {"lower": lo, "median": 0.5, "upper": hi}, **kw)
-    if not ids:
-        return q.withColumn("mean", draws.agg(F.avg(value)).scalar())
-    return q.join(draws.groupBy(*ids).agg(F.avg(value).alias("mean")), ids)
+    return exact_quantiles(draws, ids, value, {"lower": lo, "median": 0.5, "upper": hi}, with_mean=True)
 
 
 def sample_paths(draws: DataFrame, ids: list[str], n: int, seed: int, draw: str = "draw_id") -> DataFrame:
@@ -49,11 +46,21 @@ def combine_draws(a: DataFrame, b: DataFrame, on: list[str], weight: float = 0.5
     return j.select(*on, (weight * F.col("_a") + (1.0 - weight) * F.col("_b")).alias(value))
 
 
-def recenter(draws: DataFrame, point: DataFrame, ids: list[str], target: str, value: str = "value", **kw) -> DataFrame:
-    """Shift each group's draws so that their median equals the given point; the spread is unchanged."""
-    med = exact_quantiles(draws, ids, value, {"_m": 0.5}, **kw)
-    shift = med.join(point.select(*ids, target), ids).select(*ids, (F.col(target) - F.col("_m")).alias("_s"))
-    return salted_join(draws, shift, ids).withColumn(value, F.col(value) + F.col("_s")).drop("_s")
+def recenter(draws: DataFrame, point: DataFrame | None, ids: list[str], target: str, spread: list[str], value: str = "value") -> DataFrame:
+    """Shift each group's draws so that their median equals the given point; the spread is unchanged.
+
+    Without ``point`` the target is the group's mean, taken from the same counted values as the median.
+    ``spread`` tells the draws of a group apart (draw id, horizon). NULL ids are groups like any other.
+    """
+    med = exact_quantiles(draws, ids, value, {"_m": 0.5}, with_mean=point is None)
+    key = F.struct(*ids) if ids else F.struct(F.lit(0).alias("all"))
+    if point is None:
+        shift = med.select(key.alias("_k"), (F.col("mean") - F.col("_m")).alias("_s"))
+    else:
+        aim = point.select(key.alias("_k"), F.col(target).alias("_t"))
+        shift = med.select(key.alias("_k"), "_m").join(aim, "_k").select("_k", (F.col("_t") - F.col("_m")).alias("_s"))
+    moved = salted_join(draws.withColumn("_k", key), shift, ["_k"], spread)
+    return moved.withColumn(value, F.col(value) + F.col("_s")).select(*draws.columns)
 
 
 def band_probabilities(draws: DataFrame, ids: list[str], lo: float, hi: float, value: str = "value") -> DataFrame:
@@ -66,14 +73,14 @@ def band_probabilities(draws: DataFrame, ids: list[str], lo: float, hi: float, v
 
 def cumulative_change_quantiles(
     draws: DataFrame, level: DataFrame, ids: list[str], h: int, qs: dict[str, float], level_col: str,
-    value: str = "value", **kw,
+    value: str = "value",
 ) -> DataFrame:
     """Quantiles of the change from the current level to horizon h.
 
     Subtracting a per-group constant keeps the order, so quantiles are taken first and the level after:
     the draws themselves are never joined.
     """
-    q = exact_quantiles(draws.where(F.col("horizon") == h), ids, value, qs, **kw)
+    q = exact_quantiles(draws.where(F.col("horizon") == h), ids, value, qs)
     j = q.join(level.select(*ids, level_col), ids)
     return j.select(*ids, *[(F.col(n) - F.col(level_col)).alias(n) for n in qs])
 
@@ -102,7 +109,7 @@ def scenario(
         *ids, "draw_id", (F.col("horizon") + 1).alias("horizon"), F.col("value").alias("_r")
     )
     base = draws.join(unit, [*ids, "draw_id", "horizon"])
-    j = salted_join(base, size, ids)
+    j = salted_join(base, size, ids, ["draw_id", "horizon"])
     c = F.col("shock_size") * F.col("_r")
     return j.withColumns({"contribution": c, "combined": F.col("value") + c}).drop("_r")
 
@@ -124,9 +131,9 @@ def residual_paths(
     # one array of whole residual rows per entity; its length is the number of origins
     packed = full.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("origin_q", "_r"))).alias("_u"))
     med = full.select(*keys, F.inline("_r")).groupBy(*keys, "horizon").agg(F.median("residual").alias("_m"))
-    picks = packed.select(*keys, "_u", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("draw_id"))
-    row = F.get("_u", draw_index(seed, F.col("draw_id"), F.lit(0), F.size("_u")).cast("int"))
-    drawn = picks.select(*keys, "draw_id", row["origin_q"].alias("source_q"), row["_r"].alias("_r"))
+    row = lambda d: F.get(F.col("_u"), draw_index(seed, d, F.lit(0), F.size("_u")).cast("int"))
+    made = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda d: F.struct(d.alias("draw_id"), row(d).alias("_x")))
+    drawn = packed.select(*keys, F.inline(made)).select(*keys, "draw_id", F.col("_x.origin_q").alias("source_q"), F.col("_x._r").alias("_r"))
     long = drawn.select(*keys, "draw_id", "source_q", F.inline("_r"))
     centred = long.join(med, [*keys, "horizon"]).select(
         *keys, "draw_id", "source_q", "horizon", (F.col("residual") - F.col("_m")).alias("_e")

@@ -69,24 +69,34 @@ def event_leads(events: DataFrame) -> DataFrame:
     )
 
 
-def add_event_dummies(df: DataFrame, events: DataFrame, on: list[str], names: Mapping[str, int] | None = None) -> DataFrame:
+MAX_DUMMIES = 1000  # event names a table may have: each is a column
+
+
+def add_event_dummies(df: DataFrame, events: DataFrame, on: list[str], names: Mapping[str, int] | None = None, spread: list[str] | None = None) -> DataFrame:
     """0/1 columns ``<name>_lag<lead>`` for quarters listed in the event table.
 
     The suffix records the lead; the dummy itself is not shifted. ``names`` (dummy -> lead) may be
-    passed to keep the plan lazy, otherwise the short list of event names is looked up first.
+    passed to choose among the event names; rows that disagree with a lead are an error either way.
+    ``spread`` are the columns that tell the rows of a quarter apart, such as the entity keys.
     """
     require_columns(events, [*on, "dummy_name", "lead_quarters"], "event table")
+    leads = event_leads(events).limit(MAX_DUMMIES + 1).collect()  # one row per dummy, checked before it is used
+    if len(leads) > MAX_DUMMIES:
+        raise ValueError(f"more than {MAX_DUMMIES} event names; each would be a column")
+    bad = sorted(r.dummy_name for r in leads if not r.consistent)
+    if bad:
+        raise ValueError(f"rows must share one consistent lead_quarters value: {bad}")
+    found = {r.dummy_name: r.lead_quarters for r in leads}
     if names is None:
-        leads = event_leads(events).collect()  # one row per dummy: the event table is hand-made metadata
-        bad = sorted(r.dummy_name for r in leads if not r.consistent)
-        if bad:
-            raise ValueError(f"rows must share one consistent lead_quarters value: {bad}")
-        names = {r.dummy_name: r.lead_quarters for r in leads}
+        names = found
+    elif other := sorted(n for n, lead in names.items() if n in found and found[n] != lead):
+        raise ValueError(f"the event table has another lead_quarters for {other}")
     order = sorted(names)
     flags = events.groupBy(*on).agg(
         *[F.max((F.col("dummy_name") == n).cast("int")).alias(f"{n}_lag{int(names[n])}") for n in order]
     )
-    joined = salted_join(df, flags, on, "left")  # few quarters, possibly very many entities per quarter
+    # few quarters, possibly very many entities per quarter
+    joined = salted_join(df, flags, on, spread, "left") if spread else df.join(flags, on, "left")
     return joined.fillna(0, subset=[f"{n}_lag{int(names[n])}" for n in order])
 
 

@@ -7,6 +7,9 @@ out-of-fold scoring then work on those few small matrices and never read the dat
 
 from __future__ import annotations
 
+from itertools import product
+from types import SimpleNamespace
+
 import numpy as np
 import pandas as pd
 from pyspark.ml.classification import GBTClassifier
@@ -20,7 +23,6 @@ from panelcast.operators.align import asof_latest, over_time
 from panelcast.operators.features import time_series_folds
 from panelcast.operators.rules import class_code, ordinal_combine
 from panelcast.operators.screening import _unpack, moments
-from panelcast.operators.skew import salted_join
 
 # Default tuning grid.
 ALPHAS = tuple(float(a) for a in np.logspace(-3, 1, 10))
@@ -33,6 +35,7 @@ FIT_SCHEMA = T.StructType(
         T.StructField("alpha", T.DoubleType()), T.StructField("l1_ratio", T.DoubleType()),
         T.StructField("cv_mse", T.DoubleType()), T.StructField("train_rows", T.LongType()),
         T.StructField("intercept", T.DoubleType()), T.StructField("coefficients", T.ArrayType(T.DoubleType())),
+        T.StructField("converged", T.BooleanType()),
     ]
 )
 
@@ -51,10 +54,11 @@ def direct_frame(df: DataFrame, keys: list[str], target: str, features: list[str
 def with_time_folds(frame: DataFrame, folds: int = FOLDS) -> DataFrame:
     """Chronological folds cut on the calendar of each horizon, so no entity trains on another's future.
 
-    The calendar table has one row per horizon and quarter, each shared by all entities: a salted join.
+    The calendar table has one row per horizon and quarter: Spark broadcasts it by its measured size, else
+    splits hot quarters.
     """
     calendar = frame.select("horizon", "q_idx").distinct()
-    return salted_join(frame, time_series_folds(calendar, ["horizon"], folds), ["horizon", "q_idx"])
+    return frame.join(time_series_folds(calendar, ["horizon"], folds), ["horizon", "q_idx"])
 
 
 def _merge(parts: list[tuple[int, np.ndarray, np.ndarray]]) -> tuple[int, np.ndarray, np.ndarray]:
@@ -64,16 +68,17 @@ def _merge(parts: list[tuple[int, np.ndarray, np.ndarray]]) -> tuple[int, np.nda
     return n, mean, cov
 
 
-def elastic_net(mean: np.ndarray, cov: np.ndarray, alpha: float, l1_ratio: float, sweeps: int = 10_000) -> tuple[float, np.ndarray]:
+def elastic_net(mean: np.ndarray, cov: np.ndarray, alpha: float, l1_ratio: float, sweeps: int = 10_000) -> tuple[float, np.ndarray, bool]:
     """Coordinate descent on standardised moments (first entry is the response), raw-scale coefficients.
 
-    Minimises half the mean squared error plus alpha * (l1_ratio * |w| + (1 - l1_ratio) / 2 * w^2).
+    Minimises half the mean squared error plus alpha * (l1_ratio * |w| + (1 - l1_ratio) / 2 * w^2). The last value
+    tells whether the sweeps came to rest.
     """
     sd = np.sqrt(np.diag(cov)[1:])
     scale = np.where(sd > 0, sd, 1.0)
     g = cov[1:, 1:] / np.outer(scale, scale)
     c = cov[1:, 0] / scale
-    w = np.zeros(len(c))
+    w, rest = np.zeros(len(c)), False
     for _ in range(sweeps):
         move = 0.0
         for j in range(len(c)):
@@ -83,9 +88,10 @@ def elastic_net(mean: np.ndarray, cov: np.ndarray, alpha: float, l1_ratio: float
             move = max(move, abs(new - w[j]))
             w[j] = new
         if move <= 1e-10 * max(1.0, float(np.max(np.abs(w)))):
+            rest = True
             break
     raw = w / scale
-    return float(mean[0] - raw @ mean[1:]), raw
+    return float(mean[0] - raw @ mean[1:]), raw, rest
 
 
 def _mse(stats, intercept: float, w: np.ndarray) -> float:
@@ -104,26 +110,42 @@ def tune_direct(
     """
     cols = ["y", *features]
     stats = moments(frame, ["horizon", "fold"], cols)
+    packed = stats.groupBy("horizon").agg(F.collect_list(F.struct("fold", "n", "means", "covs")).alias("blocks"))  # one entry per fold
+    grid = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(float(a)).alias("alpha"), F.lit(float(r)).alias("l1_ratio")) for i, (a, r) in enumerate(product(alphas, l1_ratios))])
+    spread = int(frame.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
-    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        blocks = {int(r.fold): _unpack(r, len(cols)) for r in pdf.itertuples(index=False)}
+    def windows(row) -> tuple[dict, dict]:
+        blocks = {int(b["fold"]): _unpack(SimpleNamespace(n=b["n"], means=b["means"], covs=b["covs"]), len(cols)) for b in row.blocks}
         tests = [i for i in range(1, folds + 1) if i in blocks and any(j < i for j in blocks)]
         train = {i: _merge([blocks[j] for j in sorted(blocks) if j < i]) for i in tests}
-        best = None
-        for a in alphas:
-            for r in l1_ratios:
-                scores = [_mse(blocks[i], *elastic_net(*train[i][1:], a, r)) for i in tests]
-                score = float(np.mean(scores)) if scores else np.inf
-                if best is None or score < best[0]:
-                    best = (score, a, r)
-        train[0] = _merge(list(blocks.values()))
-        out = []
-        for i, (n, mean, cov) in sorted(train.items()):
-            b0, w = elastic_net(mean, cov, best[1], best[2])
-            out.append((int(pdf.horizon.iloc[0]), i, best[1], best[2], best[0], n, b0, [float(v) for v in w]))
-        return pd.DataFrame(out, columns=FIT_SCHEMA.fieldNames())
-
-    return stats.groupBy("horizon").applyInPandas(solve, FIT_SCHEMA)
+        return blocks, train
+
+    def rate(batches):
+        for pdf in batches:
+            out = []
+            for r in pdf.itertuples(index=False):
+                blocks, train = windows(r)
+                scores = [_mse(blocks[i], *elastic_net(*train[i][1:], r.alpha, r.l1_ratio)[:2]) for i in train]
+                out.append((r.horizon, r.i, r.alpha, r.l1_ratio, float(np.mean(scores)) if scores else np.inf))
+            yield pd.DataFrame(out, columns=["horizon", "i", "alpha", "l1_ratio", "cv_mse"])
+
+    # one row per horizon and penalty: the search spreads over the tasks
+    cells = packed.withColumn("_g", F.explode(grid)).select("horizon", "blocks", "_g.*").repartition(spread, "horizon", "i")
+    rated = cells.mapInPandas(rate, "horizon int, i int, alpha double, l1_ratio double, cv_mse double")
+    best = rated.groupBy("horizon").agg(F.min_by(F.struct("alpha", "l1_ratio", "cv_mse"), F.struct("cv_mse", "i")).alias("_b"))
+
+    def solve(batches):
+        for pdf in batches:
+            out = []
+            for r in pdf.itertuples(index=False):
+                blocks, train = windows(r)
+                train[0] = _merge(list(blocks.values()))
+                for i, (n, mean, cov) in sorted(train.items()):
+                    b0, w, rest = elastic_net(mean, cov, r.alpha, r.l1_ratio)
+                    out.append((int(r.horizon), i, r.alpha, r.l1_ratio, r.cv_mse, n, b0, [float(v) for v in w], rest))
+            yield pd.DataFrame(out, columns=FIT_SCHEMA.fieldNames())
+
+    return packed.join(best, "horizon").select("horizon", "blocks", "_b.*").mapInPandas(solve, FIT_SCHEMA)
 
 
 def fit_direct(frame: DataFrame, features: list[str], alpha: float, l1_ratio: float) -> DataFrame:
@@ -135,8 +157,8 @@ def fit_direct(frame: DataFrame, features: list[str], alpha: float, l1_ratio: fl
             out = []
             for r in pdf.itertuples(index=False):
                 n, mean, cov = _unpack(r, len(cols))
-                b0, w = elastic_net(mean, cov, alpha, l1_ratio)
-                out.append((int(r.horizon), 0, alpha, l1_ratio, None, n, b0, [float(v) for v in w]))
+                b0, w, rest = elastic_net(mean, cov, alpha, l1_ratio)
+                out.append((int(r.horizon), 0, alpha, l1_ratio, None, n, b0, [float(v) for v in w], rest))
             yield pd.DataFrame(out, columns=FIT_SCHEMA.fieldNames())
 
     return moments(frame, ["horizon"], cols).mapInPandas(solve, FIT_SCHEMA)
@@ -150,7 +172,7 @@ def _linear(features: list[str]) -> Column:
 def oof_residuals(frame: DataFrame, fits: DataFrame, keys: list[str], features: list[str]) -> DataFrame:
     """Out-of-fold residuals: each test block scored with the fit of its own earlier rows."""
     f = fits.where("fold > 0").select("horizon", "fold", "intercept", "coefficients")
-    rows = salted_join(frame.where("fold > 0"), f, ["horizon", "fold"])
+    rows = frame.where("fold > 0").join(f, ["horizon", "fold"])
     return rows.select(
         *keys, F.col("q_idx").alias("origin_q"), "horizon", "fold", (F.col("y") - _linear(features)).alias("residual")
     )
@@ -159,12 +181,12 @@ def oof_residuals(frame: DataFrame, fits: DataFrame, keys: list[str], features:
 def predict_latest(
     df: DataFrame, fits: DataFrame, keys: list[str], features: list[str], horizons: list[int],
 ) -> DataFrame:
-    """Every horizon from the latest complete row of each entity (a salted join on the horizon)."""
+    """Every horizon from the latest complete row of each entity (joined to one row per horizon)."""
     last = df.groupBy(*keys).agg(F.max("q_idx").alias("origin_q"))
     latest = asof_latest(df, keys, features, last).where(F.col("asof_q").isNotNull())
     final = fits.where("fold = 0").select("horizon", "intercept", "coefficients")
     fanned = latest.withColumn("horizon", F.explode(F.array(*[F.lit(h) for h in horizons])))
-    return salted_join(fanned, final, ["horizon"]).select(
+    return fanned.join(final, ["horizon"]).select(
         *keys, F.col("asof_q").alias("origin_q"), "horizon",
         (F.col("asof_q") + F.col("horizon")).cast("int").alias("target_q"), _linear(features).alias("forecast"),
     )

@@ -12,7 +12,6 @@ from panelcast.functions.calendar import q_idx, q_label
 from panelcast.functions.numeric import ratio
 from panelcast.operators.align import over_time
 from panelcast.operators.features import label_regime
-from panelcast.operators.skew import salted_join
 
 
 # Coverage classes and their lower bounds.
@@ -248,7 +247,7 @@ def even_sample(df: DataFrame, keys: list[str], period: str, n: int) -> DataFram
         F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.bround(i * (F.col("_m") - 1) / F.lit(float(max(n - 1, 1))))
     )
     keep = (F.col("_m") <= n) | F.array_contains(spots, F.col("_i").cast("double"))
-    return salted_join(df, ranked.where(keep).select(*keys, period), [*keys, period]).select(*df.columns)
+    return df.join(ranked.where(keep).select(*keys, period), [*keys, period]).select(*df.columns)
 
 
 def edges(df: DataFrame, keys: list[str], value: str, period: str = "q_idx") -> DataFrame:

@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from panelcast.functions.calendar import horizon_label_to_int, q_from_label, q_label
 from panelcast.functions.numeric import to_number
-from panelcast.operators.skew import salted_join
 
 
 def to_long(df: DataFrame, ids: list[str], cols: list[str], drop_missing: bool = True) -> DataFrame:
@@ -88,14 +87,14 @@ def explode_arrays(df: DataFrame, keys: list[str], arrays: dict[str, str]) -> Da
 def explode_scenarios(
     df: DataFrame, keys: list[str], maps: dict[str, str], scenarios: DataFrame | None = None,
 ) -> DataFrame:
-    """Maps keyed by scenario to one row per scenario; scenario attributes joined when given."""
-    first = next(iter(maps))
-    rows = df.select(*keys, *maps, F.explode(F.map_keys(first)).alias("scenario"))
+    """Maps keyed by scenario to one row per scenario that any map has; scenario attributes joined when given."""
+    named = F.array_distinct(F.flatten(F.array(*[F.coalesce(F.map_keys(m), F.array().cast("array<string>")) for m in maps])))
+    rows = df.select(*keys, *maps, F.explode(named).alias("scenario"))
     out = rows.select(
         *keys, "scenario",
         *[F.try_element_at(F.col(m), F.col("scenario")).alias(name) for m, name in maps.items()],
     )
-    return out if scenarios is None else salted_join(out, scenarios, ["scenario"], "left")
+    return out if scenarios is None else out.join(scenarios, ["scenario"], "left")
 
 
 def explode_payload(df: DataFrame, json_col: str, schema: str, context: list[str], items: str) -> DataFrame:
@@ -106,10 +105,10 @@ def explode_payload(df: DataFrame, json_col: str, schema: str, context: list[str
     ).select(*context, "_i.*")
 
 
-def rank_of(col: str | Column, order: list[str], other: int = 99) -> Column:
-    """Position of a label in a fixed list; unlisted labels share one last rank."""
+def rank_of(col: str | Column, order: list[str], other: int | None = None) -> Column:
+    """Position of a label in a fixed list; unlisted labels share the rank after the last."""
     c = F.col(col) if isinstance(col, str) else col
-    return F.coalesce(*[F.when(c == v, F.lit(i)) for i, v in enumerate(order)], F.lit(other))
+    return F.coalesce(*[F.when(c == v, F.lit(i)) for i, v in enumerate(order)], F.lit(len(order) if other is None else other))
 
 
 def stack_predictions(frames: list[DataFrame], columns: list[str] | None = None) -> DataFrame:

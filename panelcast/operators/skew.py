@@ -4,110 +4,78 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-RANGE_BITS = 10  # a hot group is cut into 2 ** RANGE_BITS value ranges
+SALTS = 16  # copies of the small side unless the caller or ``spark.panelcast.salts`` says otherwise
 
 
 def salted_join(
-    big: DataFrame, per_group: DataFrame, keys: list[str], how: str = "inner",
-    spread: Column | None = None, salts: int = 16,
+    big: DataFrame, per_group: DataFrame, keys: list[str], spread: list[str], how: str = "inner", salts: int | None = None,
 ) -> DataFrame:
     """Join rows to a table with at most one row per key without sending a hot key to one task.
 
-    ``per_group`` is replicated ``salts`` times and each row of ``big`` picks one replica from a hash
-    of ``spread`` (its whole content by default). No broadcast hint is given: the optimiser still
-    broadcasts ``per_group`` when its measured size is under the session threshold.
+    ``per_group`` is replicated ``salts`` times and each row of ``big`` picks one replica from a hash of the
+    ``spread`` columns, which must tell the rows of a key apart. Only keys and spread are read for it, so other
+    columns stay prunable. A key with a share s of all rows puts s / salts on a task: choose salts of at least
+    s times the number of tasks. Meant for tables with few rows per key on the right; where the right side is
+    as long as the left, a plain join with the adaptive skew split is the better plan.
     """
-    base = spread if spread is not None else F.xxhash64(*[F.col(c) for c in big.columns])
-    # never NULL, so that no filter is inferred below the join and equal inputs stay one shared exchange
-    left = big.withColumn("_salt", F.coalesce(F.pmod(base, F.lit(salts)).cast("int"), F.lit(0)))
-    right = per_group.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return left.join(right, [*keys, "_salt"], how).drop("_salt")
+    n = salts or int(big.sparkSession.conf.get("spark.panelcast.salts", str(SALTS)))
+    salt = F.coalesce(F.pmod(F.xxhash64(*[F.col(c) for c in spread]), F.lit(n)).cast("int"), F.lit(0))
+    right = per_group.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+    return big.withColumn("_salt", salt).join(right, [*keys, "_salt"], how).drop("_salt")
 
 
 def exact_quantiles(
-    df: DataFrame, keys: list[str], value: str, quantiles: Mapping[str, float],
-    group_limit: int = 1_000_000, with_count: bool = False,
+    df: DataFrame, keys: list[str], value: str, quantiles: Mapping[str, float], with_count: bool = False, with_mean: bool = False,
 ) -> DataFrame:
-    """Linear-interpolation quantiles per group, exact for groups of any size.
+    """Linear-interpolation quantiles per group, exact for groups of any size, by one path for all sizes.
 
-    Equal values are counted first (map-side combined). Groups with at most ``group_limit`` distinct
-    values use the built-in aggregate on the counted values. Larger groups are cut into value ranges
-    whose edges come from a mergeable sketch; range totals give each range its starting rank and the
-    order statistics are then found inside single ranges. The sketch only balances the work: the
-    ranks are exact whatever edges it returns.
+    Equal values are counted first (map-side combined), so a (group, value) is one row however often it occurs.
+    These rows are range-partitioned by group and value: a large group spreads over many tasks, small ones share
+    a task. Totals per group and range, at most one row for each task that a group touches, give every range its
+    first rank; a running count inside the range gives every value its ranks.
+
+    NULL values do not count, but a group of NULLs alone stays, with NULL quantiles; NULL keys are groups.
+    Infinities are values; between two different infinities the interpolated value is NaN.
     """
     names, probs = list(quantiles), [float(p) for p in quantiles.values()]
-    # one never-NULL key column: the branches below then share the same counted exchange, and NULL keys
-    # are groups like any other
     key = F.struct(*[F.col(k) for k in keys]) if keys else F.struct(F.lit(0).alias("all"))
-    rows = df.select(key.alias("_k"), F.col(value).cast("double").alias("_v")).where(F.col("_v").isNotNull())
-    counts = rows.groupBy("_k", "_v").agg(F.count(F.lit(1)).alias("_c"))
-    sizes = counts.groupBy("_k").agg(F.count(F.lit(1)).alias("_d"), F.sum("_c").alias("_n"))
-    large = sizes.where(F.col("_d") > group_limit).select("_k", "_n")
-    flagged = salted_join(counts, large, ["_k"], "left", F.xxhash64("_v"))
-    cold = (
-        flagged.where(F.col("_n").isNull())
-        .groupBy("_k")
-        .agg(F.percentile("_v", probs, F.col("_c")).alias("_q"), F.sum("_c").alias("_n"))
-        .select("_k", *[F.col("_q")[i].alias(n) for i, n in enumerate(names)], "_n")
+    rows = df.select(key.alias("_k"), F.col(value).cast("double").alias("_v"))
+    counts = rows.groupBy("_k", "_v").agg(F.count("_v").alias("_c"))
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = counts.repartitionByRange(n, "_k", "_v").withColumn("_p", F.spark_partition_id())
+    totals = ranged.groupBy("_k", "_p").agg(F.sum("_c").alias("_t"), F.sum(F.col("_v") * F.col("_c")).alias("_s"))
+    group = W.partitionBy("_k")
+    starts = totals.select(
+        "_k", "_p", F.coalesce(F.sum("_t").over(group.orderBy("_p").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_start"),
+        F.sum("_t").over(group).alias("_n"), (F.sum("_s").over(group) / F.nullif(F.sum("_t").over(group), F.lit(0))).alias("_mean"),
     )
-    hot = _hot_quantiles(flagged.where(F.col("_n").isNotNull()), ["_k"], names, probs)
-    out = cold.unionByName(hot)
-    total = [F.col("_n").alias("n_values")] if with_count else []
-    return out.select(*[F.col("_k").getField(k).alias(k) for k in keys], *names, *total)
+    inside = W.partitionBy("_k", "_p").orderBy("_v").rowsBetween(W.unboundedPreceding, 0)
+    ranked = ranged.join(starts, ["_k", "_p"]).withColumn("_hi", F.col("_start") + F.sum("_c").over(inside)).withColumn("_lo", F.col("_hi") - F.col("_c"))
+    position = [F.lit(p) * (F.col("_n") - 1) for p in probs]
+    # a NULL value has no ranks but keeps its group; a position is at least 0 wherever there is a value
+    wanted = [r for pos in position for r in (F.floor(pos), F.ceil(pos))]
+    holds = [(r >= F.col("_lo")) & (r < F.col("_hi")) for r in wanted]
+    keep = F.col("_v").isNull()
+    for h in holds:
+        keep = keep | h
+    picks = [F.max(F.when(h, F.col("_v"))).alias(f"_r{i}") for i, h in enumerate(holds)]
+    stats = ranked.where(keep).groupBy("_k").agg(*picks, F.max("_n").alias("_n"), F.max("_mean").alias("_mean"))
+    out = []
+    for i, (name, pos) in enumerate(zip(names, position)):
+        part = pos - F.floor(pos)
+        lo, hi = F.col(f"_r{2 * i}"), F.col(f"_r{2 * i + 1}")
+        # equal ends first: infinity times zero is no number
+        out.append(F.when((part == 0) | (lo == hi), lo).otherwise(lo * (1 - part) + hi * part).alias(name))
+    more = [F.col("_n").alias("n_values")] * with_count + [F.col("_mean").alias("mean")] * with_mean
+    return stats.select(*[F.col("_k").getField(k).alias(k) for k in keys], *out, *more)
 
 
 def bounded_quantiles(df: DataFrame, keys: list[str], value: str, quantiles: Mapping[str, float]) -> DataFrame:
     """The same quantiles in one aggregation, for groups whose size the caller has fixed (simulation counts)."""
     probs = [float(p) for p in quantiles.values()]
-    agg = df.where(F.col(value).isNotNull()).groupBy(*keys).agg(F.percentile(F.col(value).cast("double"), probs).alias("_q"))
+    agg = df.groupBy(*keys).agg(F.percentile(F.col(value).cast("double"), probs).alias("_q"))
     return agg.select(*keys, *[F.col("_q")[i].alias(n) for i, n in enumerate(quantiles)])
-
-
-def _hot_quantiles(rows: DataFrame, keys: list[str], names, probs) -> DataFrame:
-    parts = 1 << RANGE_BITS
-    cuts = ", ".join(f"{i / parts}D" for i in range(1, parts))  # one parsed expression, not a thousand literals
-    # the (always true) condition keeps the count column, so that this branch reads the same exchange
-    edges = rows.where(F.col("_c") > 0).groupBy(*keys).agg(F.expr(f"percentile_approx(_v, array({cuts}), 10000)").alias("_e"))
-    ranged = salted_join(rows, edges, keys, "inner", F.xxhash64("_v")).withColumn("_b", F.lit(0))
-    for bit in reversed(range(RANGE_BITS)):  # binary search: one array read and comparison per step
-        step = 1 << bit
-        ranged = ranged.withColumn(
-            "_b", F.col("_b") + F.when(F.get("_e", F.col("_b") + (step - 1)) < F.col("_v"), step).otherwise(0)
-        )
-    ranged = ranged.drop("_e")
-    totals = ranged.groupBy(*keys, "_b").agg(F.sum("_c").alias("_t"), F.max("_n").alias("_n"))
-    starts = totals.withColumn(
-        "_s",
-        F.sum("_t").over(W.partitionBy(*keys).orderBy("_b").rowsBetween(W.unboundedPreceding, 0))
-        - F.col("_t"),
-    )
-    wanted = []
-    for p in probs:
-        pos = F.lit(p) * (F.col("_n") - 1)
-        wanted += [F.floor(pos), F.ceil(pos)]
-    hit = F.lit(False)
-    for r in wanted:
-        hit = hit | ((r >= F.col("_s")) & (r < F.col("_s") + F.col("_t")))
-    # only the ranges that hold a wanted rank are kept: at most two per quantile and group
-    useful = starts.where(hit).select(*keys, "_b", "_s")
-    inside = salted_join(ranged, useful, [*keys, "_b"], "inner", F.xxhash64("_v"))
-    w = W.partitionBy(*keys, "_b").orderBy("_v").rowsBetween(W.unboundedPreceding, 0)
-    ranked = inside.withColumn("_hi", F.col("_s") + F.sum("_c").over(w)).withColumn(
-        "_lo", F.col("_hi") - F.col("_c")
-    )
-    picks = []
-    for i, r in enumerate(wanted):
-        picks.append(F.max(F.when((r >= F.col("_lo")) & (r < F.col("_hi")), F.col("_v"))).alias(f"_r{i}"))
-    stats = ranked.groupBy(*keys).agg(*picks, F.max("_n").alias("_n"))
-    out = []
-    for i, (name, p) in enumerate(zip(names, probs)):
-        pos = F.lit(p) * (F.col("_n") - 1)
-        frac = pos - F.floor(pos)
-        lo, hi = F.col(f"_r{2 * i}"), F.col(f"_r{2 * i + 1}")
-        out.append((lo * (1 - frac) + hi * frac).alias(name))
-    return stats.select(*keys, *out, "_n")

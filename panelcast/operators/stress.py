@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from panelcast.operators.quality import assert_keys
-from panelcast.operators.skew import salted_join
 
 
 def stressed_pd(base: Column, delta: Column, sensitivity: Column) -> Column:
@@ -40,12 +39,12 @@ def credit_stress(exposures: DataFrame, scenarios: list[dict]) -> DataFrame:
 def join_assumptions(exposures: DataFrame, assumptions: list[DataFrame], on: str = "segment") -> DataFrame:
     """Attach per-segment assumption tables; an exposure segment without assumptions is an error.
 
-    There are few segments and many exposures, so the join is salted.
+    There are few segments: Spark broadcasts their table when its measured size allows, else splits hot segments.
     """
     out = exposures
     for table in assumptions:
         assert_keys(exposures, table, [on], "stress assumptions")
-        out = salted_join(out, table, [on])
+        out = out.join(table, [on])
     return out
 
 

@@ -272,7 +272,7 @@ def resampled_quarters(spark, d):
     return bs.resample(pn.order_panel(spark, d).drop("n_orders"), K, "q_idx", 20, 42)
 
 
-REPS = 200
+REPS = 2000
 
 
 @query(

@@ -302,7 +302,7 @@ def coefficient_ranges(spark, d):
     return pf.first_last_range(estimated(spark, d), K, "q_idx", ["coef_1", "coef_2"])
 
 
-REPS = 100
+REPS = 2000
 
 
 @query(

@@ -100,7 +100,7 @@ def event_dummies(spark, d):
     ))
     events = o.withColumn("_found", found).select("q_idx", F.inline("_found"))
     p = pn.order_panel(spark, d).select("entity", "q_idx")
-    return ft.add_event_dummies(p, events, ["q_idx"], {"slow": 1, "dear": 0})
+    return ft.add_event_dummies(p, events, ["q_idx"], {"slow": 1, "dear": 0}, ["entity"])
 
 
 @query("regime_labels", f"WITH {pn.PANEL} SELECT entity, q_idx, {REGIME} AS regime FROM panel")

@@ -374,7 +374,7 @@ def ordinal_tree_pair(spark, d):
     """Two boosted-tree classifiers on cumulative classes, combined ordinally."""
     p = pn.policy(spark, d)
     features = ["headline", "activity", "rate_lag1"]
-    models = po.fit_ordinal_pair(p, features, "actual_action", trees=10)
+    models = po.fit_ordinal_pair(p, features, "actual_action")
     out = po.predict_ordinal_pair(models, p)
     return out.select("entity", "q_idx", "actual_action", "predicted_action", "p_cut", "p_hold", "p_hike")
 

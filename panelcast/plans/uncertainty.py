@@ -8,6 +8,7 @@ from panelcast.functions import calendar as cal
 from panelcast.operators import draws as dr
 from panelcast.operators import intervals as iv
 from panelcast.operators import stress as st
+from panelcast.operators.skew import exact_quantiles
 from panelcast.plans import panels as pn
 from panelcast.plans.backtests import IDX
 from panelcast.plans.registry import binomial_sql, query, r, rs
@@ -208,8 +209,35 @@ def price_fan(spark, d):
     f"WITH {RAW_DRAWS} SELECT entity, {_quantile_list(dr.FAN)} FROM raw_draws GROUP BY 1",
 )
 def price_fan_split_groups(spark, d):
-    """The same over three very large groups with the size limit lowered, so every group is cut into ranges."""
-    return dr.fan(price_draws(spark, d), K, group_limit=100)
+    """The same over three very large groups, each spread over many tasks."""
+    return dr.fan(price_draws(spark, d), K)
+
+
+EDGE = """edge AS (SELECT CASE WHEN l_returnflag = 'N' THEN NULL ELSE l_returnflag END AS entity, l_linenumber AS line,
+   CASE WHEN l_linenumber = 7 THEN NULL WHEN l_orderkey % 97 = 0 AND l_linenumber < 4 THEN CAST('infinity' AS DOUBLE) WHEN l_quantity < 2 AND l_linenumber >= 4 THEN CAST('-infinity' AS DOUBLE) ELSE l_extendedprice / 997 END AS value FROM lineitem)"""
+
+
+@query(
+    "edge_quantiles",
+    f"""WITH {EDGE}, s AS (SELECT entity, line, list_sort(list(value) FILTER (value IS NOT NULL)) AS v, count(value) AS n FROM edge GROUP BY 1, 2),
+        q AS (SELECT entity, line, n, v, p, p * (n - 1) AS pos FROM s, (VALUES ('p0', 0.0::DOUBLE), ('mid', 0.5::DOUBLE), ('p100', 1.0::DOUBLE)) AS t(name, p)),
+        x AS (SELECT entity, line, n, p, CASE WHEN pos = floor(pos) OR v[CAST(floor(pos) AS BIGINT) + 1] = v[CAST(ceil(pos) AS BIGINT) + 1] THEN v[CAST(floor(pos) AS BIGINT) + 1]
+              ELSE v[CAST(floor(pos) AS BIGINT) + 1] * (1 - (pos - floor(pos))) + v[CAST(ceil(pos) AS BIGINT) + 1] * (pos - floor(pos)) END AS r FROM q)
+        SELECT entity, line, n AS n_values, max(CASE WHEN isinf(r) THEN CAST(r AS VARCHAR) ELSE printf('%.4f', r) END) FILTER (p = 0) AS p0,
+               max(CASE WHEN isinf(r) THEN CAST(r AS VARCHAR) ELSE printf('%.4f', r) END) FILTER (p = 0.5) AS mid,
+               max(CASE WHEN isinf(r) THEN CAST(r AS VARCHAR) ELSE printf('%.4f', r) END) FILTER (p = 1) AS p100 FROM x GROUP BY 1, 2, 3""",
+)
+def edge_quantiles(spark, d):
+    """Quantiles of groups with infinities, NULL values, NULL keys and nothing but NULLs, shown as text."""
+    li = pn.table(spark, d, "lineitem")
+    line = F.col("l_linenumber")
+    inf = float("inf")
+    value = F.when(line == 7, F.lit(None)).when((F.col("l_orderkey") % 97 == 0) & (line < 4), F.lit(inf)).when(
+        (F.col("l_quantity") < 2) & (line >= 4), F.lit(-inf)).otherwise(F.col("l_extendedprice") / 997)
+    rows = li.select(F.when(F.col("l_returnflag") != "N", F.col("l_returnflag")).alias("entity"), line.alias("line"), value.alias("value"))
+    q = exact_quantiles(rows, ["entity", "line"], "value", {"p0": 0.0, "mid": 0.5, "p100": 1.0}, with_count=True)
+    shown = lambda c: F.when(F.col(c) == inf, "inf").when(F.col(c) == -inf, "-inf").otherwise(F.format_string("%.4f", c)).alias(c)
+    return q.select("entity", "line", "n_values", *[F.when(F.col(c).isNotNull(), shown(c)).alias(c) for c in ("p0", "mid", "p100")])
 
 
 @query(
@@ -251,10 +279,8 @@ def averaged_draws(spark, d):
         SELECT entity, q_idx, draw_id, {r('value + (target - med)', 'value')} FROM raw_draws JOIN m USING (entity, q_idx)""",
 )
 def recentred_draws(spark, d):
-    """Draws shifted so that each group's median is its mean; the join back is salted."""
-    x = price_draws(spark, d)
-    point = x.groupBy(*G).agg(F.avg("value").alias("target"))
-    return dr.recenter(x, point, G, "target")
+    """Draws shifted so that each group's median is its mean; the join back is salted by draw."""
+    return dr.recenter(price_draws(spark, d), None, G, "target", ["draw_id"])
 
 
 @query(

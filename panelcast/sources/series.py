@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from panelcast.functions.numeric import numeric_complete, require_columns, to_number
-from panelcast.operators.skew import salted_join
 
 STEM = r"^(.+)_(\d{4})_(\d{4})$"
 
@@ -56,12 +55,18 @@ def latest_files(files: DataFrame, path: str = "path") -> DataFrame:
 
 
 def read_latest(spark: SparkSession, directory: str, schema) -> DataFrame:
-    """All rows of a download directory that belong to the newest file of each series."""
-    rows = spark.read.schema(schema).csv(directory, header=True).withColumn(
-        "path", F.col("_metadata.file_path")
-    )
-    newest = latest_files(rows.select("path").distinct()).select("series", "path")
-    return salted_join(rows, newest, ["path"])
+    """All rows of a download directory that belong to the newest file of each series.
+
+    The directory is listed without reading content, and only the newest files are scanned. One path per series
+    is kept on the driver.
+    """
+    listed = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(directory).select("path")
+    newest = latest_files(listed).select("series", "path").collect()
+    if not newest:
+        return spark.createDataFrame([], schema).withColumns({"path": F.lit(None).cast("string"), "series": F.lit(None).cast("string")})
+    rows = spark.read.schema(schema).csv([r.path for r in newest], header=True).withColumn("path", F.col("_metadata.file_path"))
+    stem = file_name("path")
+    return rows.withColumn("series", F.when(stem.rlike(STEM), F.regexp_extract(stem, STEM, 1)).otherwise(stem))
 
 
 def typed_series(df: DataFrame, date: str, value: str) -> DataFrame:

@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from panelcast.sources.pointer import move_pointer, read_pointer
+
 
 def trim_strings(df: DataFrame) -> DataFrame:
     return df.withColumns(
@@ -16,17 +18,23 @@ def trim_strings(df: DataFrame) -> DataFrame:
 
 
 def write_series(df: DataFrame, directory: str, series_col: str = "series_id") -> None:
-    """One CSV folder per series."""
-    trim_strings(df).write.mode("overwrite").partitionBy(series_col).option("header", True).csv(directory)
+    """One CSV folder per series; rows of a series are brought together first, so it has few files."""
+    trim_strings(df).repartition(series_col).write.mode("overwrite").partitionBy(series_col).option("header", True).csv(directory)
 
 
 def write_curated(df: DataFrame, directory: str, partition_by: list[str] | None = None) -> None:
-    """Parquet and CSV copies of the curated table, split by a coarse key when one is given."""
+    """Parquet and CSV copies of the curated table, split by a coarse key when one is given.
+
+    The plan runs once: the CSV copy is written from the Parquet one.
+    """
+    schema = df.schema
+    rows = df.repartition(*partition_by) if partition_by else df
     for kind in ("parquet", "csv"):
-        w = df.write.mode("overwrite").option("header", True)
+        w = rows.write.mode("overwrite").option("header", True)
         if partition_by:
             w = w.partitionBy(*partition_by)
         w.format(kind).save(f"{directory}/{kind}")
+        rows = df.sparkSession.read.schema(schema).parquet(f"{directory}/parquet")
 
 
 def load_manifest(df: DataFrame, path: str = "path") -> DataFrame:
@@ -75,8 +83,8 @@ class QualityGateError(RuntimeError):
 def publish_if_clean(df: DataFrame, quality: DataFrame, directory: str) -> str:
     """Write the quality report, then the data only when no check failed.
 
-    The data goes to a fresh version folder and a one-row pointer table is replaced last, so readers
-    of the pointer never see a half-written version, even when executors are lost during the write.
+    The data goes to a fresh version folder and a new numbered pointer is written last; nothing is replaced,
+    so a reader finds the old version or the new one at any moment, also when the job dies in between.
     """
     quality.write.mode("overwrite").option("header", True).csv(f"{directory}/quality")
     report = df.sparkSession.read.option("header", True).csv(f"{directory}/quality")
@@ -84,12 +92,12 @@ def publish_if_clean(df: DataFrame, quality: DataFrame, directory: str) -> str:
         raise QualityGateError("quality report contains FAIL rows; nothing was published")
     version = f"{directory}/data-{uuid.uuid4().hex}"
     df.write.parquet(version)
-    df.sparkSession.createDataFrame([(version,)], "path string").write.mode("overwrite").parquet(
-        f"{directory}/current"
-    )
+    move_pointer(df.sparkSession, directory, [(0, version)])
     return version
 
 
 def read_published(spark, directory: str) -> DataFrame:
-    pointer = spark.read.parquet(f"{directory}/current").first()["path"]
-    return spark.read.parquet(pointer)
+    parts = read_pointer(spark, directory)
+    if not parts:
+        raise FileNotFoundError(f"nothing was published in {directory}")
+    return spark.read.parquet(parts[0])

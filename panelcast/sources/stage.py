@@ -9,11 +9,17 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def checkpoint_folder(spark: SparkSession) -> str:
-    """The session's reliable checkpoint folder, set from ``spark.checkpoint.dir``; only a session without
-    one (a single-machine test) gets a temporary folder."""
+    """The session's reliable checkpoint folder, set from ``spark.checkpoint.dir``.
+
+    A session on one machine (a local master) may go without and gets a temporary folder. On a cluster that
+    would be a folder that other machines do not see, so there the setting must be made.
+    """
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="panelcast-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None and not context.master.split("[")[0] == "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="panelcast-"))
     return context.getCheckpointDir()
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from panelcast.operators.quality import assert_unique
+from panelcast.sources.pointer import move_pointer, read_pointer
 
 
 def upsert(stored: DataFrame, incoming: DataFrame, keys: list[str], fill: list[str]) -> DataFrame:
@@ -17,7 +18,7 @@ def upsert(stored: DataFrame, incoming: DataFrame, keys: list[str], fill: list[s
     """
     cols = stored.columns
     old = stored.withColumn("_old", F.lit(True))
-    joined = old.alias("o").join(incoming.alias("n"), keys, "full_outer")
+    joined = old.alias("o").join(incoming.select(*cols).alias("n"), keys, "full_outer")
     known = F.col("_old").isNotNull()
     out = []
     for c in cols:
@@ -30,21 +31,30 @@ def upsert(stored: DataFrame, incoming: DataFrame, keys: list[str], fill: list[s
     return joined.select(*out)
 
 
-def merge_table(spark, directory: str, incoming: DataFrame, keys: list[str], fill: list[str]) -> DataFrame:
-    """Apply ``upsert`` to a versioned Parquet table and move its pointer to the new version."""
+PARTS = 64  # folders of a merged table, by the hash of the key
+
+
+def merge_table(spark, directory: str, incoming: DataFrame, keys: list[str], fill: list[str], parts: int = PARTS) -> DataFrame:
+    """Apply ``upsert`` to a versioned Parquet table and return it.
+
+    The table lies in ``parts`` folders by the hash of the key. Only folders that ``incoming`` touches are read,
+    merged and written anew; a new pointer then names the folders of all parts. A job that dies before the
+    pointer leaves the old table as it was. ``parts`` must stay the same for a directory.
+    """
     assert_unique(incoming, keys)
-    pointer = f"{directory}/current"
-    try:
-        current = spark.read.parquet(pointer).first()["path"]
-    except Exception as err:  # first load: nothing stored yet
-        if "PATH_NOT_FOUND" not in str(err):
-            raise
-        current = None
-    merged = incoming if current is None else upsert(spark.read.parquet(current), incoming, keys, fill)
+    part = F.pmod(F.xxhash64(*[F.col(k) for k in keys]), F.lit(parts)).cast("int")
+    new = incoming.withColumn("_part", part)
+    now = read_pointer(spark, directory)
+    touched = sorted(r["_part"] for r in new.select("_part").distinct().collect())  # at most ``parts`` numbers
+    known = [now[p] for p in touched if p in now]
+    if known:
+        new = upsert(spark.read.schema(incoming.schema).parquet(*known), incoming, keys, fill).withColumn("_part", part)
     version = f"{directory}/data-{uuid.uuid4().hex}"
-    merged.write.parquet(version)
-    spark.createDataFrame([(version,)], "path string").write.mode("overwrite").parquet(pointer)
-    return spark.read.parquet(version)
+    new.repartition("_part").write.partitionBy("_part").parquet(version)
+    now |= {p: f"{version}/_part={p}" for p in touched}
+    if now:
+        move_pointer(spark, directory, sorted(now.items()))
+    return spark.read.schema(incoming.schema).parquet(*now.values()) if now else incoming
 
 
 def keep_last(df: DataFrame, keys: list[str], order: str) -> DataFrame:

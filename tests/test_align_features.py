@@ -51,6 +51,9 @@ def test_merge_keeps_leading_gaps(spark):
         [("a", q("2020Q1"), 100.0), ("a", q("2020Q2"), 101.0), ("a", q("2020Q3"), 102.0), ("b", q("2020Q2"), 99.0), ("b", q("2020Q3"), 100.0)],
         "series_id string, q_idx int, value double",
     )
+    with pytest.raises(ValueError):
+        align.merge_series(long, [], ["a"])
+    assert align.merge_series(long, [], ["a"], others=True).columns == ["q_idx", "a", "quarter"]
     out = align.merge_series(long, [], ["a", "b"])
     assert rows(out, "quarter", "a", "b") == [("2020Q1", 100.0, None), ("2020Q2", 101.0, 99.0), ("2020Q3", 102.0, 100.0)]
 
@@ -119,6 +122,10 @@ def test_event_dummies_do_not_shift(spark):
     bad = ev.union(spark.createDataFrame([("2020Q4", "down", 2)], ev.schema))
     with pytest.raises(ValueError):
         features.add_event_dummies(df, bad, ["quarter"])
+    with pytest.raises(ValueError):
+        features.add_event_dummies(df, bad, ["quarter"], {"down": 0})
+    with pytest.raises(ValueError):
+        features.add_event_dummies(df, ev, ["quarter"], {"down": 3})
 
 
 def test_scaler_uses_only_earlier_rows(spark):

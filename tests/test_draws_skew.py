@@ -21,10 +21,9 @@ def skewed(spark, n=6000):
 PROBS = {"p00": 0.0, "p10": 0.1, "p25": 0.25, "mid": 0.5, "p90": 0.9, "p999": 0.999, "p100": 1.0}
 
 
-@pytest.mark.parametrize("limit", [10**6, 500, 3])
-def test_quantiles_exact_whatever_the_split(spark, limit):
+def test_quantiles_exact_for_hot_and_small_groups(spark):
     df, data = skewed(spark)
-    out = {r.g: r for r in skew.exact_quantiles(df, ["g"], "v", PROBS, group_limit=limit, with_count=True).collect()}
+    out = {r.g: r for r in skew.exact_quantiles(df, ["g"], "v", PROBS, with_count=True).collect()}
     for g in {d[0] for d in data}:
         vals = [v for k, v in data if k == g and v is not None]
         assert out[g].n_values == len(vals)
@@ -35,27 +34,50 @@ def test_quantiles_exact_whatever_the_split(spark, limit):
 def test_quantiles_without_keys_and_of_one_value(spark):
     df, data = skewed(spark, 500)
     vals = [v for _, v in data if v is not None]
-    for limit in (10**6, 10):
-        r = skew.exact_quantiles(df, [], "v", {"mid": 0.5}, group_limit=limit).first()
-        assert r.mid == pytest.approx(float(np.median(vals)))
+    r = skew.exact_quantiles(df, [], "v", {"mid": 0.5}).first()
+    assert r.mid == pytest.approx(float(np.median(vals)))
     same = df.withColumn("v", F.lit(4.0))
-    assert skew.exact_quantiles(same, ["g"], "v", {"mid": 0.3}, group_limit=0).agg(F.min("mid"), F.max("mid")).first()[:] == (4.0, 4.0)
+    assert skew.exact_quantiles(same, ["g"], "v", {"mid": 0.3}).agg(F.min("mid"), F.max("mid")).first()[:] == (4.0, 4.0)
 
 
-def test_hot_group_is_spread_over_many_window_groups(spark):
-    """No (group, range) cell of the split plan holds a large part of the hot group."""
+def test_hot_group_is_cut_into_ranges(spark):
+    """One group of all rows is range-partitioned by value; the plan stays small."""
     df = spark.range(20000).select(F.lit("hot").alias("g"), (F.col("id") * 1.5).alias("v"))
-    q = skew.exact_quantiles(df, ["g"], "v", {"mid": 0.5}, group_limit=100)
-    assert q.first().mid == pytest.approx(19999 * 1.5 / 2)
-    plan = q._jdf.queryExecution().optimizedPlan().toString()
-    assert "_b" in plan and "percentile_approx" in plan.lower() or "approx_percentile" in plan.lower()
+    q = skew.exact_quantiles(df, ["g"], "v", {"mid": 0.5})
+    assert q.collect()[0].mid == pytest.approx(19999 * 1.5 / 2)
+    plan = q._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert "rangepartitioning" in plan and plan.count("Exchange ") - plan.count("ReusedExchange ") <= 8
+
+
+def test_quantiles_of_odd_groups(spark):
+    inf = float("inf")
+    data = [("a", -inf), ("a", 1.0), ("a", inf), ("b", None), ("b", None), (None, 2.0), (None, None), ("c", inf), ("c", inf)]
+    df = spark.createDataFrame(data, "g string, v double")
+    got = {r.g: r for r in skew.exact_quantiles(df, ["g"], "v", {"p0": 0.0, "mid": 0.5, "p100": 1.0}, with_count=True, with_mean=True).collect()}
+    assert (got["a"].p0, got["a"].mid, got["a"].p100, got["a"].n_values) == (-inf, 1.0, inf, 3)
+    assert (got["b"].p0, got["b"].mid, got["b"].n_values, got["b"].mean) == (None, None, 0, None)
+    assert (got[None].mid, got[None].mean, got[None].n_values) == (2.0, 2.0, 1)
+    assert (got["c"].p0, got["c"].mid) == (inf, inf)
+    shifted = dr.recenter(df.where("g IS NULL").withColumn("i", F.lit(1)), None, ["g"], "t", ["i"], "v")
+    assert sorted(str(r.v) for r in shifted.collect()) == ["2.0", "None"]
+
+
+def test_salted_join_spreads_equal_rows_and_prunes(spark, tmp_path):
+    path = str(tmp_path / "big")
+    spark.range(4000).select(F.lit("hot").alias("g"), F.lit(1).alias("v"), F.col("id"), F.lit("x").alias("wide")).write.parquet(path)
+    side = spark.createDataFrame([("hot", 1)], "g string, x int")
+    out = skew.salted_join(spark.read.parquet(path), side, ["g"], ["id"], salts=8).select("g", "x")
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert out.count() == 4000 and "wide" not in plan.split("ReadSchema")[1]
+    salts = spark.read.parquet(path).select(F.pmod(F.xxhash64("id"), F.lit(8)).alias("s")).groupBy("s").count().collect()
+    assert len(salts) == 8 and max(r["count"] for r in salts) < 700
 
 
 @pytest.mark.parametrize("how", ["inner", "left"])
 def test_salted_join_equals_plain_join(spark, how):
     df, _ = skewed(spark, 900)
     side = spark.createDataFrame([("hot", 1), ("g1", 2)], "g string, x int")
-    a = rows(skew.salted_join(df, side, ["g"], how), "g", "v", "x")
+    a = rows(skew.salted_join(df, side, ["g"], ["v"], how), "g", "v", "x")
     assert a == rows(df.join(side, ["g"], how), "g", "v", "x")
 
 
@@ -77,7 +99,7 @@ def test_fan_and_interval(spark):
 def test_recentred_median_and_spread(spark):
     m = np.random.default_rng(0).normal(size=(51, 2))
     point = spark.createDataFrame([("e", 1, 5.0), ("e", 2, -1.0)], "k string, horizon int, target double")
-    out = dr.recenter(paths(spark, m), point, ["k", "horizon"], "target")
+    out = dr.recenter(paths(spark, m), point, ["k", "horizon"], "target", ["draw_id"])
     for h, t in ((1, 5.0), (2, -1.0)):
         got = sorted(r.value for r in out.where(F.col("horizon") == h).collect())
         assert float(np.median(got)) == pytest.approx(t)
@@ -168,7 +190,7 @@ def test_salted_join_spreads_a_hot_key(spark):
         side = df.select("g").distinct().withColumn("x", F.lit(1))
         share = lambda j: max(r["n"] for r in j.groupBy(F.spark_partition_id().alias("p")).agg(F.count(F.lit(1)).alias("n")).collect()) / 20000
         assert share(df.join(side, "g")) > 0.9
-        assert share(skew.salted_join(df, side, ["g"], salts=64)) < 0.25
+        assert share(skew.salted_join(df, side, ["g"], ["id"], salts=64)) < 0.25
     finally:
         for k, v in old.items():
             spark.conf.set(k, v)
@@ -191,7 +213,7 @@ def test_single_series_case_without_keys(spark):
     r = dr.interval(d, [], 0.1, 0.9).first()
     assert (r.lower, r.mean) == (pytest.approx(np.percentile(m, 10)), pytest.approx(m.mean()))
     point = spark.createDataFrame([(7.0,)], "target double")
-    pairs = skew.salted_join(d, point, [])
+    pairs = skew.salted_join(d, point, [], ["draw_id"])
     assert pairs.count() == 41 and pairs.agg(F.min("target")).first()[0] == 7.0
     pred = spark.createDataFrame(
         [(x, o, o + 1, 1, 0.0, e, -e) for o in range(9) for x, e in (("a", float(o)), ("b", 1.0))],

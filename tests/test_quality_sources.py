@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from panelcast.operators import profile, quality
-from panelcast.sources import sinks, upsert
+from panelcast.sources import pointer, series, sinks, stage, upsert
 
 
 def record(df):
@@ -95,7 +95,7 @@ def test_gated_publish(spark, tmp_path):
     with pytest.raises(sinks.QualityGateError):
         sinks.publish_if_clean(data, bad, str(tmp_path / "bad"))
     assert (tmp_path / "bad" / "quality").exists()
-    assert not (tmp_path / "bad" / "current").exists()
+    assert not (tmp_path / "bad" / "pointer-1").exists()
     warn = spark.createDataFrame([("d", "WARNING")], bad.schema)
     sinks.publish_if_clean(data, warn, str(tmp_path / "good"))
     assert sinks.read_published(spark, str(tmp_path / "good")).count() == 1
@@ -134,6 +134,56 @@ def test_upsert_is_idempotent_and_keeps_forecasts(spark, tmp_path):
         upsert.merge_table(spark, path, new(1.0, None).union(new(2.0, None)), keys, ["actual"])
 
 
+def test_merge_that_dies_before_its_pointer(spark, tmp_path, monkeypatch):
+    """The old table stays readable, the next merge is complete, and only touched parts are written anew."""
+    path = str(tmp_path / "t")
+    new = lambda *ids: spark.createDataFrame([(i, float(i), None) for i in ids], "k long, f double, a double")
+    upsert.merge_table(spark, path, new(*range(40)), ["k"], ["a"], parts=8)
+
+    def die(*_):
+        raise RuntimeError("lost")
+
+    with monkeypatch.context() as m:
+        m.setattr(upsert, "move_pointer", die)
+        with pytest.raises(RuntimeError, match="lost"):
+            upsert.merge_table(spark, path, new(100, 101), ["k"], ["a"], parts=8)
+    assert spark.read.parquet(*pointer.read_pointer(spark, path).values()).count() == 40
+    before = pointer.read_pointer(spark, path)
+    t = upsert.merge_table(spark, path, new(100), ["k"], ["a"], parts=8)
+    after = pointer.read_pointer(spark, path)
+    assert t.count() == 41 and sum(before[p] != after[p] for p in before) == 1
+    # a pointer that was not finished does not count
+    (tmp_path / "t" / "pointer-9").mkdir()
+    assert pointer.read_pointer(spark, path) == after
+    assert upsert.merge_table(spark, path, new(200), ["k"], ["a"], parts=8).count() == 42
+    lost = tmp_path / "lost"
+    (lost / "data-1").mkdir(parents=True)
+    with pytest.raises(RuntimeError, match="no finished pointer"):
+        upsert.merge_table(spark, str(lost), new(1), ["k"], ["a"])
+
+
+def test_cluster_needs_a_shared_folder(monkeypatch):
+    class Context:
+        master = "spark://host:7077"
+
+        def getCheckpointDir(self):
+            return None
+
+    class Session:
+        sparkContext = Context()
+        conf = {}
+
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        stage.checkpoint_folder(Session())
+
+
+def test_newest_files_of_a_directory(spark, tmp_path):
+    for name, value in (("cpi_1990_2020", 1), ("cpi_1990_2021", 2), ("rate_2000_2020", 3), ("plain", 4)):
+        (tmp_path / f"{name}.csv").write_text(f"date,value\n2020-01-01,{value}\n")
+    out = series.read_latest(spark, str(tmp_path), "date string, value int")
+    assert rows(out, "series", "value") == [("cpi", 2), ("plain", 4), ("rate", 3)]
+
+
 def test_date_spacing_counts_repeats(spark):
     days = [1, 1, 1, 3, 6]
     df = spark.createDataFrame([("u", dt.datetime(2024, 1, d, h)) for h, d in enumerate(days)], "u string, ts timestamp")
