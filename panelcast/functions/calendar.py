@@ -75,6 +75,15 @@ def restrict_to_window(df: DataFrame, end_q: int, idx: str = "q_idx") -> DataFra
     return df.where(F.col(idx) <= F.lit(end_q))
 
 
+def restrict_dates(df: DataFrame, date: str, first_q: int | None, last_q: int | None) -> DataFrame:
+    """Rows of the quarters first_q to last_q, as a range of the date itself so that it reaches the scan."""
+    d, kind = F.col(date), dict(df.dtypes)[date]
+    start = lambda q: F.lit(f"{q // 4:04d}-{q % 4 * 3 + 1:02d}-01").cast(kind)
+    if first_q is not None:
+        df = df.where(d >= start(first_q))
+    return df if last_q is None else df.where(d < start(last_q + 1))
+
+
 def horizon_label_to_int(label: Column | str) -> Column:
     """``t`` -> 0, ``t+3`` -> 3, ``t-1`` -> -1; anything else is NULL."""
     s = F.regexp_replace(F.lower(_col(label).cast("string")), r"\s", "")

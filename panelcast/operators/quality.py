@@ -18,6 +18,7 @@ INVALID_DATES = "invalid date values"
 DUPLICATE_DATES = "duplicate dates"
 UNSORTED = "dates are not sorted"
 NO_COLUMN = "missing value column:"
+NO_DATE = "missing date column:"
 NON_NUMERIC = "non-numeric values"
 MISSING = "missing values"
 MISSING_QUARTERS = "missing quarters in date range"
@@ -71,6 +72,17 @@ def unsorted_flags(df: DataFrame, keys: list[str], date: Column, pos: str = "_po
     )
 
 
+def _no_date_records(df: DataFrame, keys: list[str], date: str, columns: int) -> DataFrame:
+    """A FAIL record per dataset for a table without its date column."""
+    data = [c for c in df.columns if c not in keys]
+    missing = sum((F.count_if(F.col(c).isNull()) for c in data), F.lit(0))
+    agg = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("rows"), missing.cast("bigint").alias("missing_values"))
+    return agg.select(
+        *keys, F.lit("FAIL").alias("status"), "rows", F.lit(columns).cast("bigint").alias("columns"), F.lit("").alias("start_date"),
+        F.lit("").alias("end_date"), "missing_values", F.lit(0).cast("bigint").alias("duplicate_dates"), F.lit(f"{NO_DATE} {date}").alias("notes"),
+    )
+
+
 def check_series(
     df: DataFrame, keys: list[str], date: str, values: list[str], min_rows: int = 1,
     order: str | None = None, percent: bool = False, as_of: str | None = None,
@@ -81,7 +93,9 @@ def check_series(
     ``percent=True`` adds the ratio checks: missing quarters, dates after ``as_of`` and values outside
     0-100. Dates are counted per distinct day first, so repeated dates of a hot dataset combine map-side.
     """
-    require_columns(df, [date, *keys])
+    require_columns(df, keys)
+    if date not in df.columns:
+        return _no_date_records(df, keys, date, len([c for c in df.columns if c not in (order, *keys)]))
     have = [c for c in values if c in df.columns]
     absent = [c for c in values if c not in df.columns]
     typed = df.withColumn("_d", parse_temporal(date))
@@ -164,6 +178,8 @@ def check_curated(
     df: DataFrame, keys: list[str], target: str, required: list[str], min_rows: int = 80, idx: str = "q_idx",
 ) -> DataFrame:
     """Record of the finished table: required columns, repeated and missing quarters, usable targets."""
+    if idx not in df.columns:
+        return _no_date_records(df, keys, idx, len([c for c in df.columns if c not in keys]))
     absent = [c for c in required if c not in df.columns]
     data = [c for c in df.columns if c not in keys]
     usable = F.count(target) if target in df.columns else F.lit(0)

@@ -352,7 +352,7 @@ def orders_by_year(spark, d):
 )
 def pinned_window(spark, d):
     """Rows up to the analysis pin."""
-    return cal.restrict_to_window(pn.order_panel(spark, d), 1999 * 4 + 3).select("entity", "q_idx", "value")
+    return cal.restrict_to_window(pn.order_panel(spark, d, last_q=1999 * 4 + 3), 1999 * 4 + 3).select("entity", "q_idx", "value")
 
 
 TEXT_NUMBERS = """texts AS (SELECT event_id, CASE WHEN user_id % 7 = 0 THEN event_type ELSE json_extract_string(props, '$.k') END AS k,

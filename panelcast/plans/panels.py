@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from panelcast.functions.calendar import q_idx
+from panelcast.functions.calendar import q_idx, restrict_dates
 from panelcast.operators import backtest as bt
 from panelcast.operators import intervals as iv
 from panelcast.operators import rules
@@ -35,9 +35,9 @@ def label_sql(idx: str) -> str:
     return f"concat({idx} // 4, 'Q', {idx} % 4 + 1)"
 
 
-def order_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Per order priority and quarter: mean price (thousands) and number of orders."""
-    o = table(spark, sf_dir, "orders")
+def order_panel(spark: SparkSession, sf_dir: str, first_q: int | None = None, last_q: int | None = None) -> DataFrame:
+    """Per order priority and quarter: mean price (thousands) and number of orders, of a range of quarters."""
+    o = restrict_dates(table(spark, sf_dir, "orders"), "o_orderdate", first_q, last_q)
     return o.groupBy(F.col("o_orderpriority").alias("entity"), q_idx("o_orderdate").alias("q_idx")).agg(
         (F.avg("o_totalprice") / 997).alias("value"), F.count(F.lit(1)).alias("n_orders")
     )

@@ -108,7 +108,7 @@ def integrity_summary(spark, d):
 def level_shift(spark, d):
     """Largest step in a span and shift between two yearly means."""
     span, y1, y2 = (1997 * 4, 1998 * 4 + 3), (1997 * 4, 1997 * 4 + 3), (1998 * 4, 1998 * 4 + 3)
-    return pf.level_shift(pn.order_panel(spark, d), K, "value", span, y1, y2, 25.0)
+    return pf.level_shift(pn.order_panel(spark, d, *span), K, "value", span, y1, y2, 25.0)
 
 
 @query(

@@ -54,17 +54,21 @@ def latest_files(files: DataFrame, path: str = "path") -> DataFrame:
     )
 
 
-def read_latest(spark: SparkSession, directory: str, schema) -> DataFrame:
+def read_latest(spark: SparkSession, directory: str, schema, folders: bool = False) -> DataFrame:
     """All rows of a download directory that belong to the newest file of each series.
 
     The directory is listed without reading content, and only the newest files are scanned. One path per series
-    is kept on the driver.
+    is kept on the driver. ``folders`` takes a folder ``<name>.csv`` of part files, as Spark writes, for a file.
     """
     listed = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(directory).select("path")
+    if folders:
+        listed = listed.where(F.col("path").endswith(".csv")).select(F.regexp_replace("path", "/[^/]+$", "").alias("path")).distinct()
     newest = latest_files(listed).select("series", "path").collect()
     if not newest:
         return spark.createDataFrame([], schema).withColumns({"path": F.lit(None).cast("string"), "series": F.lit(None).cast("string")})
     rows = spark.read.schema(schema).csv([r.path for r in newest], header=True).withColumn("path", F.col("_metadata.file_path"))
+    if folders:
+        rows = rows.withColumn("path", F.regexp_replace("path", "/[^/]+$", ""))
     stem = file_name("path")
     return rows.withColumn("series", F.when(stem.rlike(STEM), F.regexp_extract(stem, STEM, 1)).otherwise(stem))
 
