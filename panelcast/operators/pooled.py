@@ -7,7 +7,7 @@ out-of-fold scoring then work on those few small matrices and never read the dat
 
 from __future__ import annotations
 
-from itertools import product
+from itertools import combinations_with_replacement, product
 from types import SimpleNamespace
 
 import numpy as np
@@ -18,6 +18,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql import Window as W
 
 from panelcast.operators.align import asof_latest, over_time
 from panelcast.operators.features import time_series_folds
@@ -164,6 +165,54 @@ def fit_direct(frame: DataFrame, features: list[str], alpha: float, l1_ratio: fl
     return moments(frame, ["horizon"], cols).mapInPandas(solve, FIT_SCHEMA)
 
 
+def walk_forward_nets(
+    frame: DataFrame, keys: list[str], features: list[str], alpha: float, l1_ratio: float, first_origin: int, model: str = "elastic_net",
+    min_rows: int = 8,
+) -> DataFrame:
+    """Forecasts of every origin by an elastic net refitted on what was known there, pooled over entities.
+
+    ``frame`` comes from ``direct_frame``. A row of quarter q with horizon h teaches from origin q + h on. Sums and
+    products per horizon and quarter, running along the quarters, hold every origin's fit, so the panel is read
+    once; they are taken around each horizon's mean to keep their digits. The result has the columns of the other
+    forecasters: (keys, model, origin_q, horizon, target_q, actual, forecast, error, train_rows).
+    """
+    cols = ["y", *features]
+    pairs = list(combinations_with_replacement(range(len(cols)), 2))
+    rows = frame.dropna(subset=cols)
+    centre = rows.groupBy("horizon").agg(F.array(*[F.avg(c) for c in cols]).alias("_m"))  # one row per horizon
+    z = [F.col(c) - F.col("_m")[i] for i, c in enumerate(cols)]
+    known = rows.join(centre, "horizon").groupBy("horizon", (F.col("q_idx") + F.col("horizon")).alias("known_q")).agg(
+        F.count(F.lit(1)).alias("n"), *[F.sum(e).alias(f"_s{i}") for i, e in enumerate(z)],
+        *[F.sum(z[i] * z[j]).alias(f"_p{k}") for k, (i, j) in enumerate(pairs)],
+    )
+    # every quarter of the calendar is an origin, also one at which nothing new became known
+    origins = rows.select("horizon", F.col("q_idx").alias("known_q")).distinct()
+    sums = ["n", *[f"_s{i}" for i in range(len(cols))], *[f"_p{k}" for k in range(len(pairs))]]
+    along = W.partitionBy("horizon").orderBy("known_q").rowsBetween(W.unboundedPreceding, 0)
+    running = origins.join(known, ["horizon", "known_q"], "full_outer").select("horizon", F.col("known_q").alias("origin_q"), *[F.sum(F.coalesce(c, F.lit(0))).over(along).alias(c) for c in sums])
+    running = running.where((F.col("origin_q") >= first_origin) & (F.col("n") >= min_rows)).join(centre, "horizon")
+
+    def fit(batches):
+        for pdf in batches:
+            out = []
+            for r in pdf.to_dict("records"):
+                mean = np.array([r[f"_s{i}"] for i in range(len(cols))]) / r["n"]
+                cov = np.zeros((len(cols), len(cols)))
+                for k, (i, j) in enumerate(pairs):
+                    cov[i, j] = cov[j, i] = r[f"_p{k}"] / r["n"] - mean[i] * mean[j]
+                b0, w, _ = elastic_net(mean + np.asarray(r["_m"], float), cov, alpha, l1_ratio)
+                out.append((int(r["horizon"]), int(r["origin_q"]), int(r["n"]), b0, [float(v) for v in w]))
+            yield pd.DataFrame(out, columns=["horizon", "origin_q", "train_rows", "intercept", "coefficients"])
+
+    fits = running.mapInPandas(fit, "horizon int, origin_q int, train_rows long, intercept double, coefficients array<double>")
+    asked = rows.withColumn("origin_q", F.col("q_idx")).join(fits, ["horizon", "origin_q"])
+    forecast = _linear(features)
+    return asked.select(
+        *keys, F.lit(model).alias("model"), "origin_q", "horizon", (F.col("origin_q") + F.col("horizon")).cast("int").alias("target_q"),
+        F.col("y").alias("actual"), forecast.alias("forecast"), (F.col("y") - forecast).alias("error"), "train_rows",
+    )
+
+
 def _linear(features: list[str]) -> Column:
     terms = [F.col("coefficients")[i] * F.col(f) for i, f in enumerate(features)]
     return sum(terms, F.col("intercept"))
