@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from panelcast.llm.common import partitions, slices, written
 from panelcast.llm.words import hash_words
 
-CHUNK = 4_000_000  # tokens of a chunk; one longer document is a chunk of its own
+CHUNK = 1_500_000  # tokens of a chunk, about 200 MB in a task; one longer document is a chunk of its own
 BUCKETS = 40  # context-frequency buckets: the bit length of the context's count
 BINS, FINE = 3200, 32  # ratio classes: 1/32 of an octave from 2**-40 to 2**60, class 0 for a ratio of 0
 TOTAL = 8  # bytes of a total over all chunks; those of a chunk fit in 4
