@@ -8,7 +8,7 @@ import time
 
 # area -> query, in the order of an end-to-end run
 HEADLINE = [
-    "segment_growth_panel", "merged_series", "quarterly_by_rule", "series_check", "lag_features", "metric_table",
+    "segment_growth_panel", "curated_build", "merged_series", "quarterly_by_rule", "series_check", "lag_features", "metric_table",
     "model_comparison", "real_time_weights", "calibrated_intervals", "coverage_table", "heldout_comparison",
     "bootstrap_rmse_gap", "price_fan", "stressed_exposures", "estimated_rule", "majority_vote", "split_audit",
     "lead_lag_correlations", "predictive_lag_screen", "variance_inflation", "tuned_elastic_nets", "snapshot_upsert",

@@ -49,6 +49,34 @@ def with_file_order(df: DataFrame, out: str = "_pos") -> DataFrame:
     return df.withColumn(out, F.monotonically_increasing_id())
 
 
+def unsorted_in_file(df: DataFrame, keys: list[str], date: Column) -> DataFrame:
+    """Whether each dataset's dates run forward in file order, for rows that lie in that order as they are read.
+
+    One pass over each part of the input gives, per dataset, its first and last date there and whether a date
+    went back inside; only those few rows are shuffled, ordered by the part's place. Rows must come straight
+    from a scan: an operation that moves rows between tasks loses the order.
+    """
+    fields = [df.schema[k] for k in keys]
+    out = T.StructType([*fields, T.StructField("_at", T.LongType()), T.StructField("_back", T.BooleanType()), T.StructField("_first", T.LongType()), T.StructField("_last", T.LongType())])
+    days = F.unix_date(date.cast("date")).cast("long")
+    rows = df.select(*keys, F.monotonically_increasing_id().alias("_at"), days.alias("_d")).where(F.col("_d").isNotNull())
+
+    def run(batches):
+        import pandas as pd
+
+        for pdf in batches:
+            group = pdf.groupby(keys, sort=False, dropna=False) if keys else pdf.groupby(lambda _: 0)
+            pdf = pdf.assign(_back=(group["_d"].diff() < 0).to_numpy())
+            group = pdf.groupby(keys, sort=False, dropna=False) if keys else pdf.groupby(lambda _: 0)
+            part = group.agg(_at=("_at", "first"), _back=("_back", "any"), _first=("_d", "first"), _last=("_d", "last"))
+            yield part.reset_index()[[*keys, "_at", "_back", "_first", "_last"]]
+
+    parts = rows.mapInPandas(run, out)
+    along = W.partitionBy(*keys).orderBy("_at")
+    step = F.coalesce(F.col("_first") < F.lag("_last").over(along), F.lit(False))
+    return parts.withColumn("_step", step).groupBy(*keys).agg(F.bool_or(F.col("_back") | F.col("_step")).alias("unsorted"))
+
+
 def unsorted_flags(df: DataFrame, keys: list[str], date: Column, pos: str = "_pos", block: int = 1 << 20) -> DataFrame:
     """Whether each dataset's dates run forward in file order, without sorting a dataset in one task.
 
@@ -88,7 +116,8 @@ def check_series(
     order: str | None = None, percent: bool = False, as_of: str | None = None,
 ) -> DataFrame:
     """Quality record per dataset (``keys``): row count, bad and repeated dates, non-numeric and missing
-    values, sortedness when a file-order column is named.
+    values, sortedness when a file-order column is named; ``order="file"`` takes the order of the scan itself,
+    which needs no shuffle of raw rows.
 
     ``percent=True`` adds the ratio checks: missing quarters, dates after ``as_of`` and values outside
     0-100. Dates are counted per distinct day first, so repeated dates of a hot dataset combine map-side.
@@ -122,7 +151,7 @@ def check_series(
         total += [F.coalesce(F.sum(f"_{k}{i}"), F.lit(0)).alias(f"_{k}{i}") for k in ("bad", "miss", "out")]
     agg = days.groupBy(*keys).agg(*total)
     if order is not None:
-        flags = unsorted_flags(typed, keys, F.col("_d"), order)
+        flags = unsorted_in_file(df, keys, parse_temporal(date)) if order == "file" else unsorted_flags(typed, keys, F.col("_d"), order)
         agg = agg.join(flags, keys, "left") if keys else agg.withColumn("unsorted", flags.scalar())
     else:
         agg = agg.withColumn("unsorted", F.lit(False))

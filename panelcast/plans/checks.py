@@ -23,7 +23,7 @@ def raw_events(spark, d):
     e = pn.table(spark, d, "events")
     t, v = F.col("event_type"), F.col("value")
     return e.select(
-        "user_id", "event_id",
+        "user_id",
         F.when((t == "error") & (v > 90), "bad").otherwise(F.date_format("ts", "yyyy-MM-dd")).alias("date_text"),
         F.when((t == "click") & (v > 80), t).when((t == "view") & (v < 5), F.lit(None)).otherwise(v.cast("string")).alias("value_text"),
     )
@@ -64,13 +64,13 @@ def _series_sql(parts, fails, warns):
 @query("series_check", _series_sql(PARTS, FAILS, "unsorted OR miss > 0"))
 def series_check(spark, d):
     """Quality record per user series: dates, order in the file, numbers."""
-    return ql.check_series(raw_events(spark, d), ["user_id"], "date_text", ["value_text"], 100, order="event_id")
+    return ql.check_series(raw_events(spark, d), ["user_id"], "date_text", ["value_text"], 100, order="file")
 
 
 @query("ratio_check", _series_sql(PARTS + EXTRA, f"{FAILS} OR future > 0 OR outside > 0", "unsorted OR miss > 0 OR gap > 0"))
 def ratio_check(spark, d):
     """The series check plus missing quarters, future dates and values outside 0-100."""
-    return ql.check_ratio(raw_events(spark, d), ["user_id"], "date_text", ["value_text"], "2024-01-28", 100, order="event_id")
+    return ql.check_ratio(raw_events(spark, d), ["user_id"], "date_text", ["value_text"], "2024-01-28", 100, order="file")
 
 
 @query(
