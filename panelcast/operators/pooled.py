@@ -29,6 +29,8 @@ from panelcast.operators.screening import _unpack, moments
 ALPHAS = tuple(float(a) for a in np.logspace(-3, 1, 10))
 L1_RATIOS = (0.1, 0.5, 0.7, 0.9, 0.95, 0.99, 1.0)
 FOLDS = 4
+# Default boosting settings.
+TREES, DEPTH, STEP, SUBSAMPLE, MIN_LEAF, SEED = 50, 2, 0.05, 0.75, 3, 42
 
 FIT_SCHEMA = T.StructType(
     [
@@ -248,7 +250,7 @@ def nonzero_coefficients(fits: DataFrame, features: list[str], eps: float = 1e-9
     )
 
 
-def fit_ordinal_pair(df: DataFrame, features: list[str], label: str, trees: int = 50, depth: int = 2, step: float = 0.05, seed: int = 42):
+def fit_ordinal_pair(df: DataFrame, features: list[str], label: str, trees: int = TREES, depth: int = DEPTH, step: float = STEP, seed: int = SEED):
     """Boosted-tree classifiers for "above cut" and "above hold", pooled over the panel."""
     assembler = VectorAssembler(inputCols=features, outputCol="_x", handleInvalid="skip")
     code = class_code(F.col(label))
@@ -262,8 +264,8 @@ def fit_ordinal_pair(df: DataFrame, features: list[str], label: str, trees: int
         if sides[f"a{c}"] == sides[f"b{c}"]:
             raise ValueError(f"training rows have only one outcome for {c.strip('_')}")
     make = lambda c: GBTClassifier(
-        featuresCol="_x", labelCol=c, maxIter=trees, maxDepth=depth, stepSize=step, minInstancesPerNode=3,
-        subsamplingRate=0.75, seed=seed, predictionCol=f"p{c}",
+        featuresCol="_x", labelCol=c, maxIter=trees, maxDepth=depth, stepSize=step, minInstancesPerNode=MIN_LEAF,
+        subsamplingRate=SUBSAMPLE, seed=seed, predictionCol=f"p{c}",
     ).setProbabilityCol(f"q{c}").setRawPredictionCol(f"r{c}")
     return assembler, make("_gt_cut").fit(data), make("_gt_hold").fit(data)
 

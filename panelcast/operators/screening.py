@@ -26,6 +26,16 @@ STRONG_CORR = 0.40
 STRONG_P = 0.05
 WEAK_SHARE = 0.50
 CORR_STD_LIMIT = 0.30
+NO_LAGGED = "no lagged feature available"
+NO_LAG = "no candidate lag selected after availability and sample screen"
+UNSAFE = "unsafe under assumed publication lag"
+HIGH_VIF = "high VIF in primary candidate matrix"
+LATE_START = "starts later than full sample"
+SPARSE_NOTE = "substantial missingness warning"
+ALTERNATIVE = "alternative proxy; use at most one of the pair"
+CORR_SIGNAL = "candidate-lag correlation signal"
+F_SIGNAL = "candidate-lag F-test signal"
+WEAK_SIGNAL = "weak candidate-lag screening signal"
 
 
 def lag_correlation(df: DataFrame, keys: list[str], target: str, drivers: list[str], k: int = 1, min_pairs: int = 3) -> DataFrame:
@@ -419,21 +429,21 @@ def shortlist(
 def classify_candidates(df: DataFrame, alternative: str | None = None) -> DataFrame:
     """Screening status and reason text from blockers, warnings and signals."""
     lag_known = F.col("feature_lag").isNotNull()
-    blocker = F.when(~F.col("has_lag_feature"), "no lagged feature available").when(
-        ~lag_known, "no candidate lag selected after availability and sample screen"
-    ).when(~F.coalesce("origin_safe", F.lit(False)), "unsafe under assumed publication lag")
+    blocker = F.when(~F.col("has_lag_feature"), NO_LAGGED).when(
+        ~lag_known, NO_LAG
+    ).when(~F.coalesce("origin_safe", F.lit(False)), UNSAFE)
     high_vif = F.coalesce(F.col("vif") > VIF_LIMIT, F.lit(False))
     sparse = F.coalesce("substantial_missingness", F.lit(True))
     warnings = [
-        F.when(high_vif, "high VIF in primary candidate matrix"),
-        F.when(F.coalesce("late_start", F.lit(True)), "starts later than full sample"),
-        F.when(sparse, "substantial missingness warning"),
+        F.when(high_vif, HIGH_VIF),
+        F.when(F.coalesce("late_start", F.lit(True)), LATE_START),
+        F.when(sparse, SPARSE_NOTE),
     ]
     if alternative is not None:
-        warnings.append(F.when(F.col("feature") == alternative, "alternative proxy; use at most one of the pair"))
+        warnings.append(F.when(F.col("feature") == alternative, ALTERNATIVE))
     signals = [
-        F.when(F.col("abs_corr") >= SIGNAL_CORR, "candidate-lag correlation signal"),
-        F.when(F.col("candidate_p") <= SIGNAL_P, "candidate-lag F-test signal"),
+        F.when(F.col("abs_corr") >= SIGNAL_CORR, CORR_SIGNAL),
+        F.when(F.col("candidate_p") <= SIGNAL_P, F_SIGNAL),
     ]
     text = lambda parts: F.concat_ws("; ", *parts)
     strong = F.coalesce(F.col("abs_corr") >= STRONG_CORR, F.lit(False)) | F.coalesce(
@@ -449,7 +459,7 @@ def classify_candidates(df: DataFrame, alternative: str | None = None) -> DataFr
     )
     reason = (
         F.when(blocker.isNotNull(), text([blocker, *warnings]))
-        .when(no_signal, text([*warnings, F.lit("weak candidate-lag screening signal")]))
+        .when(no_signal, text([*warnings, F.lit(WEAK_SIGNAL)]))
         .otherwise(text([*warnings, *signals]))
     )
     return df.withColumns({"screening_status": status, "reason": reason})

@@ -109,6 +109,7 @@ def exploded_scenarios(spark, d):
     """Maps keyed by scenario to rows, with scenario attributes joined."""
     c = pn.table(spark, d, "customer")
     s = c.groupBy(F.col("c_mktsegment").alias("segment")).agg(F.sum("c_acctbal").alias("ead"))
+    # fixed values: scenario weights and changes of the example stress test
     defs = {"base": (0.55, 0.0), "downside": (0.425, 2.0), "upside": (0.025, -1.0)}
     pairs = lambda f: F.create_map(*[x for n, v in defs.items() for x in (F.lit(n), f(*v))])
     nested = s.select(
