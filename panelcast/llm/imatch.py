@@ -16,8 +16,8 @@ LOAD = 0.5  # band terms that a subset of the chosen density holds, at least
 
 def terms(text: Column) -> Column:
     """Distinct words of a text as 64-bit hashes, A-Z as lower case."""
-    words = F.filter(F.split(ascii_lower(text), SPACES + "+"), lambda w: w != "")
-    return F.array_distinct(F.transform(words, lambda w: F.xxhash64(w)))
+    hashes = F.array_distinct(F.transform(F.split(ascii_lower(text), SPACES + "+"), lambda w: F.xxhash64(w)))
+    return F.array_remove(hashes, F.xxhash64(F.lit("")))  # what stands before a leading or after a trailing space
 
 
 def common_terms(docs: DataFrame, share: float = COMMON, least: int = 2) -> list[int]:
@@ -47,19 +47,26 @@ def fingerprint(found: Column, common: list[int]) -> list[Column]:
     return [band.alias("band"), level.alias("level")]
 
 
-def _subsets(band: Column, level: Column) -> Column:
-    """Hashes of the SUBSETS subsets of one density: class j mod 2**level of the partition numbered j div 2**level."""
-    rounds = F.greatest(F.ceil(F.lit(SUBSETS) / F.pow(F.lit(2.0), level)), F.lit(1)).cast("int")
-    width = F.pow(F.lit(2.0), level).cast("long")
+def _subsets(band: Column, width: Column) -> Column:
+    """(subset, term) of the SUBSETS subsets of one density 1 / width, sorted: subset j is class j mod width of
+    the partition numbered j div width."""
+    rounds = F.greatest(F.ceil(F.lit(float(SUBSETS)) / width), F.lit(1)).cast("int")
     number = lambda t, r: r.cast("long") * width + F.pmod(F.xxhash64(t, r), width)
-    placed = F.flatten(F.transform(F.sequence(F.lit(0), rounds - 1), lambda r: F.filter(F.transform(band, lambda t: F.struct(number(t, r).alias("j"), t.alias("t"))), lambda e: e["j"] < SUBSETS)))
-    return F.array_sort(placed)
+
+    def one(r: Column) -> Column:
+        own = F.filter(band, lambda t: number(t, r) < SUBSETS)  # few are left to be made pairs of
+        return F.transform(own, lambda t: F.struct(number(t, r).alias("j"), t.alias("t")))
+
+    return F.array_sort(F.flatten(F.transform(F.sequence(F.lit(0), rounds - 1), one)))
 
 
 def _hashes(placed: Column) -> Column:
+    """Per subset the hash of its sorted terms, as a number of DIGITS + 1 hexadecimal digits; 0 if it has none."""
+    first = 16**DIGITS
+
     def one(j: Column) -> Column:
-        own = F.transform(F.filter(placed, lambda e: e["j"] == j), lambda e: e["t"])
-        return F.when(F.size(own) > 0, F.right(F.lpad(F.lower(F.hex(F.xxhash64(own))), 16, "0"), F.lit(DIGITS))).otherwise(F.lit(""))
+        own = F.filter(placed, lambda e: e["j"] == j)
+        return F.when(F.size(own) > 0, F.pmod(F.xxhash64(F.transform(own, lambda e: e["t"])), F.lit(first)) + first).otherwise(F.lit(0).cast("long"))
 
     return F.transform(F.sequence(F.lit(0), F.lit(SUBSETS - 1)), one)
 
@@ -70,42 +77,36 @@ def with_fingerprint(rows: DataFrame, text: str, common: list[int], name: str) -
     A text without a term in the band has level -1 and the hash of its words in order; its likeness to another
     is 1 if they are equal and 0 else. Equal texts have equal fingerprints.
     """
-    t, b, lv, p, q = (f"_{name}_{x}" for x in "tblpq")
+    t, b, lv, w, p, q = (f"_{name}_{x}" for x in ("t", "b", "lv", "w", "p", "q"))
     rows = rows.withColumn(t, terms(F.col(text)))
-    band, level = fingerprint(F.col(t), common)
-    rows = rows.withColumn(b, band)
+    rows = rows.withColumn(b, fingerprint(F.col(t), common)[0])
     rows = rows.withColumn(lv, fingerprint(F.col(b), [])[1])
-    rows = rows.withColumn(p, _subsets(F.col(b), F.greatest(F.col(lv), F.lit(0)))).withColumn(q, _subsets(F.col(b), F.greatest(F.col(lv), F.lit(0)) + 1))
+    rows = rows.withColumn(w, F.pow(F.lit(2.0), F.greatest(F.col(lv), F.lit(0))).cast("long"))
+    # from SUBSETS classes on, the first SUBSETS of either density lie in the same few terms
+    few = F.when(F.col(w) >= SUBSETS, F.filter(F.col(b), lambda x: F.pmod(F.xxhash64(x, F.lit(0)), F.col(w)) < SUBSETS)).otherwise(F.col(b))
+    rows = rows.withColumn(b, few)
+    rows = rows.withColumn(p, _subsets(F.col(b), F.col(w))).withColumn(q, _subsets(F.col(b), F.col(w) * 2))
     rows = rows.withColumn(p, _hashes(F.col(p))).withColumn(q, _hashes(F.col(q)))
-    shown = lambda c: F.array_join(F.transform(F.col(c), lambda h: F.when(h == "", "-").otherwise(h)), "")
+    shown = lambda c: F.array_join(F.transform(F.col(c), lambda h: F.when(h == 0, "-").otherwise(F.hex(h))), "")
     plain = F.concat(F.lit("-:"), F.sha2(F.concat_ws(" ", F.transform(F.col(t), lambda x: x.cast("string"))).cast("binary"), 256))
     whole = F.when(F.col(lv) < 0, plain).otherwise(F.concat(F.col(lv).cast("string"), F.lit(":"), shown(p), F.lit(":"), shown(q)))
     out = F.struct(F.col(lv).alias("level"), F.col(p).alias("dense"), F.col(q).alias("sparse"), whole.alias("text"))
-    return rows.withColumn(name, out).drop(t, b, lv, p, q)
-
-
-def likeness(x: Column, y: Column) -> Column:
-    """Share of equal hashes among the subsets that either text has terms of, at the densities both have."""
-
-    def equal(a: Column, b: Column) -> tuple[Column, Column]:
-        both = F.zip_with(a, b, lambda p, q: F.when((p == "") & (q == ""), 0).when(p == q, 2).otherwise(1))
-        return F.size(F.filter(both, lambda v: v == 2)), F.size(F.filter(both, lambda v: v > 0))
-
-    def share(*parts: tuple[Column, Column]) -> Column:
-        top, all_ = parts[0]
-        for t, a in parts[1:]:
-            top, all_ = top + t, all_ + a
-        return top / F.greatest(all_, F.lit(1))
-
-    lx, ly = x["level"], y["level"]
-    return (
-        F.when(x["text"] == y["text"], 1.0)
-        .when((lx < 0) | (ly < 0), 0.0)
-        .when(lx == ly, share(equal(x["dense"], y["dense"]), equal(x["sparse"], y["sparse"])))
-        .when(lx + 1 == ly, share(equal(x["sparse"], y["dense"])))
-        .when(ly + 1 == lx, share(equal(x["dense"], y["sparse"])))
-        .otherwise(0.0)
-    )
+    return rows.withColumn(name, out).drop(t, b, lv, w, p, q)
+
+
+def with_likeness(rows: DataFrame, x: str, y: str, name: str) -> DataFrame:
+    """``rows`` plus ``name``: the share of equal hashes among the subsets that either of the fingerprints ``x`` and
+    ``y`` has terms of, at the densities both have; 1 for equal fingerprints, 0 without a common density."""
+    a, b, lx, ly = F.col(x), F.col(y), F.col(f"{x}.level"), F.col(f"{y}.level")
+    none = F.array().cast("array<bigint>")
+    left = F.when(lx == ly, F.concat(a["dense"], a["sparse"])).when(lx + 1 == ly, a["sparse"]).when(ly + 1 == lx, a["dense"]).otherwise(none)
+    right = F.when(lx == ly, F.concat(b["dense"], b["sparse"])).when(lx + 1 == ly, b["dense"]).when(ly + 1 == lx, b["sparse"]).otherwise(none)
+    both = f"_{name}_both"
+    rows = rows.withColumn(both, F.zip_with(left, right, lambda p, q: F.when(p != q, 1).when(p == 0, 0).otherwise(2)))
+    equal = F.size(both) - F.size(F.array_remove(both, 2))
+    either = F.size(F.array_remove(both, 0))
+    share = F.when(a["text"] == b["text"], 1.0).when((lx < 0) | (ly < 0), 0.0).otherwise(equal / F.greatest(either, F.lit(1)))
+    return rows.withColumn(name, share).drop(both)
 
 
 def fingerprints(docs: DataFrame, common: list[int] | None = None) -> DataFrame:
@@ -129,9 +130,10 @@ def _block(doc_id: Column, splits: list[int]) -> Column:
     return at
 
 
-def with_next(docs: DataFrame, rows_of: list[str], blocks: int | None = None) -> DataFrame:
+def with_next(docs: DataFrame, rows_of: list[str], blocks: int | None = None, prepare=lambda heads: heads) -> DataFrame:
     """Rows (doc_id, columns of ``rows_of``) plus ``next``, those columns of the row with the next higher id, and
-    the range ``_block``, order ``_order`` and whether ``next`` is in another range, ``_last``.
+    the range ``_block``, the order ``_order`` within an id, and ``_after``: the first row of the following range, as ``prepare``
+    makes it from these few rows.
 
     The last row is followed by the first; rows with one id are ordered by the hash of the text. Ids are cut
     into ranges of like size; a window works inside a range, and a range's last row gets the first of the next
@@ -140,14 +142,20 @@ def with_next(docs: DataFrame, rows_of: list[str], blocks: int | None = None) ->
     n = blocks or partitions(docs.sparkSession)
     cuts = docs.agg(F.percentile_approx("doc_id", [i / n for i in range(1, n)] or [0.5], 10_000).alias("c")).first().c
     block = _block(F.col("doc_id"), sorted(set(cuts or [])))
-    rows = docs.withColumns({"_block": block, "_order": F.struct("doc_id", F.xxhash64(*rows_of))})
-    heads = rows.groupBy("_block").agg(F.min_by(F.struct(*rows_of), "_order").alias("_head"))
+    rows = docs.withColumns({"_block": block, "_order": F.xxhash64(*rows_of)})
+    # a range's first id from the ids alone, then its row; a null id comes before all others
+    first = docs.select(block.alias("_at"), "doc_id").groupBy("_at").agg(F.when(F.count_if(F.col("doc_id").isNull()) == 0, F.min("doc_id")).alias("_id"))
+    found = rows.join(F.broadcast(first), (F.col("_block") == F.col("_at")) & F.col("doc_id").eqNullSafe(F.col("_id")))  # one row per range
+    heads = found.groupBy("_block").agg(F.min_by(F.struct(*rows_of), "_order").alias("_head"))
+    heads = prepare(heads.select("_block", "_head.*"))
+    heads = heads.select("_block", F.struct(*[c for c in heads.columns if c != "_block"]).alias("_head"))
     every = W.partitionBy(F.lit(0)).orderBy("_block")  # one row per range
     around = every.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
     heads = heads.select("_block", F.coalesce(F.lead("_head").over(every), F.first("_head").over(around)).alias("_after"))
-    inside = rows.withColumn("next", F.lead(F.struct(*rows_of)).over(W.partitionBy("_block").orderBy("_order")))
+    inside = rows.withColumn("next", F.lead(F.struct(*rows_of)).over(W.partitionBy("_block").orderBy("doc_id", "_order")))
     joined = inside.join(heads, "_block", "left")
-    return joined.withColumn("_last", F.col("next").isNull()).withColumn("next", F.coalesce("next", "_after")).drop("_after")
+    far = F.struct(*[F.col(f"_after.{c}").alias(c) for c in rows_of])
+    return joined.withColumn("next", F.coalesce("next", far))
 
 
 def against_edits(docs: DataFrame) -> DataFrame:
@@ -158,16 +166,17 @@ def against_edits(docs: DataFrame) -> DataFrame:
     """
     common = common_terms(docs)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("_text"))
-    marked = with_fingerprint(with_next(rows, ["_text"]), "_text", common, "_own")
+    near = with_next(rows, ["_text"], prepare=lambda heads: with_fingerprint(heads, "_text", common, "_own"))
+    marked = with_fingerprint(near, "_text", common, "_own")
     cut = F.floor(F.length("_text") / 4).cast("int")
     edited = F.concat(F.expr("substring(_text, 1, length(_text) - cast(floor(length(_text) / 4) AS INT))"), F.substring(F.col("next._text"), F.lit(1), cut))
     both = with_fingerprint(marked.withColumn("_edited", edited), "_edited", common, "_changed")
-    # a follower in the same range has its fingerprint already; only those of the range ends are made here
-    both = both.withColumn("_next_own", F.lead("_own").over(W.partitionBy("_block").orderBy("_order")))
-    both = with_fingerprint(both.withColumn("_far", F.when(F.col("_last"), F.col("next._text")).otherwise("")), "_far", common, "_far_own")
-    both = both.withColumn("_other", F.when(F.col("_last"), F.col("_far_own")).otherwise(F.col("_next_own")))
+    # a follower in the same range has its fingerprint already; a range's last row gets the next head's
+    following = F.lead("_own").over(W.partitionBy("_block").orderBy("doc_id", "_order"))
+    both = both.withColumn("_other", F.coalesce(following, F.col("_after._own")))
+    both = with_likeness(with_likeness(both, "_own", "_changed", "near_edited"), "_own", "_other", "near_next")
     return both.select(
         "doc_id", F.length("_text").cast("long").alias("n_chars"), F.sha2(F.col("_edited").cast("binary"), 256).alias("edited_sha256"),
         F.col("_own.text").alias("fingerprint"), F.col("_changed.text").alias("edited_fingerprint"),
-        likeness(F.col("_own"), F.col("_changed")).alias("near_edited"), likeness(F.col("_own"), F.col("_other")).alias("near_next"),
+        "near_edited", "near_next",
     )
