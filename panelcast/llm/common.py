@@ -78,12 +78,18 @@ def maybe_in(rows: DataFrame, key: str, wanted: DataFrame, wanted_key: str, flag
 
 
 def worker_cache(name: str) -> dict:
-    """A dict that lives as long as the Python worker, across its tasks. Callers bound its size."""
+    """A dict that lives as long as the Python worker, across its tasks. Callers bound its size.
+
+    A worker serves one operator after another: asking for another name forgets what the last one kept.
+    """
     holder = sys.modules.setdefault("panelcast_worker_cache", types.ModuleType("panelcast_worker_cache"))
-    return vars(holder).setdefault(name, {})
+    kept = vars(holder).setdefault("kept", {})
+    if name not in kept:
+        kept.clear()
+    return kept.setdefault(name, {})
 
 
-def slices(batch, text_column: int, chars: int = 4 << 20):
+def slices(batch, text_column: int, chars: int = 1 << 20):
     """An Arrow batch in parts of about ``chars`` characters of text, at least one row each."""
     lengths, low = [len(t) for t in batch.column(text_column).to_pylist()], 0
     while low < batch.num_rows:

@@ -7,8 +7,8 @@ from collections.abc import Iterable
 
 from panelcast.llm.common import worker_cache
 
-#: Words a worker remembers, in two generations of half that number each: about 200 MB at most.
-REMEMBERED = 1_200_000
+#: Words a worker remembers, in two generations of half that number each: about 160 MB at most.
+REMEMBERED = 900_000
 MAX_WORD = 256  # longer words are not remembered
 
 
