@@ -125,8 +125,9 @@ def search(lengths: list[int], capacity: int) -> list[list[int]]:
             alive.discard(victim)
             count -= 1
             idle.clear()
-        elif not changed:
-            idle.add(victim)
+        elif not changed:  # nor does anything help a bin with items of the same lengths
+            own = sorted(lengths[i] for i in bins[victim])
+            idle.update(b for b in alive if room[b] == room[victim] and sorted(lengths[i] for i in bins[b]) == own)
     return [b for b in bins if b]
 
 
@@ -145,15 +146,15 @@ def _place(capacity: int, last: bool):
         seq = np.empty(len(pdf), np.int64)
         again = np.zeros(len(pdf), bool)
         rows = pdf["_row"].tolist()
-        # the emptier half of the bins is dealt again, so the rest shrinks every turn
-        bar = sorted(fill)[len(fill) // 2] if 2 * sum(f < capacity for f in fill) > len(fill) else capacity
-        for b, f in zip(bins, fill):
+        first = [min(rows[i] for i in b) for b in bins]  # a sequence is named after one of its items
+        # at most half of the bins, the emptiest, are dealt again: their length at least halves every turn, ties or not
+        emptiest = set(sorted(range(len(bins)), key=lambda k: (fill[k], first[k]))[: len(bins) // 2])
+        for k, b in enumerate(bins):
             where = 0
-            first = min(rows[i] for i in b)  # a sequence is named after one of its items
             for i in b:
-                at[i], seq[i] = where, first
+                at[i], seq[i] = where, first[k]
                 where += lengths[i]
-                again[i] = not last and f < capacity and f <= bar
+                again[i] = not last and fill[k] < capacity and k in emptiest
         return pd.DataFrame({"_row": pdf["_row"], "length": pdf["length"], "sequence_id": seq, "offset": at, "_again": again})
 
     return run
@@ -163,9 +164,10 @@ def pack(items: DataFrame, capacity: int = 4096, group: int = GROUP) -> DataFram
     """``items`` (with a column ``length`` of 1 to ``capacity``) plus sequence_id and offset.
 
     Full items are sequences of their own. The rest is dealt evenly into groups of about ``group`` items, by a
-    hash of the row's place so that repeated rows spread, and each group is searched by itself. The items of
-    bins that stay emptier than the rest of their group are dealt again, until one group holds them all. Every
-    sequence has its items at gapless offsets from 0. No rows give no rows.
+    hash of the row's place so that repeated rows spread, and each group is searched by itself. The items of the
+    emptier half of a group's bins are dealt again, until one group holds them all; what is dealt again has at most
+    half the length of the turn before, so this ends. Every sequence has its items at gapless offsets from 0. No
+    rows give no rows.
     """
     held = written(items.withColumn("_row", F.monotonically_increasing_id()))
     other = [f for f in held.schema.fields if f.name != "_row"]
@@ -173,8 +175,8 @@ def pack(items: DataFrame, capacity: int = 4096, group: int = GROUP) -> DataFram
     rest = held.where(F.col("length") < capacity)
     left, turn, done = rest.select("_row", "length"), 0, []
     while True:
-        n = left.count()
-        groups = -(-n // group)
+        n, size = left.agg(F.count(F.lit(1)), F.coalesce(F.sum("length"), F.lit(0))).first()
+        groups = min(-(-n // group), size // (4 * capacity))  # a group holds several bins' length, however short its items
         last = groups <= 1
 
         dealt = left.withColumn("_g", F.pmod(F.xxhash64("_row", F.lit(turn)), F.lit(max(groups, 1))))

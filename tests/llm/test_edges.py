@@ -108,6 +108,25 @@ def test_packing(docs, empty):
     assert packing.pack(packing.pieces(empty, WORDS, 1)).count() == 0
 
 
+def equal_pieces(spark, n, length):
+    return spark.range(n).select(F.col("id").alias("doc_id"), F.lit(length).cast("int").alias("length"))
+
+
+def test_packing_of_equal_fills_ends(spark):
+    """Pieces of which no two share a bin, and pieces of which a group fills less than one bin."""
+    packed = packing.pack(equal_pieces(spark, 20_000, 3000), group=500)
+    assert packed.select("doc_id").distinct().count() == packed.select("sequence_id").distinct().count() == packed.where("offset = 0").count() == 20_000
+    packed = packing.pack(equal_pieces(spark, 300, 3), group=10)
+    assert packed.select("doc_id").distinct().count() == packed.count() == 300 and packed.select("sequence_id").distinct().count() == 1
+
+
+def test_deals_again_at_most_half_of_the_bins():
+    import pandas as pd
+
+    out = packing._place(4096, False)(pd.DataFrame({"_row": range(101), "length": 3000}))
+    assert out["_again"].sum() == 50 and packing._place(4096, True)(out[["_row", "length"]])["_again"].sum() == 0
+
+
 def test_local_search_empties_bins():
     rng = random.Random(1)
     for _ in range(30):
