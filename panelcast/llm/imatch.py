@@ -11,6 +11,7 @@ from panelcast.llm.common import SPACES, ascii_lower, partitions
 SUBSETS = 24  # per density
 DIGITS = 6  # hexadecimal digits of a subset's hash
 COMMON = 0.05  # terms in more than this share of documents lie below the band
+OWN = 0.25  # share of a text's terms that the band holds at least; below it all terms are taken
 LOAD = 0.5  # band terms that a subset of the chosen density holds, at least
 
 
@@ -21,27 +22,36 @@ def terms(text: Column) -> Column:
 
 
 def common_terms(docs: DataFrame, share: float = COMMON, least: int = 2) -> list[int]:
-    """Terms whose inverse document frequency lies below the band: in more than ``share`` of all documents.
+    """Terms whose inverse document frequency lies below the band: in more than ``share`` of all distinct documents.
 
-    Fewer than (mean distinct words of a document) / share terms can be that common, so what is collected and
-    compared with does not grow with the corpus.
+    Documents with the same set of terms count once, however many there are. A term is in no more sets than rows,
+    so sets are counted only for terms in enough rows. Fewer than (mean distinct words of a row) * rows / sets /
+    share terms are, so what is collected and compared with does not grow with the corpus.
     """
     sets = docs.select(terms(F.coalesce(F.col("text"), F.lit(""))).alias("t"))
-    n = docs.count()
+    sets = sets.select(F.xxhash64(F.sort_array("t")).alias("s"), "t")
+    n, distinct = docs.count(), sets.select("s").distinct().count()
+    enough = F.col("count") > max(share * distinct, least)
     counts = sets.select(F.explode("t").alias("t")).groupBy("t").count()
-    return sorted(r.t for r in counts.where(F.col("count") > max(share * n, least)).select("t").collect())
+    often = sorted(r.t for r in counts.where(enough).select("t").collect())
+    if n == distinct or not often:
+        return often
+    once = sets.select("s", F.explode(F.array_intersect("t", F.lit(often))).alias("t")).distinct()
+    return sorted(r.t for r in once.groupBy("t").count().where(enough).select("t").collect())
 
 
 def fingerprint(found: Column, common: list[int]) -> list[Column]:
     """The steps from distinct terms to the fingerprint, as columns to be added one after another.
 
-    The band's terms are those not ``common``; its other edge is the rarest term of the corpus. A lexicon subset
+    The band's terms are those not ``common``, or all if these are less than OWN of the text's: near copies that are
+    a large part of the corpus would else be known only by the words in which they differ. The band's other edge is the rarest term of the corpus. A lexicon subset
     of density 2**-level is one class of a random partition of all terms into 2**level; there are SUBSETS of
     them for the level at which a subset holds about one term of the text, and as many for the next level, so
     that two texts of nearly equal size share a level. A subset's hash is that of its sorted terms, empty if it
     has none.
     """
     band = F.array_except(found, F.lit(common)) if common else found
+    band = F.when(F.size(band) >= OWN * F.size(found), band).otherwise(found) if common else band
     size = F.size(band)
     level = F.when(size > 0, F.greatest(F.lit(0), F.floor(F.log2(F.greatest(size, F.lit(1)) / F.lit(LOAD))))).otherwise(-1).cast("int")
     return [band.alias("band"), level.alias("level")]
@@ -74,7 +84,7 @@ def _hashes(placed: Column) -> Column:
 def with_fingerprint(rows: DataFrame, text: str, common: list[int], name: str) -> DataFrame:
     """``rows`` plus ``name``: struct of level, the hashes of two densities, and the fingerprint as text.
 
-    A text without a term in the band has level -1 and the hash of its words in order; its likeness to another
+    A text without a word has level -1 and the hash of its words in order; its likeness to another
     is 1 if they are equal and 0 else. Equal texts have equal fingerprints.
     """
     t, b, lv, w, p, q = (f"_{name}_{x}" for x in ("t", "b", "lv", "w", "p", "q"))

@@ -216,6 +216,24 @@ def test_imatch_edits(spark):
         assert got[d].fingerprint == got[d].edited_fingerprint or got[d].near_edited < 1
 
 
+@pytest.mark.parametrize("edits", [0, 2])
+def test_imatch_copies(spark, edits):
+    """A third of all rows are copies, or copies with 2 of 100 words changed: their words stay in the band."""
+    rng = random.Random(5)
+    base = [f"word{i}" for i in range(100)]
+    texts = [" ".join(f"w{rng.randint(0, 10**6)}" for _ in range(100)) for _ in range(120)]
+    for k in range(60):
+        own = list(base)
+        for i in rng.sample(range(100), edits):
+            own[i] = f"own{k}x{i}"
+        texts.append(" ".join(own))
+    got = {r.doc_id: r for r in imatch.against_edits(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    inner = [got[i] for i in range(120, 179)]
+    assert all(r.near_next == 1 for r in inner) if not edits else sum(r.near_next for r in inner) / 59 > 0.8
+    assert not got[179].fingerprint.startswith("-1:") and got[179].near_edited > 0.3  # followed by an unrelated text
+    assert sum(got[i].near_next for i in range(119)) / 119 < 0.05
+
+
 def test_lm(spark, docs, empty):
     rows = lm.score(docs.withColumn("held", F.expr("CASE WHEN doc_id IN (5, 7) THEN true WHEN doc_id = 3 THEN null ELSE false END"))).collect()
     assert len(rows) == len(ROWS)
