@@ -270,6 +270,26 @@ def fit_ordinal_pair(df: DataFrame, features: list[str], label: str, trees: int
     return assembler, make("_gt_cut").fit(data), make("_gt_hold").fit(data)
 
 
+def walk_forward_ordinal_pair(df: DataFrame, features: list[str], label: str, folds: int = 4, **how) -> DataFrame:
+    """Predictions of every row in the last ``folds`` blocks of the calendar under the pair fitted on all earlier quarters.
+
+    The quarters of the first block are only trained on. Raises where a training set has only one outcome.
+    """
+    calendar = time_series_folds(df.select("q_idx").distinct(), [], folds).where("fold > 0")
+    cuts = [r.low for r in calendar.groupBy("fold").agg(F.min("q_idx").alias("low")).orderBy("fold").collect()]
+    if not cuts:
+        raise ValueError(f"fewer than {folds + 1} quarters")
+    parts = []
+    for low, high in zip(cuts, [*cuts[1:], None]):
+        later = F.col("q_idx") >= low if high is None else (F.col("q_idx") >= low) & (F.col("q_idx") < high)
+        models = fit_ordinal_pair(df.where(F.col("q_idx") < low), features, label, **how)
+        parts.append(predict_ordinal_pair(models, df.where(later)))
+    out = parts[0]
+    for more in parts[1:]:
+        out = out.unionByName(more)
+    return out
+
+
 def predict_ordinal_pair(models, df: DataFrame) -> DataFrame:
     assembler, gt_cut, gt_hold = models
     scored = gt_hold.transform(gt_cut.transform(assembler.transform(df)))

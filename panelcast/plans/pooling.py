@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from panelcast.operators import pooled as po
 from panelcast.plans import panels as pn
 from panelcast.plans.registry import query, r, rs
-from panelcast.plans.screens import ordinal_tree_pair
 
 K, ONE = pn.K, ["quantity"]
 
@@ -111,8 +110,9 @@ def net_against_mean(spark, d):
     f"WITH {pn.POLICY} SELECT entity, count(*) AS n, count(*) AS proper, count(*) AS likeliest FROM policy GROUP BY 1",
 )
 def ordinal_pair_sums(spark, d):
-    """The tree pair's probabilities: every row has three that add up to one, and the class is the likeliest."""
-    p = ordinal_tree_pair(spark, d)
+    """One pair fitted on all rows: each of them has three probabilities that add up to one, and the class is the likeliest."""
+    rows = pn.policy(spark, d)
+    p = po.predict_ordinal_pair(po.fit_ordinal_pair(rows, ["headline", "activity", "rate_lag1"], "actual_action"), rows)
     three = [F.col(c) for c in ("p_cut", "p_hold", "p_hike")]
     proper = (F.abs(sum(three[1:], three[0]) - 1) < 1e-9) & (F.least(*three) >= 0)
     named = F.when(F.col("predicted_action") == "cut", three[0]).when(F.col("predicted_action") == "hike", three[2]).otherwise(three[1])

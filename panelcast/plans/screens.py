@@ -371,11 +371,8 @@ def nonzero_coefficients(spark, d):
 
 @query("ordinal_tree_pair")
 def ordinal_tree_pair(spark, d):
-    """Two boosted-tree classifiers on cumulative classes, combined ordinally."""
-    p = pn.policy(spark, d)
-    features = ["headline", "activity", "rate_lag1"]
-    models = po.fit_ordinal_pair(p, features, "actual_action")
-    out = po.predict_ordinal_pair(models, p)
+    """Two boosted-tree classifiers on cumulative classes, combined ordinally; later rows under fits of earlier quarters."""
+    out = po.walk_forward_ordinal_pair(staged(pn.policy(spark, d)), ["headline", "activity", "rate_lag1"], "actual_action")
     return out.select("entity", "q_idx", "actual_action", "predicted_action", "p_cut", "p_hold", "p_hike")
 
 

@@ -340,3 +340,18 @@ def test_ordinal_pair(spark):
     with pytest.raises(ValueError):
         pooled.fit_ordinal_pair(df.where("a <> 'cut'"), ["x"], "a")
     assert features.present(df, ["x", "nope"]) == ["x"]
+
+
+def test_ordinal_pair_has_no_lookahead(spark):
+    rng = np.random.default_rng(1)
+    name = lambda x: "cut" if x < -0.3 else "hike" if x > 0.3 else "hold"
+    data = [(k, i, float(x), name(x)) for k in ("a", "b") for i, x in enumerate(rng.uniform(-1, 1, size=60))]
+    turned = [(k, i, x, a if i < 20 else name(-x)) for k, i, x, a in data]  # from the first scored block on
+    score = lambda rows: {
+        (r.k, r.q_idx): (r.p_cut, r.p_hold, r.p_hike)
+        for r in pooled.walk_forward_ordinal_pair(spark.createDataFrame(rows, "k string, q_idx int, x double, a string"), ["x"], "a", 2, trees=2, step=0.5).collect()
+    }
+    one, other = score(data), score(turned)
+    assert set(one) == set(other) == {(k, i) for k in ("a", "b") for i in range(20, 60)}
+    assert all(one[at] == pytest.approx(other[at], abs=1e-9) for at in one if at[1] < 40)
+    assert any(one[at] != pytest.approx(other[at], abs=1e-9) for at in one if at[1] >= 40)
