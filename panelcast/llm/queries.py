@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelcast.llm import byte_bpe, chat, exact, imatch, lm, neardup, packing, secret_scan, token_files, toxicity
+from panelcast.llm import byte_bpe, centroids, chat, exact, imatch, lm, neardup, packing, secret_scan, simhash, token_files, token_pairs, toxicity
 from panelcast.llm.common import crc_fold, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -110,3 +110,42 @@ def op10_swap_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's pieces placed in sequences of 4096 ids."""
     own = packing.pieces(table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"), end_id=1)
     return packing.pack(own).select("doc_id", "piece", "start", F.col("length").cast("long").alias("length"), "ids_crc32", "sequence_id", "offset")
+
+
+@query
+def op11_token_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's alignment of two tokenizers, its links weighed by how many documents hold them."""
+    return token_pairs.aligned(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"), tokenizer("piece_bpe_32k.model"))
+
+
+@query
+def op12_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every whole vector's cluster after ten rounds."""
+    return centroids.clusters(table(spark, sf_dir, "embeddings"), k=8, rounds=10, seed=3)
+
+
+def rounds_sql(k: int, rounds: int, seed: int, size: int = 64) -> str:
+    """Lloyd's rounds as a chain of tables: nearest(vec) of each round, then the floors of its means."""
+    steps = [f"""vecs AS MATERIALIZED (
+        SELECT row_number() OVER () AS n, vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+        WHERE len(embedding) = {size} AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = {size}),
+    c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY sha256('{seed}:' || vec_id), v) - 1 AS c, v FROM vecs ORDER BY c LIMIT {k})"""]
+    for r in range(rounds + 1):
+        steps.append(f"""a{r} AS MATERIALIZED (SELECT n, arg_min(c, (d, c)) AS c, min(d) AS d FROM (
+        SELECT vecs.n, c{r}.c, list_sum(list_transform(list_zip(vecs.v, c{r}.v), lambda p: (p[1] - p[2]) * (p[1] - p[2]))) AS d FROM vecs, c{r}) GROUP BY n)""")
+        if r < rounds:
+            steps.append(f"""m{r} AS MATERIALIZED (SELECT c, list((s - ((s % m) + m) % m) // m ORDER BY i) AS v FROM (
+        SELECT c, i, sum(v[i])::BIGINT AS s, count(*) AS m FROM a{r} JOIN vecs USING (n), range(1, {size + 1}) t(i) GROUP BY c, i) GROUP BY c),
+    c{r + 1} AS MATERIALIZED (SELECT c{r}.c, coalesce(m{r}.v, c{r}.v) AS v FROM c{r} LEFT JOIN m{r} USING (c))""")
+    return f"""WITH {", ".join(steps)}
+    SELECT vec_id, c::INT AS cluster, d::BIGINT AS distance, sum(d) OVER (PARTITION BY c)::BIGINT AS cluster_inertia, sum(d) OVER ()::BIGINT AS inertia,
+        sha256(array_to_string(c{rounds}.v, ',')) AS centroid_sha256 FROM a{rounds} JOIN vecs USING (n) JOIN c{rounds} USING (c)"""
+
+
+ORACLE["op12_centroids"] = rounds_sql(k=8, rounds=10, seed=3)
+
+
+@query
+def op13_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's fingerprint and its component of fingerprints within four bits."""
+    return simhash.near_groups(table(spark, sf_dir, "documents"), words=4, seed=42, radius=4)
