@@ -91,7 +91,9 @@ def worker_cache(name: str) -> dict:
 
 def slices(batch, text_column: int, chars: int = 1 << 20):
     """An Arrow batch in parts of about ``chars`` characters of text, at least one row each."""
-    lengths, low = [len(t) for t in batch.column(text_column).to_pylist()], 0
+    import pyarrow.compute as pc
+
+    lengths, low = pc.utf8_length(batch.column(text_column)).fill_null(0).to_pylist(), 0
     while low < batch.num_rows:
         high, total = low, 0
         while high < batch.num_rows and (high == low or total + lengths[high] <= chars):

@@ -26,18 +26,21 @@ def pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int = 4096, w
         import numpy as np
         import pyarrow as pa
 
-        encoder, end = word_encoder(tokenizer), np.array([end_id], "<u4").tobytes()
+        encoder = word_encoder(tokenizer)
         names = ["doc_id", "piece", "start", "length", "ids_crc32"] + ["ids"] * with_ids
         for batch in batches:
             for part in slices(batch, 1):
-                out: list[tuple] = []
-                for doc, packed in zip(part.column(0).to_pylist(), encoder.packed(part.column(1).to_pylist())):
-                    packed += end
-                    for k, low in enumerate(range(0, len(packed), 4 * capacity)):
-                        own = packed[low : low + 4 * capacity]
-                        out.append((doc, k, low // 4, len(own) // 4, crc32(own)) + ((np.frombuffer(own, "<i4"),) if with_ids else ()))
-                types = [pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int64()] + [pa.list_(pa.int32())] * with_ids
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], names)
+                ids, ends = encoder.encode(part.column(1), end_id)
+                per_doc = -(-np.diff(ends) // capacity)
+                piece = np.arange(int(per_doc.sum())) - np.repeat(np.cumsum(per_doc) - per_doc, per_doc)
+                low = np.repeat(ends[:-1], per_doc) + piece * capacity
+                high = np.minimum(low + capacity, np.repeat(ends[1:], per_doc))
+                raw = memoryview(ids).cast("B")
+                crcs = [crc32(raw[x:y]) for x, y in zip((4 * low).tolist(), (4 * high).tolist())]
+                rows = [part.column(0).take(pa.array(np.repeat(np.arange(len(per_doc)), per_doc))), pa.array(piece.astype(np.int32)), pa.array(piece * capacity), pa.array((high - low).astype(np.int32)), pa.array(crcs, pa.int64())]
+                if with_ids:
+                    rows.append(pa.ListArray.from_arrays(pa.array(np.append(low, len(ids)).astype(np.int32)), pa.array(ids.view(np.int32))))
+                yield pa.RecordBatch.from_arrays(rows, names)
 
     return id_and_text(docs).mapInArrow(run, PIECES + (", ids array<int>" if with_ids else ""))
 

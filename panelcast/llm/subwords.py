@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import os
-from collections.abc import Iterable
 
 from panelcast.llm.common import worker_cache
 
@@ -12,13 +11,18 @@ REMEMBERED = 900_000
 MAX_WORD = 256  # longer words are not remembered
 
 
+#: Signs that end a word as a token of their own after a letter; an apostrophe does not always.
+MARKS = frozenset(".,;:!?)")
+
+
 class WordEncoder:
     """Encodes texts with the tokenizers library, word by word.
 
     For tokenizers that drop white space and never join across it, as ``word_bpe_49k.json`` does, the ids of a
     text are the ids of its words in order. Words are cut at the six ASCII white-space characters only; what
-    else the tokenizer takes for space is left to it. Words seen before are looked up: a young and an old
-    generation, the older one forgotten when the younger is full.
+    else the tokenizer takes for space is left to it. A column's words are split and told apart by Arrow, each
+    distinct one is looked up once, and numpy lays their ids out. Words seen before are remembered in a young
+    and an old generation, the older one forgotten when the younger is full.
     """
 
     def __init__(self, path: str):
@@ -29,41 +33,70 @@ class WordEncoder:
         self.lower = "Lowercase" in (self.tokenizer.normalizer.__getstate__().decode() if self.tokenizer.normalizer else "")
         self.young: dict[str, bytes] = {"": b""}
         self.old: dict[str, bytes] = {}
+        self.apart: dict[str, bool] = {}
+
+    def _ids(self, text: str) -> list[int]:
+        return self.tokenizer.encode(text, add_special_tokens=False).ids
+
+    def splits(self, word: str) -> bool:
+        """Whether a word that ends in a mark is encoded as the word and the mark.
 
-    def packed(self, texts: Iterable[str]) -> list[bytes]:
-        """The ids of each text as little-endian unsigned 32-bit integers."""
+        Letters before a mark are; but normalising may turn the last one into a letter and a sign that joins
+        the mark, so each last letter is tried once with the tokenizer itself.
+        """
+        if not (word[-1] in MARKS and word[:-1].isalpha()):
+            return False
+        end = word[-2:]
+        if end not in self.apart:
+            self.apart[end] = self._ids(end) == self._ids(end[0]) + self._ids(end[1])
+        return self.apart[end]
+
+    def learn(self, words: set[str]) -> None:
+        """Have every word's ids in the young generation."""
         import numpy as np
 
-        parts = []
-        for text in texts:
-            if self.lower and text.isascii() and "<|" not in text:
-                text = text.lower()  # fewer different words; special tokens keep their case
-            for c in "\n\t\r\x0b\x0c":
-                if c in text:
-                    text = text.replace(c, " ")
-            parts.append(text.split(" "))
         young, old, unseen = self.young, self.old, []
-        for w in set().union(*parts).difference(young):
+        for w in words.difference(young):
             if (known := old.get(w)) is not None:
                 young[w] = known
             else:
                 unseen.append(w)
-        # a word that ends in one comma or full stop is the word and the mark: most of those words are known already
-        bare = {w: w[:-1] for w in unseen if w[-1] in ".," and w[:-1].isalpha()}
-        ask = list({bare.get(w, w) for w in unseen}.difference(young) | {".", ","}.difference(young))
+        # a word with a mark after it is the word and the mark: most of those words are known already
+        bare = {w: w[:-1] for w in unseen if self.splits(w)}
+        ask = list({bare.get(w, w) for w in unseen}.difference(young) | MARKS.difference(young))
         for i in range(0, len(ask), 20_000):
             some = ask[i : i + 20_000]
             for w, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False)):
                 young[w] = np.array(e.ids, "<u4").tobytes()
         for w, b in bare.items():
             young[w] = young[b] + young[w[-1]]
-        out = [b"".join(map(young.__getitem__, words)) for words in parts]
-        for w in unseen:
+
+    def encode(self, column, end_id: int):
+        """(ids, bounds): the unsigned 32-bit ids of an Arrow text column, ``end_id`` after each text's own."""
+        import numpy as np
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        lists = pc.ascii_split_whitespace(column.cast(pa.large_string()))
+        coded = lists.flatten().dictionary_encode()
+        words, at = coded.dictionary.to_pylist(), coded.indices.to_numpy()
+        if self.lower:  # fewer different words; special tokens keep their case
+            words = [w.lower() if w.isascii() and "<|" not in w else w for w in words]
+        self.learn(set(words))
+        own = list(map(self.young.__getitem__, words))
+        size = np.array([len(x) // 4 for x in own], np.int64)
+        table, first = np.frombuffer(b"".join(own), "<u4"), np.cumsum(size) - size
+        n = size[at]
+        ends = np.cumsum(n)
+        ids = table[np.repeat(first[at] - ends + n, n) + np.arange(int(n.sum()))]
+        cuts = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(pc.list_value_length(lists).to_numpy())])]
+        ids = np.insert(ids, cuts[1:], np.uint32(end_id))
+        for w in words:
             if len(w) > MAX_WORD:
-                del young[w]
-        if len(young) > REMEMBERED // 2:
-            self.old, self.young = young, {"": b""}
-        return out
+                self.young.pop(w, None)
+        if len(self.young) > REMEMBERED // 2:
+            self.old, self.young = self.young, {"": b""}
+        return ids, cuts + np.arange(len(cuts))
 
 
 def word_encoder(path: str) -> WordEncoder:

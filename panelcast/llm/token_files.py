@@ -40,13 +40,12 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int, shards
         import pyarrow as pa
         from pyspark import TaskContext
 
-        encoder, shard, at, end = word_encoder(tokenizer), TaskContext.get().partitionId(), 0, np.array([end_id], "<u4").tobytes()
+        encoder, shard, at = word_encoder(tokenizer), TaskContext.get().partitionId(), 0
         for batch in batches:
             for part in slices(batch, 1):
-                packed = [p + end for p in encoder.packed(part.column(1).to_pylist())]
-                n = np.array([len(p) // 4 for p in packed], np.int64)
-                ends = np.concatenate([[0], np.cumsum(n)])
-                lists = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(np.frombuffer(b"".join(packed), "<i4")))
+                ids, ends = encoder.encode(part.column(1), end_id)
+                n = np.diff(ends)
+                lists = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(ids.view(np.int32)))
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(np.full(len(n), shard, np.int32)), part.column(0), pa.array(at + ends[:-1]), pa.array(n), lists],
                     ["shard", "doc_id", "at", "n_tokens", "tokens"],
@@ -80,9 +79,10 @@ def token_index(spark: SparkSession, path: str) -> DataFrame:
 
         for b in batches:
             lists = b.column(3)
-            flat, cut = lists.values.to_numpy(zero_copy_only=False).astype("<u4", copy=False), lists.offsets.to_numpy()
-            crcs = [crc32(flat[x:y].tobytes()) for x, y in zip(cut[:-1], cut[1:])]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(np.array([y - x for x, y in zip(cut[:-1], cut[1:])], np.int64)), pa.array(crcs, pa.int64())], ["shard", "doc_id", "at", "n_tokens", "ids_crc32"])
+            flat, cut = memoryview(lists.values.to_numpy(zero_copy_only=False).astype("<i4", copy=False)).cast("B"), lists.offsets.to_numpy()
+            places = (4 * cut.astype(np.int64)).tolist()
+            crcs = [crc32(flat[x:y]) for x, y in zip(places, places[1:])]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(np.diff(cut).astype(np.int64)), pa.array(crcs, pa.int64())], ["shard", "doc_id", "at", "n_tokens", "ids_crc32"])
 
     sums = read_tokens(spark, path).select("shard", "doc_id", "at", "tokens").mapInArrow(checksum, "shard int, doc_id long, at long, n_tokens long, ids_crc32 long")
     return sums.join(F.broadcast(shard_starts(spark, path)), "shard").select("doc_id", (F.col("shard_start") + F.col("at")).alias("start"), "n_tokens", "ids_crc32")
