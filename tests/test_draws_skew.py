@@ -40,13 +40,44 @@ def test_quantiles_without_keys_and_of_one_value(spark):
     assert skew.exact_quantiles(same, ["g"], "v", {"mid": 0.3}).agg(F.min("mid"), F.max("mid")).first()[:] == (4.0, 4.0)
 
 
-def test_hot_group_is_cut_into_ranges(spark):
-    """One group of all rows is range-partitioned by value; the plan stays small."""
-    df = spark.range(20000).select(F.lit("hot").alias("g"), (F.col("id") * 1.5).alias("v"))
-    q = skew.exact_quantiles(df, ["g"], "v", {"mid": 0.5})
-    assert q.collect()[0].mid == pytest.approx(19999 * 1.5 / 2)
-    plan = q._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
-    assert "rangepartitioning" in plan and plan.count("Exchange ") - plan.count("ReusedExchange ") <= 8
+@pytest.mark.parametrize("bin_rows", [1, 7, 500])
+def test_quantiles_are_the_same_however_often_groups_are_cut(spark, bin_rows):
+    df, data = skewed(spark, 3000)
+    want = rows(skew.exact_quantiles(df, ["g"], "v", PROBS, True, True), "g", *PROBS, "n_values")
+    assert rows(skew.exact_quantiles(df, ["g"], "v", PROBS, True, True, bin_rows), "g", *PROBS, "n_values") == want
+    inf = float("inf")
+    odd = spark.createDataFrame([(None, -inf), (None, 1.0), (None, inf), (None, None), ("b", None)], "g string, v double")
+    got = {r.g: r for r in skew.exact_quantiles(odd, ["g"], "v", {"p0": 0.0, "mid": 0.5, "p100": 1.0}, bin_rows=bin_rows).collect()}
+    assert (got[None].p0, got[None].mid, got[None].p100, got["b"].mid) == (-inf, 1.0, inf, None)
+
+
+@pytest.mark.parametrize("reuse, adaptive", [(True, True), (False, True), (False, False)])
+def test_a_large_group_needs_no_reused_exchange(spark, reuse, adaptive):
+    """400,000 different values in one group, a second one beside it: equal to the engine's own percentile."""
+    settings = {"spark.sql.exchange.reuse": reuse, "spark.sql.adaptive.enabled": adaptive}
+    before = {k: spark.conf.get(k) for k in settings}
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, str(v).lower())
+        value = (F.xxhash64("id") % 1_000_003).cast("double") + F.col("id") / 1e6
+        df = spark.range(420_000).select(F.when(F.col("id") % 21 == 0, "small").otherwise("hot").alias("g"), value.alias("v"))
+        q = skew.exact_quantiles(df, ["g"], "v", PROBS)
+        want = df.groupBy("g").agg(*[F.percentile("v", p).alias(n) for n, p in PROBS.items()])
+        for got, exact in zip(rows(q, "g", *PROBS), rows(want, "g", *PROBS)):
+            assert got[0] == exact[0] and got[1:] == pytest.approx(exact[1:], rel=1e-12)
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
+def test_only_bins_with_a_wanted_rank_go_on(spark):
+    df = spark.range(20_000).select(F.lit("hot").alias("g"), (F.col("id") * 1.5).alias("v"), F.lit(1).alias("c"))
+    groups = df.groupBy(F.struct("g").alias("_k")).agg(F.count(F.lit(1)).alias("_n"))
+    open_ = df.select(F.struct("g").alias("_k"), F.lit(0).cast("long").alias("_b"), F.lit(0).cast("long").alias("_start"), F.col("v").alias("_v"), F.col("c").alias("_c"))
+    left = skew._refined(open_, groups, [F.floor(0.5 * (F.col("_n") - 1))], 1000)
+    assert left.count() < 20_000 / 100 and left.where("_v = 9999 * 1.5").count() == 1
+    r = skew.exact_quantiles(df, ["g"], "v", {"mid": 0.5}, bin_rows=1000).first()
+    assert r.mid == pytest.approx(19999 * 1.5 / 2)
 
 
 def test_quantiles_of_odd_groups(spark):
