@@ -104,22 +104,24 @@ def profile(df: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def integrity_summary(df: DataFrame, keys: list[str], order: str | None = None) -> DataFrame:
-    """Rows, columns, repeated and missing quarters; sortedness when a file-order column is named."""
-    from panelcast.operators.quality import unsorted_flags
+    """Rows, columns, repeated and missing quarters; with an ``order`` (a position column, or ``"file"`` for the
+    files scanned) also whether the quarters run forward in it, read from the same aggregation."""
+    from panelcast.operators.quality import with_back_steps, with_place
 
     n_cols = len([c for c in df.columns if c not in (order, *keys)])
-    per_q = df.groupBy(*keys, "q_idx").agg(F.count(F.lit(1)).alias("_n"))
-    out = per_q.groupBy(*keys).agg(
+    count = F.count(F.lit(1)).alias("_n")
+    if order is None:
+        per_q = df.groupBy(*keys, "q_idx").agg(count)
+    else:
+        places = with_place(df, order).groupBy(*keys, "q_idx", "_file", "_block").agg(count, F.min("_pos").alias("_first"), F.max("_pos").alias("_last"))
+        per_q = with_back_steps(places, keys, "q_idx").groupBy(*keys, "q_idx").agg(F.sum("_n").alias("_n"), F.bool_or("_back").alias("_back"))
+    return per_q.groupBy(*keys).agg(
         F.sum("_n").alias("rows"), F.first(F.lit(n_cols)).cast("bigint").alias("columns"),
         q_label(F.min("q_idx")).alias("first_quarter"), q_label(F.max("q_idx")).alias("last_quarter"),
         F.sum(F.col("_n") - 1).alias("duplicate_quarters"),
         (F.max("q_idx") - F.min("q_idx") + 1 - F.count(F.lit(1))).cast("bigint").alias("missing_quarters"),
+        *([(~F.bool_or("_back")).alias("is_sorted")] if order else []),
     )
-    if order is None:
-        return out
-    flags = unsorted_flags(df, keys, F.col("q_idx"), order)
-    joined = out.join(flags, keys, "left") if keys else out.withColumn("unsorted", flags.scalar())
-    return joined.withColumn("is_sorted", ~F.col("unsorted")).drop("unsorted")
 
 
 def level_shift(

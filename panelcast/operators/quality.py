@@ -49,55 +49,38 @@ def with_file_order(df: DataFrame, out: str = "_pos") -> DataFrame:
     return df.withColumn(out, F.monotonically_increasing_id())
 
 
-def unsorted_in_file(df: DataFrame, keys: list[str], date: Column) -> DataFrame:
-    """Whether each dataset's dates run forward in file order, for rows that lie in that order as they are read.
+def with_place(df: DataFrame, order: str) -> DataFrame:
+    """A row's place as (_file, _block, _pos): of the file it was read from, or of a position column.
 
-    One pass over each part of the input gives, per dataset, its first and last date there and whether a date
-    went back inside; only those few rows are shuffled, ordered by the part's place. Rows must come straight
-    from a scan: an operation that moves rows between tasks loses the order.
+    ``order="file"`` needs rows that come from a scan of files, of any format, through projections and filters
+    alone. Files follow each other by name, a file's blocks by their offset, a block's rows as they are read;
+    one block is one task's, so in which order tasks run does not matter.
     """
-    fields = [df.schema[k] for k in keys]
-    out = T.StructType([*fields, T.StructField("_at", T.LongType()), T.StructField("_back", T.BooleanType()), T.StructField("_first", T.LongType()), T.StructField("_last", T.LongType())])
-    days = F.unix_date(date.cast("date")).cast("long")
-    rows = df.select(*keys, F.monotonically_increasing_id().alias("_at"), days.alias("_d")).where(F.col("_d").isNotNull())
+    if order != "file":
+        return df.withColumns({"_file": F.lit(""), "_block": F.lit(0).cast("long"), "_pos": F.col(order).cast("long")})
+    return df.withColumns({"_file": F.col("_metadata.file_path"), "_block": F.col("_metadata.file_block_start"), "_pos": F.monotonically_increasing_id()})
 
-    def run(batches):
-        import pandas as pd
 
-        for pdf in batches:
-            group = pdf.groupby(keys, sort=False, dropna=False) if keys else pdf.groupby(lambda _: 0)
-            pdf = pdf.assign(_back=(group["_d"].diff() < 0).to_numpy())
-            group = pdf.groupby(keys, sort=False, dropna=False) if keys else pdf.groupby(lambda _: 0)
-            part = group.agg(_at=("_at", "first"), _back=("_back", "any"), _first=("_d", "first"), _last=("_d", "last"))
-            yield part.reset_index()[[*keys, "_at", "_back", "_first", "_last"]]
+def with_back_steps(places: DataFrame, keys: list[str], date: str) -> DataFrame:
+    """Marks rows (keys, date, _file, _block, _first, _last) before which the dates of their key go back.
 
-    parts = rows.mapInPandas(run, out)
-    along = W.partitionBy(*keys).orderBy("_at")
-    step = F.coalesce(F.col("_first") < F.lag("_last").over(along), F.lit(False))
-    return parts.withColumn("_step", step).groupBy(*keys).agg(F.bool_or(F.col("_back") | F.col("_step")).alias("unsorted"))
+    ``places`` holds one row per date and block, so a window over a key sees calendar-sized rows only. Dates run
+    forward when each, in order of its first row, is no earlier than the one before and begins after its last
+    row. NULL dates are passed over.
+    """
+    here = F.when(F.col(date).isNotNull(), F.struct("_file", "_block", "_last", date))
+    along = W.partitionBy(*keys).orderBy("_file", "_block", "_first").rowsBetween(W.unboundedPreceding, -1)
+    before = F.last(here, ignorenulls=True).over(along)
+    same = (before["_file"] == F.col("_file")) & (before["_block"] == F.col("_block"))
+    back = (before[date] > F.col(date)) | (same & F.col(date).isNotNull() & (before["_last"] > F.col("_first")))
+    return places.withColumn("_back", F.coalesce(back, F.lit(False)))
 
 
-def unsorted_flags(df: DataFrame, keys: list[str], date: Column, pos: str = "_pos", block: int = 1 << 20) -> DataFrame:
-    """Whether each dataset's dates run forward in file order, without sorting a dataset in one task.
-
-    Rows are compared inside blocks of file positions; first and last dates of the blocks are then
-    compared along the short list of blocks.
-    """
-    rows = df.select(*keys, date.alias("_d"), F.col(pos).alias("_p")).where(F.col("_d").isNotNull())
-    rows = rows.withColumn("_blk", F.floor(F.col("_p") / block))
-    w = W.partitionBy(*keys, "_blk").orderBy("_p")
-    inner = rows.withColumn("_back", (F.col("_d") < F.lag("_d").over(w)).cast("int"))
-    blocks = inner.groupBy(*keys, "_blk").agg(
-        F.max(F.coalesce("_back", F.lit(0))).alias("_back"),
-        F.min_by("_d", "_p").alias("_first"), F.max_by("_d", "_p").alias("_last"),
-    )
-    wb = W.partitionBy(*keys).orderBy("_blk")
-    step = (F.col("_first") < F.lag("_last").over(wb)).cast("int")
-    return (
-        blocks.withColumn("_step", F.coalesce(step, F.lit(0)))
-        .groupBy(*keys)
-        .agg((F.max(F.greatest("_back", "_step")) > 0).alias("unsorted"))
-    )
+def unsorted_flags(df: DataFrame, keys: list[str], date: Column, order: str = "file") -> DataFrame:
+    """Whether each dataset's dates run back anywhere in the given order; raw rows are combined before any shuffle."""
+    rows = with_place(df.withColumn("_d", date), order)
+    places = rows.where(F.col("_d").isNotNull()).groupBy(*keys, "_d", "_file", "_block").agg(F.min("_pos").alias("_first"), F.max("_pos").alias("_last"))
+    return with_back_steps(places, keys, "_d").groupBy(*keys).agg(F.bool_or("_back").alias("unsorted"))
 
 
 def _no_date_records(df: DataFrame, keys: list[str], date: str, columns: int) -> DataFrame:
@@ -116,8 +99,8 @@ def check_series(
     order: str | None = None, percent: bool = False, as_of: str | None = None,
 ) -> DataFrame:
     """Quality record per dataset (``keys``): row count, bad and repeated dates, non-numeric and missing
-    values, sortedness when a file-order column is named; ``order="file"`` takes the order of the scan itself,
-    which needs no shuffle of raw rows.
+    values, sortedness when an ``order`` is given: a position column, or ``"file"`` for the order of the files
+    that are scanned. It is read from the same aggregation, in one scan (see :func:`with_place`).
 
     ``percent=True`` adds the ratio checks: missing quarters, dates after ``as_of`` and values outside
     0-100. Dates are counted per distinct day first, so repeated dates of a hot dataset combine map-side.
@@ -138,7 +121,13 @@ def check_series(
             F.count_if(raw.isNull() | F.coalesce(is_nan, F.lit(False))).alias(f"_miss{i}"),
             F.count_if((num < 0) | (num > 100)).alias(f"_out{i}"),
         ]
-    days = typed.groupBy(*keys, "_d").agg(*per_day)
+    if order is None:
+        days = typed.groupBy(*keys, "_d").agg(*per_day).withColumn("_back", F.lit(False))
+    else:
+        counts = ["_n"] + [f"_{k}{i}" for i in range(len(have)) for k in ("bad", "miss", "out")]
+        ends = [F.min("_pos").alias("_first"), F.max("_pos").alias("_last")]
+        places = with_place(typed, order).groupBy(*keys, "_d", "_file", "_block").agg(*per_day, *ends)
+        days = with_back_steps(places, keys, "_d").groupBy(*keys, "_d").agg(*[F.sum(c).alias(c) for c in counts], F.bool_or("_back").alias("_back"))
     total = [
         F.sum("_n").alias("rows"),
         F.coalesce(F.sum(F.when(F.col("_d").isNull(), F.col("_n"))), F.lit(0)).alias("_invalid"),
@@ -146,15 +135,11 @@ def check_series(
         F.min("_d").alias("_a"), F.max("_d").alias("_b"),
         F.count_distinct(q_idx("_d")).alias("_quarters"),
         F.coalesce(F.sum(F.when(F.col("_d") > F.lit(as_of).cast("date"), F.col("_n"))), F.lit(0)).alias("_future"),
+        F.coalesce(F.bool_or("_back"), F.lit(False)).alias("unsorted"),
     ]
     for i in range(len(have)):
         total += [F.coalesce(F.sum(f"_{k}{i}"), F.lit(0)).alias(f"_{k}{i}") for k in ("bad", "miss", "out")]
     agg = days.groupBy(*keys).agg(*total)
-    if order is not None:
-        flags = unsorted_in_file(df, keys, parse_temporal(date)) if order == "file" else unsorted_flags(typed, keys, F.col("_d"), order)
-        agg = agg.join(flags, keys, "left") if keys else agg.withColumn("unsorted", flags.scalar())
-    else:
-        agg = agg.withColumn("unsorted", F.lit(False))
     rows = F.coalesce("rows", F.lit(0))
     missing = sum((F.coalesce(f"_miss{i}", F.lit(0)) for i in range(len(have))), F.lit(0))
     fails = [

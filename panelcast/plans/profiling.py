@@ -87,15 +87,16 @@ def table_profile(spark, d):
 
 @query(
     "integrity_summary",
-    f"""WITH o AS (SELECT o_custkey, {pn.q_sql('o_orderdate')} AS q_idx FROM orders)
+    f"""WITH o AS (SELECT o_custkey, {pn.q_sql('o_orderdate')} AS q_idx, row_number() OVER () AS n FROM orders),
+        s AS (SELECT *, coalesce(q_idx < lag(q_idx) OVER (PARTITION BY o_custkey ORDER BY n), false) AS back FROM o)
         SELECT o_custkey, count(*) AS rows, CAST(1 AS BIGINT) AS columns, {pn.label_sql('min(q_idx)')} AS first_quarter, {pn.label_sql('max(q_idx)')} AS last_quarter,
-               count(*) - count(DISTINCT q_idx) AS duplicate_quarters, CAST(max(q_idx) - min(q_idx) + 1 - count(DISTINCT q_idx) AS BIGINT) AS missing_quarters
-        FROM o GROUP BY 1""",
+               count(*) - count(DISTINCT q_idx) AS duplicate_quarters, CAST(max(q_idx) - min(q_idx) + 1 - count(DISTINCT q_idx) AS BIGINT) AS missing_quarters, NOT bool_or(back) AS is_sorted
+        FROM s GROUP BY 1""",
 )
 def integrity_summary(spark, d):
-    """Repeated and missing quarters of each customer's order history."""
+    """Repeated and missing quarters of each customer's order history, and whether its file holds it in order."""
     o = pn.table(spark, d, "orders").select("o_custkey", cal.q_idx("o_orderdate").alias("q_idx"))
-    return pf.integrity_summary(o, ["o_custkey"])
+    return pf.integrity_summary(o, ["o_custkey"], order="file")
 
 
 @query(

@@ -47,19 +47,6 @@ def test_labels_that_cannot_be_read(spark):
     assert got == {"x": ("PASS", "ok", 0), "y": ("FAIL", "1 unreadable horizon labels", 1)}
 
 
-def test_file_order_without_moving_rows(spark):
-    """Steps back inside a part of the input and between its parts are both seen."""
-    days = {"up": [*range(40)], "back": [*range(30), 3, *range(31, 40)], "edge": [*range(20, 40), *range(20)]}
-    rows = [(k, days[k][i]) for i in range(40) for k in days]
-    df = spark.createDataFrame(rows, "k string, n int").select("k", F.date_add(F.lit("2024-01-01").cast("date"), F.col("n")).alias("day"))
-    assert df.rdd.getNumPartitions() > 1
-    flags = quality.unsorted_in_file(df, ["k"], F.col("day"))
-    assert {r.k: r.unsorted for r in flags.collect()} == {"up": False, "back": True, "edge": True}
-    plan = flags._jdf.queryExecution().optimizedPlan().toString()
-    assert plan.index("Window") < plan.index("MapInPandas")  # only the reduced rows meet in a window
-    assert quality.unsorted_in_file(df.where("k = 'up'"), [], F.col("day")).first()[0] is False
-
-
 def test_date_pin_reaches_the_scan(spark, tmp_path):
     path = str(tmp_path / "d")
     raw(spark).write.parquet(path)

@@ -35,13 +35,38 @@ def test_empty_invalid_unsorted_and_missing(spark):
     assert (r["status"], r["notes"]) == ("WARNING", "1 missing values")
 
 
-def test_unsorted_is_found_across_blocks(spark):
-    df = spark.createDataFrame([(i, d) for i, d in enumerate([1, 2, 3, 9, 4, 5])], "_pos bigint, d int")
-    for block in (1, 2, 3, 100):
-        assert quality.unsorted_flags(df, [], F.col("d"), block=block).first()["unsorted"]
-    fine = spark.createDataFrame([(i, d) for i, d in enumerate([1, 2, 2, 9])], "_pos bigint, d int")
-    for block in (1, 2, 100):
-        assert not quality.unsorted_flags(fine, [], F.col("d"), block=block).first()["unsorted"]
+def test_unsorted_by_a_position_column(spark):
+    for days, back in [([1, 2, 3, 9, 4, 5], True), ([1, 2, 2, 9], False), ([1, 2, 1], True), ([3], False), ([2, None, 1], True), ([1, None, 2, 2], False), ([1, 1, 2, 1, 2], True)]:
+        df = spark.createDataFrame(list(enumerate(days)), "p bigint, d int").repartition(3)
+        assert quality.unsorted_flags(df, [], F.col("d"), "p").first()["unsorted"] is back
+
+
+@pytest.mark.parametrize("form", ["parquet", "csv"])
+def test_file_order_over_files_of_unequal_size(spark, tmp_path, form):
+    """Larger files are read first; the order is that of their names. Blocks of a file follow by offset."""
+    base = str(tmp_path)
+
+    def save(name, frame):
+        frame.coalesce(1).sortWithinPartitions("n").write.option("header", True).option("compression", "none").format(form).save(f"{base}/{name}")
+
+    days = spark.range(9000).select(F.col("id").alias("n"), F.date_add(F.lit("2000-01-01").cast("date"), F.col("id").cast("int")).alias("day"), (F.col("id") % 2).alias("k"))
+    save("a", days.where("n < 20"))
+    save("b", days.where("n >= 20"))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20k")
+    try:
+        read = spark.read.schema("n long, day date, k long").option("header", True).format(form)
+        both = read.load([f"{base}/a", f"{base}/b"])
+        swapped = both.withColumn("day", F.when(F.col("n") == 4500, F.lit("2001-01-01").cast("date")).otherwise(F.col("day")))
+        first_late = both.withColumn("day", F.when(F.col("n") == 3, F.lit("2000-02-01").cast("date")).otherwise(F.col("day")))
+        for df, back in [(both, {0: False, 1: False}), (swapped, {0: True, 1: False}), (first_late, {0: False, 1: True})]:
+            assert {r.k: r.unsorted for r in quality.unsorted_flags(df, ["k"], F.col("day")).collect()} == back
+        record_ = quality.check_series(both, [], "day", ["n"], order="file")
+        assert record_.first().status == "PASS"
+        plan = record_._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("FileScan") == 1 and "Python" not in plan and "InPandas" not in plan
+        assert "dates are not sorted" in quality.check_series(swapped, [], "day", ["n"], order="file").first().notes
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
 
 
 def test_ratio_check_future_and_range(spark):
