@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from panelcast.operators import backtest as bt
 from panelcast.operators import bootstrap as bs
+from panelcast.operators import callables as ca
 from panelcast.plans import alignment as al
 from panelcast.plans import panels as pn
 from panelcast.plans.registry import query, r, rs
@@ -41,6 +42,59 @@ def exogenous_grid(spark, d):
     )
 
 
+@query(
+    "frame_forecaster",
+    f"""WITH {EXOG}, w AS (SELECT entity, rn, value, gappy, late, CAST(q_idx AS DOUBLE) AS q FROM s WHERE gappy IS NOT NULL AND late IS NOT NULL),
+        m AS (SELECT o.entity, o.rn, o.q_idx, avg(w.value) AS mean, arg_max(w.gappy, w.rn) AS gappy, min(w.late) AS low, count(*) AS n FROM o JOIN w ON w.entity = o.entity AND w.rn <= o.rn WHERE k > 1 AND k <= 7 GROUP BY ALL)
+        SELECT m.entity, 'two_inputs' AS model, m.q_idx AS origin_q, t.q_idx AS target_q, CAST(h AS INTEGER) AS horizon, {r('t.value', 'actual')}, {r('mean + 0.1 * h * m.gappy - low / m.n', 'forecast')},
+               {r('t.value - (mean + 0.1 * h * m.gappy - low / m.n)', 'error')}
+        FROM m CROSS JOIN range(1, 3) AS g(h) JOIN s t ON t.entity = m.entity AND t.rn = m.rn + h""",
+)
+def frame_forecaster(spark, d):
+    """A Python forecaster on frames of whole rows with two inputs, over a block of origins in chunks of four."""
+
+    def two_inputs(train, steps):
+        return [train["value"].mean() + 0.1 * h * train["gappy"].iloc[-1] - train["late"].min() / len(train) for h in range(1, steps + 1)]
+
+    return ca.walk_forward_frames(
+        pn.sparse_panel(spark, d), K, "value", ["gappy", "late"], 5, [1, 2], two_inputs, "two_inputs", skip_origins=1, max_origins=6, origins_per_task=4
+    )
+
+
+NOISE = "CAST(('0x' || substr(md5(concat_ws(':', 42 + k - 2, i, h)), 1, 8)) AS BIGINT) % 2001 - 1000"
+
+
+def _md5_noise(seed: int, draw: int, step: int) -> float:
+    import hashlib
+
+    return int(hashlib.md5(f"{seed}:{draw}:{step}".encode()).hexdigest()[:8], 16) % 2001 - 1000
+
+
+def md5_paths(train, steps: int, n_sims: int, seed: int) -> np.ndarray:
+    """The last value plus noise from a hash of seed, draw and step, wider the further ahead."""
+    noise = [[_md5_noise(seed, i, h) * h / 100 for h in range(1, steps + 1)] for i in range(n_sims)]
+    return float(train["value"].iloc[-1]) + np.array(noise)
+
+
+@query(
+    "draw_backtest",
+    f"""WITH {EXOG}, w AS (SELECT entity, rn, value FROM s WHERE gappy IS NOT NULL AND late IS NOT NULL),
+        m AS (SELECT o.entity, o.rn, o.q_idx, k, arg_max(w.value, w.rn) AS latest FROM o JOIN w ON w.entity = o.entity AND w.rn <= o.rn WHERE k > 1 GROUP BY ALL),
+        q AS (SELECT m.entity, m.rn, m.q_idx, h, quantile_cont(latest + ({NOISE}) * h / 100.0::DOUBLE, [0.1, 0.5, 0.9]) AS c FROM m, range(1, 3) AS g(h), range(0, 50) AS d(i) GROUP BY ALL),
+        v AS (SELECT q.entity, 'md5' AS model, q.q_idx AS origin_q, t.q_idx AS target_q, CAST(h AS INTEGER) AS horizon, t.value AS actual, c[1] AS interval_lower, c[2] AS point_forecast, c[3] AS interval_upper
+              FROM q JOIN s t ON t.entity = q.entity AND t.rn = q.rn + h)
+        SELECT entity, model, origin_q, target_q, horizon, {rs('actual interval_lower point_forecast interval_upper')}, interval_lower <= actual AND actual <= interval_upper AS hit,
+               {r('interval_upper - interval_lower', 'interval_width')},
+               {r("CASE WHEN actual = point_forecast THEN 0 WHEN actual < point_forecast THEN (point_forecast - actual) / (point_forecast - interval_lower) ELSE (actual - point_forecast) / (interval_upper - point_forecast) END", 'nonconformity_score')} FROM v""",
+)
+def draw_backtest(spark, d):
+    """Intervals of a Python simulator's draws, seeded by the origins completed before, scored against the actuals."""
+    made = ca.walk_forward_draws(
+        pn.sparse_panel(spark, d), K, "value", 5, [1, 2], md5_paths, "md5", 50, 42, inputs=["gappy", "late"], skip_origins=1, origins_per_task=3
+    )
+    return ca.interval_backtest(made, K)
+
+
 def _model_query(name, doc):
     def run(spark, d):
         return pn.predictions(spark, d).where(F.col("model") == name)
