@@ -12,25 +12,23 @@ from types import SimpleNamespace
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.classification import GBTClassifier
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
 from panelcast.operators.align import asof_latest, over_time
+from panelcast.operators.boosting import Boosted, Settings
+from panelcast.operators.boosting import fit as boosted
 from panelcast.operators.features import time_series_folds
 from panelcast.operators.rules import class_code, ordinal_combine
 from panelcast.operators.screening import _unpack, moments
+from panelcast.sources.stage import written
 
 # Default tuning grid.
 ALPHAS = tuple(float(a) for a in np.logspace(-3, 1, 10))
 L1_RATIOS = (0.1, 0.5, 0.7, 0.9, 0.95, 0.99, 1.0)
 FOLDS = 4
-# Default boosting settings.
-TREES, DEPTH, STEP, SUBSAMPLE, MIN_LEAF, SEED = 50, 2, 0.05, 0.75, 3, 42
 
 FIT_SCHEMA = T.StructType(
     [
@@ -250,50 +248,49 @@ def nonzero_coefficients(fits: DataFrame, features: list[str], eps: float = 1e-9
     )
 
 
-def fit_ordinal_pair(df: DataFrame, features: list[str], label: str, trees: int = TREES, depth: int = DEPTH, step: float = STEP, seed: int = SEED):
-    """Boosted-tree classifiers for "above cut" and "above hold", pooled over the panel."""
-    assembler = VectorAssembler(inputCols=features, outputCol="_x", handleInvalid="skip")
+SIDES = ["gt_cut", "gt_hold"]
+
+
+def _with_sides(df: DataFrame, label: str) -> DataFrame:
     code = class_code(F.col(label))
-    data = assembler.transform(
-        df.withColumns({"_gt_cut": (code > 0).cast("double"), "_gt_hold": (code > 1).cast("double")}).dropna(
-            subset=["_gt_cut"]
-        )
-    ).select("_x", "_gt_cut", "_gt_hold")
-    sides = data.agg(*[F.min(c).alias(f"a{c}") for c in ("_gt_cut", "_gt_hold")], *[F.max(c).alias(f"b{c}") for c in ("_gt_cut", "_gt_hold")]).first()
-    for c in ("_gt_cut", "_gt_hold"):
-        if sides[f"a{c}"] == sides[f"b{c}"]:
-            raise ValueError(f"training rows have only one outcome for {c.strip('_')}")
-    make = lambda c: GBTClassifier(
-        featuresCol="_x", labelCol=c, maxIter=trees, maxDepth=depth, stepSize=step, minInstancesPerNode=MIN_LEAF,
-        subsamplingRate=SUBSAMPLE, seed=seed, predictionCol=f"p{c}",
-    ).setProbabilityCol(f"q{c}").setRawPredictionCol(f"r{c}")
-    return assembler, make("_gt_cut").fit(data), make("_gt_hold").fit(data)
-
-
-def walk_forward_ordinal_pair(df: DataFrame, features: list[str], label: str, folds: int = 4, **how) -> DataFrame:
+    return df.withColumns({"gt_cut": (code > 0).cast("int"), "gt_hold": (code > 1).cast("int")})
+
+
+def fit_ordinal_pair(df: DataFrame, features: list[str], label: str, **settings) -> Boosted:
+    """Boosted-tree classifiers for "above cut" and "above hold", pooled over the panel.
+
+    ``settings`` are those of :class:`~panelcast.operators.boosting.Settings`. Raises where all labels lie on one side.
+    """
+    return boosted(_with_sides(df, label), features, SIDES, settings=Settings(**settings))
+
+
+def fit_walk_forward_pair(df: DataFrame, features: list[str], label: str, folds: int = 4, **settings) -> tuple[Boosted, DataFrame]:
+    """The pairs of ``folds`` chronological blocks, each fitted on all earlier quarters, and ``df`` with its ``fold``.
+
+    All pairs grow together: one pass over the panel a tree level.
+    """
+    calendar = written(time_series_folds(df.select("q_idx").distinct(), [], folds).select("q_idx", "fold"))
+    some = [r.fold for r in calendar.where("fold > 0").select("fold").distinct().orderBy("fold").collect()]
+    if not some:
+        raise ValueError(f"fewer than {folds + 1} quarters")
+    rows = df.join(calendar, "q_idx").select(*df.columns, "fold")
+    return boosted(_with_sides(rows, label), features, SIDES, "fold", some, Settings(**settings)), rows
+
+
+def walk_forward_ordinal_pair(df: DataFrame, features: list[str], label: str, folds: int = 4, **settings) -> DataFrame:
     """Predictions of every row in the last ``folds`` blocks of the calendar under the pair fitted on all earlier quarters.
 
     The quarters of the first block are only trained on. Raises where a training set has only one outcome.
     """
-    calendar = time_series_folds(df.select("q_idx").distinct(), [], folds).where("fold > 0")
-    cuts = [r.low for r in calendar.groupBy("fold").agg(F.min("q_idx").alias("low")).orderBy("fold").collect()]
-    if not cuts:
-        raise ValueError(f"fewer than {folds + 1} quarters")
-    parts = []
-    for low, high in zip(cuts, [*cuts[1:], None]):
-        later = F.col("q_idx") >= low if high is None else (F.col("q_idx") >= low) & (F.col("q_idx") < high)
-        models = fit_ordinal_pair(df.where(F.col("q_idx") < low), features, label, **how)
-        parts.append(predict_ordinal_pair(models, df.where(later)))
-    out = parts[0]
-    for more in parts[1:]:
-        out = out.unionByName(more)
-    return out
-
-
-def predict_ordinal_pair(models, df: DataFrame) -> DataFrame:
-    assembler, gt_cut, gt_hold = models
-    scored = gt_hold.transform(gt_cut.transform(assembler.transform(df)))
-    probs = scored.withColumns(
-        {"_a": vector_to_array("q_gt_cut")[1], "_b": vector_to_array("q_gt_hold")[1]}
-    ).select(*df.columns, "_a", "_b")
+    models, rows = fit_walk_forward_pair(df, features, label, folds, **settings)
+    return _combined(models.predict(rows, "fold").drop("fold"))
+
+
+def predict_ordinal_pair(models: Boosted, df: DataFrame) -> DataFrame:
+    return _combined(models.predict(df))
+
+
+def _combined(scored: DataFrame) -> DataFrame:
+    own = scored.columns[: -len(SIDES)]
+    probs = scored.select(*own, F.col("p_gt_cut").alias("_a"), F.col("p_gt_hold").alias("_b"))
     return ordinal_combine(probs, "_a", "_b").drop("_a", "_b")

@@ -334,7 +334,7 @@ def test_ordinal_pair(spark):
     v = rng.uniform(-1, 1, size=300)
     data = [(i, float(x), "cut" if x < -0.3 else "hike" if x > 0.3 else "hold") for i, x in enumerate(v)]
     df = spark.createDataFrame(data, "q_idx int, x double, a string")
-    models = pooled.fit_ordinal_pair(df, ["x"], "a", trees=5, step=0.5)
+    models = pooled.fit_ordinal_pair(df, ["x"], "a", trees=8, step=0.5, subsample=1.0)
     out = pooled.predict_ordinal_pair(models, df)
     assert out.where("predicted_action = a").count() > 280
     with pytest.raises(ValueError):
@@ -349,7 +349,7 @@ def test_ordinal_pair_has_no_lookahead(spark):
     turned = [(k, i, x, a if i < 20 else name(-x)) for k, i, x, a in data]  # from the first scored block on
     score = lambda rows: {
         (r.k, r.q_idx): (r.p_cut, r.p_hold, r.p_hike)
-        for r in pooled.walk_forward_ordinal_pair(spark.createDataFrame(rows, "k string, q_idx int, x double, a string"), ["x"], "a", 2, trees=2, step=0.5).collect()
+        for r in pooled.walk_forward_ordinal_pair(spark.createDataFrame(rows, "k string, q_idx int, x double, a string"), ["x"], "a", 2, trees=3, step=0.5, min_weight=1.0).collect()
     }
     one, other = score(data), score(turned)
     assert set(one) == set(other) == {(k, i) for k in ("a", "b") for i in range(20, 60)}
