@@ -117,3 +117,28 @@ def ordinal_pair_sums(spark, d):
     proper = (F.abs(sum(three[1:], three[0]) - 1) < 1e-9) & (F.least(*three) >= 0)
     named = F.when(F.col("predicted_action") == "cut", three[0]).when(F.col("predicted_action") == "hike", three[2]).otherwise(three[1])
     return p.groupBy("entity").agg(F.count(F.lit(1)).alias("n"), F.count_if(proper).alias("proper"), F.count_if(named >= F.greatest(*three) - 1e-12).alias("likeliest"))
+
+
+STUMP = {"trees": 1, "depth": 1, "step": 0.5, "subsample": 1.0, "columns": 1.0, "min_weight": 1.0}
+WORTH = "pow(greatest(abs({g}) - 0.1, 0), 2) / ({h} + 2)"
+LEAF = "(-sign({g}) * greatest(abs({g}) - 0.1, 0) / ({h} + 2) * 0.5)"
+
+
+@query(
+    "boosted_stumps",
+    f"""WITH {pn.POLICY}, cal AS (SELECT q_idx, row_number() OVER (ORDER BY q_idx) - 1 AS k, count(*) OVER () AS n FROM (SELECT DISTINCT q_idx FROM policy)),
+        rws AS (SELECT entity, q_idx, [round(headline), rate_lag1] AS xs, CASE actual_action WHEN 'cut' THEN 0 WHEN 'hold' THEN 1 ELSE 2 END AS code,
+            CASE WHEN n // 5 = 0 OR k < n - 4 * (n // 5) THEN 0 ELSE (k - (n - 4 * (n // 5))) // (n // 5) + 1 END AS fold FROM policy JOIN cal USING (q_idx)),
+        bins AS (SELECT m AS fold, side, i, xs[i] AS x, sum(0.5 - (code > side)::INT) AS g, count(*) * 0.25 AS h FROM rws, range(1, 5) AS a(m), range(0, 2) AS b(side), range(1, 3) AS c(i) WHERE rws.fold < m GROUP BY 1, 2, 3, 4),
+        cuts AS (SELECT fold, side, i, x, sum(g) OVER w AS gl, sum(h) OVER w AS hl, sum(g) OVER v AS g, sum(h) OVER v AS h FROM bins WINDOW w AS (PARTITION BY fold, side, i ORDER BY x), v AS (PARTITION BY fold, side, i)),
+        best AS (SELECT *, round({WORTH.format(g="gl", h="hl")} + {WORTH.format(g="(g - gl)", h="(h - hl)")} - {WORTH.format(g="g", h="h")}, 9) AS gain, hl >= 1 AND h - hl >= 1 AS fits FROM cuts
+            QUALIFY row_number() OVER (PARTITION BY fold, side ORDER BY CASE WHEN fits THEN gain ELSE 0 END DESC, i, x) = 1),
+        scored AS (SELECT entity, q_idx, side, 1 / (1 + exp(-CASE WHEN NOT fits OR gain <= 0 THEN {LEAF.format(g="g", h="h")} WHEN xs[i] <= x THEN {LEAF.format(g="gl", h="hl")} ELSE {LEAF.format(g="(g - gl)", h="(h - hl)")} END)) AS p FROM rws JOIN best USING (fold)),
+        pair AS (SELECT entity, q_idx, max(p) FILTER (side = 0) AS a, least(max(p) FILTER (side = 1), max(p) FILTER (side = 0)) AS b FROM scored GROUP BY 1, 2)
+        SELECT entity, q_idx, {r('1 - a', 'p_cut')}, {r('a - b', 'p_hold')}, {r('b', 'p_hike')}, CASE WHEN 1 - a >= a - b AND 1 - a >= b THEN 'cut' WHEN a - b >= b THEN 'hold' ELSE 'hike' END AS predicted_action FROM pair""",
+)
+def boosted_stumps(spark, d):
+    """One boosting round of one split for both sides of four chronological folds, whose best cuts SQL can find."""
+    rows = pn.policy(spark, d).withColumn("headline", F.round("headline"))
+    out = po.walk_forward_ordinal_pair(rows, ["headline", "rate_lag1"], "actual_action", **STUMP)
+    return out.select("entity", "q_idx", "p_cut", "p_hold", "p_hike", "predicted_action")
