@@ -55,6 +55,19 @@ def unpack_ints(blob: bytes, width: int = 4):
     return np.ascontiguousarray(raw.reshape(width, -1).T).view(f"<u{width}").ravel().astype(np.int64)
 
 
+def pack_floats(x) -> bytes:
+    """Ratios in single precision, by byte planes: a token's log10 probability is off by 3e-8 at most."""
+    import numpy as np
+
+    return _packed(_planes(x.astype("<f4").view("<u4")))
+
+
+def unpack_floats(blob: bytes):
+    import numpy as np
+
+    return unpack_ints(blob).astype("<u4").view("<f4").astype(np.float64)
+
+
 def pack_keys(keys) -> bytes:
     """Ascending unsigned 64-bit integers: differences of the upper halves, then the lower halves."""
     import numpy as np
@@ -210,7 +223,7 @@ def _bucket(context):
 
 
 def _class(ratio):
-    """Class of a ratio; its lower end stands for it, so that no probability is more than the mixture gives."""
+    """Class of a ratio, for learning the weights only; its lower end stands for it."""
     import numpy as np
 
     with np.errstate(divide="ignore"):
@@ -227,20 +240,20 @@ def class_ratio():
 
 
 def evidence(held: DataFrame, answers: DataFrame, slices_: int, n_tokens: int, distinct: int) -> DataFrame:
-    """Per chunk: ids and base sums of its documents, every token's (bucket, ratio class), and the same counted
-    over training tokens with the token itself taken out of all counts (chunk's ``seen``)."""
+    """Per chunk: ids and base sums of its documents, every token's bucket and ratio, and (bucket, ratio
+    class) counted over training tokens with the token itself taken out of all counts (chunk's ``seen``)."""
     data = held.withColumns({"kind": F.lit(-1), "q": F.lit(-1), "counts": F.lit(None).cast("binary")})
     blank = {c: F.lit(None).cast(t) for c, t in (("ids", "array<long>"), ("held", "array<boolean>"), ("sizes", "array<int>"), ("vocab", "binary"), ("tokens", "binary"))}
     rows = data.unionByName(answers.where("chunk >= 0").withColumns(blank))
     width = max(partitions(held.sparkSession), held.count())
     rows = rows.repartition(width, "chunk").sortWithinPartitions("chunk", "kind", "q")
-    schema = "ids array<long>, held array<boolean>, sizes array<int>, known array<int>, base array<double>, codes binary, seen binary"
+    schema = "ids array<long>, held array<boolean>, sizes array<int>, known array<int>, base array<double>, buckets binary, ratios binary, seen binary"
 
     def run(batches: Iterator) -> Iterator:
         import numpy as np
         import pyarrow as pa
 
-        types = [pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.list_(pa.float64()), pa.binary(), pa.binary()]
+        types = [pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.list_(pa.float64()), pa.binary(), pa.binary(), pa.binary()]
         names = [c.strip().split(" ")[0] for c in schema.split(", ")]
         now, got = None, ([], [])
 
@@ -250,14 +263,13 @@ def evidence(held: DataFrame, answers: DataFrame, slices_: int, n_tokens: int, d
             space = n_tokens + 0.1 * (distinct + 1)
             base = (word + 0.1) / space
             ratio = both / np.maximum(context, 1) / base
-            codes = _bucket(context) * BINS + _class(ratio)
             t = own.training
             left = np.maximum(context[t] - 1, 0)
             out = (both[t] - 1) / np.maximum(left, 1) / ((word[t] - 1 + 0.1) / (space - 1))
             seen = np.bincount(_bucket(left) * BINS + _class(np.where(left > 0, out, 0.0)), minlength=BUCKETS * BINS)
             sums = np.add.reduceat(np.log10(base), own.starts)
             known = np.add.reduceat((word > 0).astype(np.int64), own.starts)
-            row = [[now["ids"]], [now["held"]], [now["sizes"]], [known.tolist()], [sums.tolist()], [pack_ints(codes)], [pack_ints(seen)]]
+            row = [[now["ids"]], [now["held"]], [now["sizes"]], [known.tolist()], [sums.tolist()], [pack_ints(_bucket(context), 1)], [pack_floats(ratio)], [pack_ints(seen)]]
             return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(row, types)], names)
 
         for b in batches:
@@ -306,7 +318,8 @@ def score(docs: DataFrame, held: str = "held") -> DataFrame:
     ``held`` is a boolean column: rows without it are the training texts. Tokens are words between ASCII white
     space, A-Z in lower case, and one end per text. The base is the unigram estimate with 0.1 added; the model
     mixes it with the bigram's maximum-likelihood estimate, weighted by how often the context occurs. Weights
-    come from the training tokens, each held out of the counts in turn.
+    come from the training tokens, each held out of the counts in turn, counted by ratio classes; a score is the
+    sum of each token's own log10 probability.
 
     A null text counts as empty: one end. A null mark counts as training. Repeated rows count and are scored
     each; other columns are not read. With no training rows every count is 0. No rows give no rows.
@@ -339,20 +352,20 @@ def score(docs: DataFrame, held: str = "held") -> DataFrame:
     for r in found.select("seen").mapInArrow(counted, "code long, n long").groupBy("code").agg(F.sum("n").alias("n")).collect():
         held_out[r.code] = r.n  # at most BUCKETS * BINS rows
     weight = learn_weights(held_out.reshape(BUCKETS, BINS))
-    gain = np.log10(1 - weight[:, None] + weight[:, None] * class_ratio()[None, :]).ravel()
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
         for b in batches:
             for r in range(b.num_rows):
-                ids, held_, sizes, known, base, codes = (b.column(i)[r].as_py() for i in range(6))
+                ids, held_, sizes, known, base, buckets, ratios = (b.column(i)[r].as_py() for i in range(7))
                 starts = np.concatenate([[0], np.cumsum(sizes)[:-1]]).astype(np.int64)
-                more = np.add.reduceat(gain[unpack_ints(codes)], starts)
+                w = weight[unpack_ints(buckets, 1)]
+                more = np.add.reduceat(np.log10(1 - w + w * unpack_floats(ratios)), starts)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(ids, pa.int64()), pa.array(held_, pa.bool_()), pa.array(sizes, pa.int64()), pa.array(known, pa.int64()), pa.array([n_tokens] * len(ids), pa.int64()), pa.array(base, pa.float64()), pa.array(np.array(base) + more)],
                     ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
                 )
 
     out = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return found.select("ids", "held", "sizes", "known", "base", "codes").mapInArrow(run, out)
+    return found.select("ids", "held", "sizes", "known", "base", "buckets", "ratios").mapInArrow(run, out)
