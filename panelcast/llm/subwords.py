@@ -6,7 +6,7 @@ import os
 
 from panelcast.llm.common import worker_cache
 
-#: Words a worker remembers, in two generations of half that number each: about 160 MB at most.
+#: Words a worker remembers, in two generations of half that number each: about 110 MB at most.
 REMEMBERED = 900_000
 MAX_WORD = 256  # longer words are not remembered
 
@@ -51,25 +51,36 @@ class WordEncoder:
             self.apart[end] = self._ids(end) == self._ids(end[0]) + self._ids(end[1])
         return self.apart[end]
 
-    def learn(self, words: set[str]) -> None:
-        """Have every word's ids in the young generation."""
-        import numpy as np
-
-        young, old, unseen = self.young, self.old, []
-        for w in words.difference(young):
-            if (known := old.get(w)) is not None:
-                young[w] = known
-            else:
-                unseen.append(w)
-        # a word with a mark after it is the word and the mark: most of those words are known already
-        bare = {w: w[:-1] for w in unseen if self.splits(w)}
-        ask = list({bare.get(w, w) for w in unseen}.difference(young) | MARKS.difference(young))
-        for i in range(0, len(ask), 20_000):
-            some = ask[i : i + 20_000]
+    def known(self, words: list[str]) -> list[bytes]:
+        """Every word's ids; new ones are encoded and remembered, but not a word and a mark together."""
+        from array import array
+
+        out = list(map(self.young.get, words))
+        miss = [i for i, x in enumerate(out) if x is None]
+        bare = {i: w[:-1] for i in miss if self.splits(w := words[i])}
+        need = dict.fromkeys(bare.get(i, words[i]) for i in miss)
+        need.update(dict.fromkeys(MARKS))
+        young, old = self.young, self.old
+        unseen = []
+        for w in need:
+            if w not in young:
+                if (seen := old.get(w)) is not None:
+                    young[w] = seen
+                else:
+                    unseen.append(w)
+        for i in range(0, len(unseen), 20_000):
+            some = unseen[i : i + 20_000]
             for w, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False)):
-                young[w] = np.array(e.ids, "<u4").tobytes()
-        for w, b in bare.items():
-            young[w] = young[b] + young[w[-1]]
+                young[w] = array("I", e.ids).tobytes()
+        for i in miss:
+            b = bare.get(i)
+            out[i] = young[words[i]] if b is None else young[b] + young[words[i][-1]]
+        for w in unseen:
+            if len(w) > MAX_WORD:
+                del young[w]
+        if len(young) > REMEMBERED // 2:
+            self.old, self.young = young, {"": b""}
+        return out
 
     def encode(self, column, end_id: int):
         """(ids, bounds): the unsigned 32-bit ids of an Arrow text column, ``end_id`` after each text's own."""
@@ -79,24 +90,24 @@ class WordEncoder:
 
         lists = pc.ascii_split_whitespace(column.cast(pa.large_string()))
         coded = lists.flatten().dictionary_encode()
-        words, at = coded.dictionary.to_pylist(), coded.indices.to_numpy()
+        words, at = coded.dictionary, coded.indices.to_numpy()
         if self.lower:  # fewer different words; special tokens keep their case
-            words = [w.lower() if w.isascii() and "<|" not in w else w for w in words]
-        self.learn(set(words))
-        own = list(map(self.young.__getitem__, words))
-        size = np.array([len(x) // 4 for x in own], np.int64)
+            plain = pc.and_(pc.string_is_ascii(words), pc.invert(pc.match_substring(words, "<|")))
+            words = pc.if_else(plain, pc.ascii_lower(words), words)
+        own = self.known(words.to_numpy(zero_copy_only=False).tolist())
+        size = np.fromiter(map(len, own), np.int64, len(own)) // 4
         table, first = np.frombuffer(b"".join(own), "<u4"), np.cumsum(size) - size
-        n = size[at]
+        # each text's words, then its end, as one more entry of the table
+        texts = len(lists)
+        words_of = pc.list_value_length(lists).to_numpy()
+        last = np.cumsum(words_of) + np.arange(texts)
+        entry = np.full(len(at) + texts, len(own), np.int64)
+        entry[np.delete(np.arange(len(entry)), last)] = at
+        table, first, size = np.append(table, np.uint32(end_id)), np.append(first, len(table)), np.append(size, 1)
+        n = size[entry]
         ends = np.cumsum(n)
-        ids = table[np.repeat(first[at] - ends + n, n) + np.arange(int(n.sum()))]
-        cuts = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(pc.list_value_length(lists).to_numpy())])]
-        ids = np.insert(ids, cuts[1:], np.uint32(end_id))
-        for w in words:
-            if len(w) > MAX_WORD:
-                self.young.pop(w, None)
-        if len(self.young) > REMEMBERED // 2:
-            self.old, self.young = self.young, {"": b""}
-        return ids, cuts + np.arange(len(cuts))
+        ids = table[np.repeat(first[entry] - ends + n, n) + np.arange(int(ends[-1]) if texts else 0)]
+        return ids, np.concatenate([[0], ends[last]])
 
 
 def word_encoder(path: str) -> WordEncoder:
