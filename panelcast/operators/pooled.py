@@ -7,7 +7,7 @@ out-of-fold scoring then work on those few small matrices and never read the dat
 
 from __future__ import annotations
 
-from itertools import combinations_with_replacement, product
+from itertools import combinations_with_replacement
 from types import SimpleNamespace
 
 import numpy as np
@@ -69,30 +69,49 @@ def _merge(parts: list[tuple[int, np.ndarray, np.ndarray]]) -> tuple[int, np.nda
     return n, mean, cov
 
 
-def elastic_net(mean: np.ndarray, cov: np.ndarray, alpha: float, l1_ratio: float, sweeps: int = 10_000) -> tuple[float, np.ndarray, bool]:
-    """Coordinate descent on standardised moments (first entry is the response), raw-scale coefficients.
+SWEEPS = 10_000  # coordinate sweeps after which a fit counts as not converged
 
-    Minimises half the mean squared error plus alpha * (l1_ratio * |w| + (1 - l1_ratio) / 2 * w^2). The last value
-    tells whether the sweeps came to rest.
+
+def net_path(mean: np.ndarray, cov: np.ndarray, alphas: np.ndarray, l1_ratio: np.ndarray, sweeps: int = SWEEPS):
+    """Elastic nets of many problems at once along their penalties, by coordinate descent on standardised moments.
+
+    ``mean [m, 1 + p]`` and ``cov [m, 1 + p, 1 + p]`` hold each problem's moments, the response first; ``alphas`` are
+    taken from the largest on, each fit starting from the one before; ``l1_ratio [m]`` is each problem's own.
+    Minimises half the mean squared error plus alpha * (l1_ratio * |w| + (1 - l1_ratio) / 2 * w^2). Returns raw-scale
+    intercepts [alpha, m], coefficients [alpha, m, p] and whether each fit came to rest [alpha, m].
     """
-    sd = np.sqrt(np.diag(cov)[1:])
+    sd = np.sqrt(np.diagonal(cov, axis1=1, axis2=2)[:, 1:])
     scale = np.where(sd > 0, sd, 1.0)
-    g = cov[1:, 1:] / np.outer(scale, scale)
-    c = cov[1:, 0] / scale
-    w, rest = np.zeros(len(c)), False
-    for _ in range(sweeps):
-        move = 0.0
-        for j in range(len(c)):
-            rho = c[j] - g[j] @ w + g[j, j] * w[j]
-            bottom = g[j, j] + alpha * (1 - l1_ratio)
-            new = np.sign(rho) * max(abs(rho) - alpha * l1_ratio, 0.0) / bottom if bottom > 0 else 0.0
-            move = max(move, abs(new - w[j]))
-            w[j] = new
-        if move <= 1e-10 * max(1.0, float(np.max(np.abs(w)))):
-            rest = True
-            break
-    raw = w / scale
-    return float(mean[0] - raw @ mean[1:]), raw, rest
+    g, c = cov[:, 1:, 1:] / (scale[:, :, None] * scale[:, None, :]), cov[:, 1:, 0] / scale
+    m, p = c.shape
+    out, rest = np.zeros((len(alphas), m, p)), np.zeros((len(alphas), m), bool)
+    w = np.zeros((m, p))
+    for at in np.argsort(-np.asarray(alphas, float), kind="stable"):
+        lasso, ridge = alphas[at] * l1_ratio, alphas[at] * (1 - l1_ratio)
+        open_ = np.arange(m)
+        for _ in range(sweeps):
+            own, moved = w[open_], np.zeros(len(open_))
+            for j in range(p):
+                gj = g[open_, j]
+                rho = c[open_, j] - np.einsum("mp,mp->m", gj, own) + gj[:, j] * own[:, j]
+                bottom = gj[:, j] + ridge[open_]
+                new = np.where(bottom > 0, np.sign(rho) * np.maximum(np.abs(rho) - lasso[open_], 0.0) / np.where(bottom > 0, bottom, 1.0), 0.0)
+                moved = np.maximum(moved, np.abs(new - own[:, j]))
+                own[:, j] = new
+            w[open_] = own
+            still = moved <= 1e-10 * np.maximum(1.0, np.abs(own).max(axis=1, initial=0.0))
+            rest[at, open_[still]] = True
+            open_ = open_[~still]
+            if not len(open_):
+                break
+        out[at] = w / scale
+    return mean[None, :, 0] - np.einsum("amp,mp->am", out, mean[:, 1:]), out, rest
+
+
+def elastic_net(mean: np.ndarray, cov: np.ndarray, alpha: float, l1_ratio: float, sweeps: int = SWEEPS) -> tuple[float, np.ndarray, bool]:
+    """One net: intercept, coefficients, and whether the sweeps came to rest (see :func:`net_path`)."""
+    b0, w, rest = net_path(mean[None], cov[None], np.array([alpha]), np.array([l1_ratio]), sweeps)
+    return float(b0[0, 0]), w[0, 0], bool(rest[0, 0])
 
 
 def _mse(stats, intercept: float, w: np.ndarray) -> float:
@@ -102,51 +121,44 @@ def _mse(stats, intercept: float, w: np.ndarray) -> float:
 
 
 def tune_direct(
-    frame: DataFrame, features: list[str], alphas=ALPHAS, l1_ratios=L1_RATIOS, folds: int = FOLDS,
+    frame: DataFrame, features: list[str], alphas=ALPHAS, l1_ratios=L1_RATIOS, folds: int = FOLDS, sweeps: int = SWEEPS,
 ) -> DataFrame:
     """Best (alpha, l1_ratio) per horizon by chronological cross-validation and the fits it implies.
 
-    ``frame`` comes from ``with_time_folds``. Row fold 0 is the final fit on all rows, folds 1..k the
-    fits on strictly earlier blocks with the chosen parameters. Scaling uses each training window only.
+    ``frame`` comes from ``with_time_folds``. Row fold 0 is the final fit on all rows, folds 1..k the fits on
+    strictly earlier blocks with the chosen parameters. Scaling uses each training window only. A horizon's whole
+    grid is one path per l1_ratio over all folds together. Penalties at which a fold did not converge are not
+    chosen; a horizon that has no other, or whose chosen fits do not converge, raises.
     """
     cols = ["y", *features]
     stats = moments(frame, ["horizon", "fold"], cols)
     packed = stats.groupBy("horizon").agg(F.collect_list(F.struct("fold", "n", "means", "covs")).alias("blocks"))  # one entry per fold
-    grid = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(float(a)).alias("alpha"), F.lit(float(r)).alias("l1_ratio")) for i, (a, r) in enumerate(product(alphas, l1_ratios))])
-    spread = int(frame.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-
-    def windows(row) -> tuple[dict, dict]:
-        blocks = {int(b["fold"]): _unpack(SimpleNamespace(n=b["n"], means=b["means"], covs=b["covs"]), len(cols)) for b in row.blocks}
-        tests = [i for i in range(1, folds + 1) if i in blocks and any(j < i for j in blocks)]
-        train = {i: _merge([blocks[j] for j in sorted(blocks) if j < i]) for i in tests}
-        return blocks, train
-
-    def rate(batches):
-        for pdf in batches:
-            out = []
-            for r in pdf.itertuples(index=False):
-                blocks, train = windows(r)
-                scores = [_mse(blocks[i], *elastic_net(*train[i][1:], r.alpha, r.l1_ratio)[:2]) for i in train]
-                out.append((r.horizon, r.i, r.alpha, r.l1_ratio, float(np.mean(scores)) if scores else np.inf))
-            yield pd.DataFrame(out, columns=["horizon", "i", "alpha", "l1_ratio", "cv_mse"])
-
-    # one row per horizon and penalty: the search spreads over the tasks
-    cells = packed.withColumn("_g", F.explode(grid)).select("horizon", "blocks", "_g.*").repartition(spread, "horizon", "i")
-    rated = cells.mapInPandas(rate, "horizon int, i int, alpha double, l1_ratio double, cv_mse double")
-    best = rated.groupBy("horizon").agg(F.min_by(F.struct("alpha", "l1_ratio", "cv_mse"), F.struct("cv_mse", "i")).alias("_b"))
+    alpha_, ratio_ = np.array(alphas, float), np.array(l1_ratios, float)
 
     def solve(batches):
         for pdf in batches:
             out = []
             for r in pdf.itertuples(index=False):
-                blocks, train = windows(r)
-                train[0] = _merge(list(blocks.values()))
-                for i, (n, mean, cov) in sorted(train.items()):
-                    b0, w, rest = elastic_net(mean, cov, r.alpha, r.l1_ratio)
-                    out.append((int(r.horizon), i, r.alpha, r.l1_ratio, r.cv_mse, n, b0, [float(v) for v in w], rest))
+                blocks = {int(b["fold"]): _unpack(SimpleNamespace(n=b["n"], means=b["means"], covs=b["covs"]), len(cols)) for b in r.blocks}
+                tests = [i for i in range(1, folds + 1) if i in blocks and any(j < i for j in blocks)]
+                windows = [_merge([blocks[j] for j in sorted(blocks) if j < i]) for i in tests] + [_merge(list(blocks.values()))]
+                k, t = len(ratio_), len(windows)
+                mean, cov = (np.repeat(np.stack([x[c] for x in windows]), k, axis=0) for c in (1, 2))
+                b0, w, rest = (x.reshape(len(alpha_), t, k, *x.shape[2:]) for x in net_path(mean, cov, alpha_, np.tile(ratio_, t), sweeps))
+                mse = np.full((len(alpha_), k), np.inf)
+                for a, l in np.ndindex(*mse.shape):
+                    if rest[a, :, l].all() and tests:
+                        mse[a, l] = np.mean([_mse(blocks[i], b0[a, n, l], w[a, n, l]) for n, i in enumerate(tests)])
+                if tests and not np.isfinite(mse).any():
+                    raise ValueError(f"no penalty of horizon {r.horizon} converges in {sweeps} sweeps")
+                a, l = np.unravel_index(int(np.argmin(mse)), mse.shape)  # the first of equal ones; without tests the first
+                if not rest[a, :, l].all():
+                    raise ValueError(f"the fits of horizon {r.horizon} do not converge in {sweeps} sweeps")
+                for n, i in [(t - 1, 0), *enumerate(tests)]:
+                    out.append((int(r.horizon), i, alpha_[a], ratio_[l], mse[a, l], windows[n][0], b0[a, n, l], w[a, n, l].tolist(), True))
             yield pd.DataFrame(out, columns=FIT_SCHEMA.fieldNames())
 
-    return packed.join(best, "horizon").select("horizon", "blocks", "_b.*").mapInPandas(solve, FIT_SCHEMA)
+    return packed.mapInPandas(solve, FIT_SCHEMA)
 
 
 def fit_direct(frame: DataFrame, features: list[str], alpha: float, l1_ratio: float) -> DataFrame:
@@ -174,7 +186,8 @@ def walk_forward_nets(
     ``frame`` comes from ``direct_frame``. A row of quarter q with horizon h teaches from origin q + h on. Sums and
     products per horizon and quarter, running along the quarters, hold every origin's fit, so the panel is read
     once; they are taken around each horizon's mean to keep their digits. The result has the columns of the other
-    forecasters: (keys, model, origin_q, horizon, target_q, actual, forecast, error, train_rows).
+    forecasters: (keys, model, origin_q, horizon, target_q, actual, forecast, error, train_rows), whether the fit
+    converged, and ``train_mean``, the mean response of the rows it learned from: the benchmark at the same origin.
     """
     cols = ["y", *features]
     pairs = list(combinations_with_replacement(range(len(cols)), 2))
@@ -200,16 +213,17 @@ def walk_forward_nets(
                 cov = np.zeros((len(cols), len(cols)))
                 for k, (i, j) in enumerate(pairs):
                     cov[i, j] = cov[j, i] = r[f"_p{k}"] / r["n"] - mean[i] * mean[j]
-                b0, w, _ = elastic_net(mean + np.asarray(r["_m"], float), cov, alpha, l1_ratio)
-                out.append((int(r["horizon"]), int(r["origin_q"]), int(r["n"]), b0, [float(v) for v in w]))
-            yield pd.DataFrame(out, columns=["horizon", "origin_q", "train_rows", "intercept", "coefficients"])
+                whole = mean + np.asarray(r["_m"], float)
+                b0, w, rest = elastic_net(whole, cov, alpha, l1_ratio)
+                out.append((int(r["horizon"]), int(r["origin_q"]), int(r["n"]), b0, [float(v) for v in w], rest, float(whole[0])))
+            yield pd.DataFrame(out, columns=["horizon", "origin_q", "train_rows", "intercept", "coefficients", "converged", "train_mean"])
 
-    fits = running.mapInPandas(fit, "horizon int, origin_q int, train_rows long, intercept double, coefficients array<double>")
+    fits = running.mapInPandas(fit, "horizon int, origin_q int, train_rows long, intercept double, coefficients array<double>, converged boolean, train_mean double")
     asked = rows.withColumn("origin_q", F.col("q_idx")).join(fits, ["horizon", "origin_q"])
     forecast = _linear(features)
     return asked.select(
         *keys, F.lit(model).alias("model"), "origin_q", "horizon", (F.col("origin_q") + F.col("horizon")).cast("int").alias("target_q"),
-        F.col("y").alias("actual"), forecast.alias("forecast"), (F.col("y") - forecast).alias("error"), "train_rows",
+        F.col("y").alias("actual"), forecast.alias("forecast"), (F.col("y") - forecast).alias("error"), "train_rows", "converged", "train_mean",
     )
 
 

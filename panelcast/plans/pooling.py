@@ -84,10 +84,10 @@ def walk(spark, d):
     return po.walk_forward_nets(frame, K, ONE, A, L, 1995 * 4)
 
 
-@query("walk_forward_nets", f"WITH {WALK} SELECT entity, model, origin_q, horizon, target_q, {rs('actual forecast error')}, train_rows FROM walk")
+@query("walk_forward_nets", f"WITH {WALK} SELECT entity, model, origin_q, horizon, target_q, {rs('actual forecast error')}, train_rows, true AS converged FROM walk")
 def walk_forward_nets(spark, d):
     """An elastic net refitted at every origin from running sums, scored on the quarter it targets."""
-    return walk(spark, d)
+    return walk(spark, d).drop("train_mean")
 
 
 @query(
@@ -97,12 +97,9 @@ def walk_forward_nets(spark, d):
 )
 def net_against_mean(spark, d):
     """The refitted net compared with the pooled mean known at the same origins, on a shared grid."""
-    frame = po.direct_frame(pn.line_panel(spark, d), K, "price", ONE, [1, 2, 3])
-    net = po.walk_forward_nets(frame, K, ONE, A, L, 1995 * 4)
-    flat = po.walk_forward_nets(frame, K, ONE, 1e12, 1.0, 1995 * 4, model="pooled_mean")  # so strong a penalty leaves the mean
-    both = net.select(*K, "origin_q", "horizon", F.col("error").alias("a")).join(flat.select(*K, "origin_q", "horizon", F.col("error").alias("b")), [*K, "origin_q", "horizon"])
-    rmse = lambda c: F.sqrt(F.avg(F.col(c) * F.col(c)))
-    return both.groupBy("horizon").agg(F.count(F.lit(1)).alias("n"), rmse("a").alias("rmse_net"), rmse("b").alias("rmse_mean"))
+    rmse = lambda e: F.sqrt(F.avg(e * e))
+    net, mean = rmse(F.col("error")), rmse(F.col("actual") - F.col("train_mean"))
+    return walk(spark, d).groupBy("horizon").agg(F.count(F.lit(1)).alias("n"), net.alias("rmse_net"), mean.alias("rmse_mean"))
 
 
 @query(
