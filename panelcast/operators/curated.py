@@ -75,8 +75,7 @@ def quality_table(
 
 
 def build(raw, keys, date, value, recipe: Recipe, target: str, min_rows: int, directory: str, events=None, contract: T.StructType | None = None) -> DataFrame:
-    """The whole run: the quality table is written first; with a FAIL row nothing else is (QualityGateError)."""
-    curated = curate(raw, keys, date, value, recipe, events)
-    report = quality_table(raw, curated, keys, date, value, target, ["q_idx", target], min_rows, contract=contract)
-    publish_if_clean(curated, report, directory)
+    """The whole run: what is written once is checked, and published with its report (QualityGateError on a FAIL row)."""
+    check = lambda staged: quality_table(raw, staged, keys, date, value, target, ["q_idx", target], min_rows, contract=contract)
+    publish_if_clean(curate(raw, keys, date, value, recipe, events), check, directory)
     return read_published(raw.sparkSession, directory)

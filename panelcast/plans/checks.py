@@ -275,10 +275,8 @@ def curated_files(spark, d):
     """The curated panel written as Parquet and CSV, split by entity; both copies read back."""
     folder = stage.fresh_folder(spark)
     sinks.write_curated(pn.line_panel(spark, d).select("entity", "q_idx", "price", "quantity"), folder, ["entity"])
-    schema = "q_idx int, price double, quantity double, entity string"
-    return spark.read.schema(schema).parquet(f"{folder}/parquet").unionByName(
-        spark.read.schema(schema).option("header", True).csv(f"{folder}/csv")
-    )
+    both = [sinks.read_published(spark, folder, part).select("entity", "q_idx", "price", "quantity") for part in (sinks.DATA, sinks.CSV)]
+    return both[0].unionByName(both[1].select("entity", *[F.col(c).cast(t) for c, t in both[0].dtypes[1:]]))
 
 
 @query(
@@ -292,6 +290,21 @@ def series_files(spark, d):
     return series.read_series(spark, folder, "q_idx int, value double, series_id string")
 
 
+@query(
+    "saved_file_manifest",
+    f"""WITH {pn.PANEL}, f AS (SELECT entity, count(*) AS n FROM panel GROUP BY 1)
+        SELECT entity AS series_id, n AS rows, CAST(2 AS BIGINT) AS columns, 'q_idx, value' AS column_names, true AS has_bytes FROM f""",
+)
+def saved_file_manifest(spark, d):
+    """Series written to files, and what the folder then holds, per series."""
+    folder = stage.fresh_folder(spark)
+    sinks.write_series(pn.order_panel(spark, d).select(F.col("entity").alias("series_id"), "q_idx", "value"), folder)
+    files = sinks.saved_files(spark, folder, "csv").withColumn("series_id", F.url_decode(F.regexp_extract("path", "series_id=([^/]+)/", 1)))
+    return files.groupBy("series_id").agg(
+        F.sum("rows").alias("rows"), F.max("columns").alias("columns"), F.max("column_names").alias("column_names"), (F.min("bytes") > 0).alias("has_bytes")
+    )
+
+
 @query(
     "published_tables",
     f"""WITH {pn.SPARSE} SELECT 'table:curated_panel' AS dataset, 'PASS' AS status, count(*) AS rows, CAST(6 AS BIGINT) AS columns, 2 * count(*) - count(gappy) - count(late) AS missing_values, 'ok' AS notes FROM sparse

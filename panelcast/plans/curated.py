@@ -46,9 +46,9 @@ def curated_build(spark, d):
     daily = raw.groupBy("entity", "series_id", "o_orderdate").agg(F.sum("price").alias("_s"), F.count(F.lit(1)).alias("_n"))
     out = cu.curate(raw, K, "o_orderdate", "price", RECIPE, busy_quarters(spark, d))
     # one row per day in the source report: an order date occurs in many orders
-    report = cu.quality_table(daily.withColumn("price", F.col("_s") / F.col("_n")), out, K, "o_orderdate", "price", "F", ["q_idx", "F"], 1)
+    check = lambda staged: cu.quality_table(daily.withColumn("price", F.col("_s") / F.col("_n")), staged, K, "o_orderdate", "price", "F", ["q_idx", "F"], 1)
     folder = stage.fresh_folder(spark)
-    sinks.publish_if_clean(out, report, folder)
+    sinks.publish_if_clean(out, check, folder)
     return sinks.read_published(spark, folder).withColumn("F_growth_sq", F.round("F_growth_sq", 4))
 
 

@@ -16,13 +16,13 @@ def _numbers(spark: SparkSession, directory: str) -> list[int]:
     return sorted(int(n.split("-")[1]) for n in _entries(spark, directory) if n.startswith("pointer-"))
 
 
-def read_pointer(spark: SparkSession, directory: str) -> dict[int, str]:
-    """Folder per part that the highest finished pointer names; empty before the first write.
+def read_pointer(spark: SparkSession, directory: str, number: int | None = None) -> dict[int, str]:
+    """Folder per part that the highest finished pointer names, or the one with a number; empty before the first write.
 
     Data without any finished pointer is an error: a first write that died before its pointer, or a folder that
     lost its pointers, must not pass for an empty table.
     """
-    for n in reversed(_numbers(spark, directory)):
+    for n in reversed(_numbers(spark, directory)) if number is None else [number]:
         pointer = f"{directory}/pointer-{n}"
         if "_SUCCESS" in _entries(spark, pointer):
             return {r.part: r.path for r in spark.read.schema("part int, path string").parquet(pointer).collect()}

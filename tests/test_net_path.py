@@ -46,8 +46,8 @@ def test_path_equals_separate_fits():
 def panel(spark):
     rng = np.random.default_rng(5)
     x = rng.normal(size=(80, 2))
-    x[:, 1] = x[:, 0] + 0.01 * x[:, 1]  # nearly the same: slow without a strong penalty
-    rows = [("a", q("2000Q1") + i, float(x[i, 0]), float(x[i, 1]), float(x[i, 0] - 0.5 * x[i, 1] + 0.1 * rng.normal())) for i in range(80)]
+    x[:, 1] = x[:, 0] + 0.1 * x[:, 1]  # nearly the same: slow without a strong penalty
+    rows = [("a", q("2000Q1") + i, float(x[i, 0]), float(x[i, 1]), float(x[i - 1, 0] - 0.5 * x[i - 1, 1] + 0.1 * rng.normal())) for i in range(80)]
     df = spark.createDataFrame(rows, "k string, q_idx int, x double, z double, y double")
     return pooled.with_time_folds(pooled.direct_frame(df, ["k"], "y", ["x", "z"], [1, 2]))
 
@@ -74,7 +74,7 @@ def test_the_choice_is_that_of_a_search_by_hand(spark):
 
 
 def test_unconverged_penalties_are_not_chosen(spark):
-    frame = panel(spark).persist()
+    frame = panel(spark).where("horizon = 1").persist()
     free = pooled.tune_direct(frame, ["x", "z"], (1e-6, 10.0), (0.5,)).where("fold = 0").collect()
     assert {r.alpha for r in free} == {1e-6}
     few = pooled.tune_direct(frame, ["x", "z"], (1e-6, 10.0), (0.5,), sweeps=5).where("fold = 0").collect()

@@ -117,26 +117,91 @@ def test_key_and_period_assertions(spark):
 def test_gated_publish(spark, tmp_path):
     data = spark.createDataFrame([(1,)], "x int")
     bad = spark.createDataFrame([("d", "FAIL")], "dataset string, status string")
-    with pytest.raises(sinks.QualityGateError):
+    with pytest.raises(sinks.QualityGateError, match="/quality contains FAIL"):
         sinks.publish_if_clean(data, bad, str(tmp_path / "bad"))
-    assert (tmp_path / "bad" / "quality").exists()
     assert not (tmp_path / "bad" / "pointer-1").exists()
+    with pytest.raises(FileNotFoundError):
+        sinks.read_published(spark, str(tmp_path / "bad"))
     warn = spark.createDataFrame([("d", "WARNING")], bad.schema)
     sinks.publish_if_clean(data, warn, str(tmp_path / "good"))
     assert sinks.read_published(spark, str(tmp_path / "good")).count() == 1
 
 
+def test_a_death_between_writes_leaves_the_last_set(spark, tmp_path, monkeypatch):
+    where = str(tmp_path / "t")
+    report = lambda status: lambda df: df.agg(F.lit(status).alias("status"), F.count(F.lit(1)).alias("rows"))
+    sinks.publish_set(spark.range(3), where, report("PASS"), csv=True)
+    seen = lambda: [sinks.read_published(spark, where, part).collect() for part in (sinks.DATA, sinks.QUALITY, sinks.CSV)]
+    first = seen()
+    assert [len(x) for x in first] == [3, 1, 3] and first[1][0].rows == 3
+
+    def dies(*_):
+        raise OSError("gone")
+
+    broken = spark.range(9).select(F.assert_true(F.col("id") < 5), "id")
+    for df, quality_, move in [(broken, report("PASS"), None), (spark.range(9), dies, None), (spark.range(9), report("FAIL"), None), (spark.range(9), report("PASS"), dies)]:
+        with monkeypatch.context() as m:
+            if move:
+                m.setattr(sinks, "move_pointer", move)
+            with pytest.raises(Exception):
+                sinks.publish_set(df, where, quality_, csv=True)
+        assert seen() == first
+    sinks.publish_set(spark.range(5), where, report("PASS"), csv=True)
+    assert [len(x) for x in seen()] == [5, 1, 5] and seen()[1][0].rows == 5
+    assert sinks.read_published(spark, where, number=1).count() == 3
+
+
+def test_the_report_is_of_what_was_written(spark, tmp_path):
+    """A table that differs each time it is computed is checked and published as one."""
+    df = spark.range(50).select((F.rand() * 1e6).alias("x"))
+    sinks.publish_set(df, str(tmp_path), lambda t: t.agg(F.lit("PASS").alias("status"), F.sum("x").alias("total")), csv=True)
+    total = sinks.read_published(spark, str(tmp_path), sinks.QUALITY).first().total
+    assert sinks.read_published(spark, str(tmp_path)).agg(F.sum("x")).first()[0] == pytest.approx(total)
+    assert sinks.read_published(spark, str(tmp_path), sinks.CSV).agg(F.sum(F.col("x").cast("double"))).first()[0] == pytest.approx(total)
+
+
 def test_writers_and_manifest(spark, tmp_path):
-    df = spark.createDataFrame([("a", "2020Q1", " x "), ("b", "2020Q1", "y")], "series_id string, quarter string, note string")
+    df = spark.createDataFrame([("a", "2020Q1", " x "), ("b", "2020Q1", "y"), (None, "2020Q2", "z")], "series_id string, quarter string, note string")
     sinks.write_series(df, str(tmp_path / "s"))
     back = spark.read.option("header", True).csv(str(tmp_path / "s"))
-    assert rows(back, "series_id", "note") == [("a", "x"), ("b", "y")]
+    assert rows(back.where("series_id IS NOT NULL"), "series_id", "note") == [("a", "x"), ("b", "y")] and back.count() == 3
+    with pytest.raises(Exception, match="already exists"):
+        sinks.write_series(df, str(tmp_path / "s"))
     sinks.write_curated(df, str(tmp_path / "c"), ["series_id"])
-    assert spark.read.parquet(str(tmp_path / "c" / "parquet")).count() == 2
-    m = sinks.load_manifest(df.withColumnRenamed("series_id", "path"))
+    assert sinks.read_published(spark, str(tmp_path / "c")).count() == 3
+    m = sinks.load_manifest(df.where("series_id IS NOT NULL").withColumnRenamed("series_id", "path"))
     assert rows(m, "path", "rows", "columns", "column_names") == [("a", 1, 2, "quarter, note"), ("b", 1, 2, "quarter, note")]
 
 
+def test_a_hot_series_has_many_files(spark, tmp_path):
+    """One series with half of all rows is written by many tasks; small ones keep one file each."""
+    df = spark.range(4000).select(F.when(F.col("id") < 2000, "hot").otherwise(F.concat(F.lit("s"), (F.col("id") % 20).cast("string"))).alias("series_id"), "id")
+    # so little data would be put together again
+    settings = {"spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.shuffle.partitions": "32"}
+    before = {k: spark.conf.get(k) for k in settings}
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        sinks.write_series(df, str(tmp_path / "s"), file_rows=250)
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    files = {p.name.split("=")[1]: len(list(p.glob("*.csv"))) for p in (tmp_path / "s").iterdir() if "=" in p.name}
+    assert 3 < files.pop("hot") <= 8 and set(files.values()) == {1} and len(files) == 20
+    got = sinks.saved_files(spark, str(tmp_path / "s"), "csv").collect()
+    assert sum(r.rows for r in got) == 4000 and all(r.columns == 1 and r.column_names == "id" for r in got)
+    assert {r.path.split("///")[1]: r.bytes for r in got} == {str(p)[1:]: p.stat().st_size for p in (tmp_path / "s").rglob("*.csv")}
+
+
+def test_files_without_rows_are_listed(spark, tmp_path):
+    df = spark.range(10).repartition(2).where("id < 0 OR id = 3").select("id", F.lit("x").alias("y"))
+    df.write.parquet(str(tmp_path / "p"))
+    spark.range(3).select("id", F.lit("x").alias("y"), F.lit("a:b+c d").alias("k")).coalesce(1).write.partitionBy("k").parquet(str(tmp_path / "q"))
+    assert [r.rows for r in sinks.saved_files(spark, str(tmp_path / "q")).collect()] == [3]
+    got = sinks.saved_files(spark, str(tmp_path / "p")).collect()
+    assert len(got) == len(list((tmp_path / "p").glob("*.parquet"))) and sum(r.rows for r in got) == 1 and all(r.column_names == "id, y" and r.bytes > 0 for r in got)
+
+
 def test_publish_tables(spark):
     df = spark.createDataFrame([("2020Q1", None)], "quarter string, y double")
     out = sinks.publish_tables({"curated_view": df, "empty_view": df.where("false")})
