@@ -130,65 +130,85 @@ def write_examples(turns: DataFrame, path: str) -> None:
     prefix_examples(turns).write.option("compression", "zstd").mode("errorifexists").parquet(path)
 
 
-def _sorted(examples: DataFrame) -> DataFrame:
-    return examples.repartition(partitions(examples.sparkSession), "conv_id").sortWithinPartitions("conv_id", "example")
+def _whole(batches: Iterator) -> Iterator[tuple[int | None, int, str, int, int]]:
+    """(conv_id, example, text, loss_start, loss_end) with the whole text, from rows sorted by conversation and example."""
+    conv, text = None, ""
+    for b in batches:
+        for c, n, segment, start, end in zip(*[b.column(i).to_pylist() for i in range(5)]):
+            text = segment if n == 0 or c != conv else text + segment
+            conv = c
+            yield c, n, text, start, end
+
+
+def _parts(examples: DataFrame) -> DataFrame:
+    """The columns that :func:`_whole` reads, in its order."""
+    ordered = examples.repartition(partitions(examples.sparkSession), "conv_id").sortWithinPartitions("conv_id", "example")
+    return ordered.select("conv_id", "example", "segment", "loss_start", "loss_end")
 
 
 def whole_examples(examples: DataFrame) -> DataFrame:
-    """conv_id, example, text, loss_start, loss_end with the full text of every example that trains a reply."""
+    """conv_id, example, text, loss_start, loss_end with the full text of every example that trains a reply.
+
+    An empty reply trains nothing but is an example; only the row of turns after the last reply is none. An
+    example is one value, so the text of one conversation must fit a task.
+    """
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        conv, text = object(), ""
-        for b in batches:
-            for c, n, segment, start, end in zip(*[b.column(i).to_pylist() for i in range(5)]):
-                text = segment if n == 0 or c != conv else text + segment
-                conv = c
-                if end > start or text.endswith("|>\n" + TAIL) and start < len(text):
-                    yield pa.RecordBatch.from_pylist([{"conv_id": c, "example": n, "text": text, "loss_start": start, "loss_end": end}], pa.schema([("conv_id", pa.int64()), ("example", pa.int64()), ("text", pa.string()), ("loss_start", pa.int64()), ("loss_end", pa.int64())]))
+        types = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64()]
+        names = ["conv_id", "example", "text", "loss_start", "loss_end"]
+        out, held = [], 0
+        for row in _whole(batches):
+            if row[3] == len(row[2]):
+                continue  # a reply is followed by its end mark, the rest after the last reply by nothing
+            out.append(row)
+            held += len(row[2])
+            if held > 1 << 22:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], names)
+                out, held = [], 0
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], names)
 
-    columns = _sorted(examples).select("conv_id", "example", "segment", "loss_start", "loss_end")
-    return columns.mapInArrow(run, "conv_id long, example long, text string, loss_start long, loss_end long")
+    return _parts(examples).mapInArrow(run, "conv_id long, example long, text string, loss_start long, loss_end long")
 
 
 def digests(examples: DataFrame) -> DataFrame:
-    """Per conversation, parsed back from the examples: turns, their digest, what is under the loss mask, and
-    the characters of all examples together."""
+    """Per conversation, taken from its whole example texts: turns and their digest, parsed from the longest one,
+    what is under the loss mask of each, and the characters of all together."""
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
         types = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64()]
         names = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"]
-        now, out = None, []
+        now, last, out = None, "", []
 
         def done() -> None:
-            out.append((now[0], now[1], now[2].hexdigest(), now[3], now[4].hexdigest(), now[5]))
-
-        for b in batches:
-            for c, n, segment, prefix, start, end in zip(*[b.column(i).to_pylist() for i in range(6)]):
-                if now is None or c != now[0] or n == 0:
-                    if now is not None:
-                        done()
-                    now = [c, 0, hashlib.sha256(), 0, hashlib.sha256(), 0]
-                for role, text in parse(segment):
-                    now[1] += 1
-                    now[2].update(f"{role}\n{text}\n".encode())
-                reply = unescape(segment[start - prefix : end - prefix])
-                now[3] += len(reply)
-                now[4].update(reply.encode())
-                now[5] += prefix + len(segment)
-            if len(out) > 5000:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], names)
-                out.clear()
+            turns, said = parse(last), hashlib.sha256()
+            for role, text in turns:
+                said.update(f"{role}\n{text}\n".encode())
+            out.append((now[0], len(turns), said.hexdigest(), now[1], now[2].hexdigest(), now[3]))
+
+        for c, n, text, start, end in _whole(batches):
+            if now is None or c != now[0] or n == 0:
+                if now is not None:
+                    done()
+                now = [c, 0, hashlib.sha256(), 0]
+                if len(out) > 5000:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], names)
+                    out.clear()
+            reply = unescape(text[start:end])
+            now[1] += len(reply)
+            now[2].update(reply.encode())
+            now[3] += len(text)
+            last = text
         if now is not None:
             done()
         if out:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], names)
 
-    columns = _sorted(examples).select("conv_id", "example", "segment", "prefix_chars", "loss_start", "loss_end")
-    return columns.mapInArrow(run, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
+    return _parts(examples).mapInArrow(run, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
 
 
 def formatted(turns: DataFrame, path: str | None = None) -> DataFrame:
