@@ -13,10 +13,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from panelcast.llm.common import maybe_in, written
+from panelcast.llm.common import maybe_in, salted_join, written
 
-#: A candidate: at least sixteen signs of the kinds that keys are made of.
-VALUE = r"[A-Za-z0-9_/+.\-]{16,}={0,2}"
+#: A candidate: sixteen or more signs of the kinds that keys are made of, or a run of twelve to fifteen with a digit.
+#: Equals signs belong to it as padding, not where a value follows them.
+_SIGN = r"[A-Za-z0-9_/+.\-]"
+VALUE = rf"(?:{_SIGN}{{16,}}|(?<!{_SIGN})(?={_SIGN}*[0-9]){_SIGN}{{12,15}})(?:={{1,2}}(?![A-Za-z0-9_/+.\-=]))?"
+BEFORE, AFTER = 48, 24  # code points of the text on either side that a candidate is judged by
 #: Words before a candidate that speak for a secret, and places that speak for or against one. Fixed values.
 KEY_WORDS = r"(?i)(token|secret|passw(or)?d|pwd|api[_-]?key|access[_-]?key|auth|credential|private)[^A-Za-z0-9]{0,12}$"
 CONFIG_PATH = r"(?i)(config|secret|cred|\.env|\.pem|\.ya?ml|\.ini|\.properties)"
@@ -38,15 +41,20 @@ def _row_key() -> Column:
 def candidates(docs: DataFrame, path: str | None = "source") -> DataFrame:
     """One row per candidate: _key, doc_id, start (code points before it), value, before, after, path.
 
-    Whole texts are cut at the candidates once; places are running sums of the lengths. Repeated rows give their
-    candidates once; null and empty texts have none; a missing ``path`` column counts as null.
+    Whole texts are cut at the candidates once; places are running sums of the lengths. ``before`` and ``after``
+    are the BEFORE and AFTER code points of the text beside the value, other candidates included: as each has at
+    least twelve, the last four and next two hold enough. Repeated rows give their candidates once; null and
+    empty texts have none; a missing ``path`` column counts as null.
     """
     where = F.col(path).cast("string") if path and path in docs.columns else F.lit(None).cast("string")
     rows = docs.select("doc_id", "text", where.alias("path")).where(F.col("text").rlike(VALUE))
     rows = rows.select(_row_key().alias("_key"), "doc_id", "path", F.split("text", VALUE, -1).alias("_gaps"), F.regexp_extract_all("text", F.lit(VALUE), F.lit(0)).alias("_values"))
+    gap, value = (lambda i: F.get("_gaps", i)), (lambda i: F.get("_values", i))
+    ending = lambda i: F.concat_ws("", *[F.right(part(i - k), F.lit(BEFORE)) for k in range(4, 0, -1) for part in (gap, value)], F.right(gap(i), F.lit(BEFORE)))
+    opening = lambda i: F.concat_ws("", *[F.left(part(i + k), F.lit(AFTER)) for k in (1, 2) for part in (gap, value)])
     found = F.transform("_values", lambda v, i: F.struct(
-        i.alias("i"), v.alias("value"), F.length(F.get("_gaps", i)).alias("gap"),
-        F.right(F.get("_gaps", i), F.lit(48)).alias("before"), F.left(F.get("_gaps", i + 1), F.lit(24)).alias("after"),
+        i.alias("i"), v.alias("value"), F.length(gap(i)).alias("gap"),
+        F.right(ending(i), F.lit(BEFORE)).alias("before"), F.left(opening(i), F.lit(AFTER)).alias("after"),
     ))
     each = rows.select("_key", "doc_id", "path", F.explode(found).alias("c")).groupBy("_key", F.col("c.i").alias("i")).agg(
         F.min("doc_id").alias("doc_id"), F.min("path").alias("path"), F.first("c").alias("c"))
@@ -60,12 +68,17 @@ def _letters(value: Column) -> Column:
 
 
 def dictionary(docs: DataFrame, found: DataFrame) -> DataFrame:
-    """Words of letters, of those inside the candidates, that at least COMMON_WORD documents hold."""
-    wanted = found.select(F.explode(F.array_distinct(_letters(F.col("value")))).alias("word")).distinct().select(F.xxhash64("word").alias("_h"))
+    """Words of letters, of those inside the candidates, that at least COMMON_WORD documents hold.
+
+    A bit filter spares the shuffle most other words; the join then leaves exactly the wanted ones, so that
+    unrelated text changes no feature.
+    """
+    wanted = written(found.select(F.explode(F.array_distinct(_letters(F.col("value")))).alias("word")).distinct().withColumn("_h", F.xxhash64("word")))
     words = docs.select(F.explode(F.array_distinct(F.split(F.lower(F.regexp_replace("text", VALUE, " ")), r"[^\p{L}]+"))).alias("word"))
     own = docs.select(F.explode(F.array_distinct(F.flatten(F.transform(F.regexp_extract_all("text", F.lit(VALUE), F.lit(0)), lambda v: F.filter(F.split(F.lower(v), r"[^\p{L}]+"), lambda w: w.rlike("^[a-z]{4,}$")))))).alias("word"))
     both = maybe_in(words.unionByName(own).withColumn("_h", F.xxhash64("word")), "_h", wanted, "_h")
-    return both.groupBy("word").count().where(F.col("count") >= COMMON_WORD).select("word")
+    common = both.groupBy("word").count().where(F.col("count") >= COMMON_WORD).select("word")
+    return common.join(wanted.select("word"), "word", "left_semi")
 
 
 def features(docs: DataFrame, found: DataFrame) -> DataFrame:
@@ -80,7 +93,8 @@ def features(docs: DataFrame, found: DataFrame) -> DataFrame:
     counted = words.where(F.length("word") >= 2).select(F.explode(pair).alias("p")).where(F.col("p").rlike("^[a-z]{2}$")).groupBy("p").count()
     usual = [r.p for r in counted.orderBy(F.desc("count"), "p").limit(COMMON_PAIRS).collect()]
     value = F.col("value")
-    runs = found.select("_key", "start", F.explode(_letters(value)).alias("word")).join(words, "word").groupBy("_key", "start").agg(F.sum(F.length("word")).alias("_known"))
+    held = found.select("_key", "start", F.explode(_letters(value)).alias("word"))
+    runs = salted_join(held, words, ["word"], F.struct("_key", "start"), "inner").groupBy("_key", "start").agg(F.sum(F.length("word")).alias("_known"))
     n = F.length(value)
     count = lambda signs: n - F.length(F.regexp_replace(value, signs, ""))
     kinds = value
@@ -135,11 +149,11 @@ def format_labels(found: DataFrame) -> DataFrame:
     """``found`` plus ``label`` where a published format or plain sight decides, else null.
 
     The tables hold no labelled findings, so these stand in for them. Secrets: an issuer's key format, or twelve
-    or more hexadecimal digits (letters and digits) given to a key word. None: words of letters only, digits
+    or more hexadecimal digits of one case (letters and digits) given to a key word. None: words of letters only, digits
     only, hosts and addresses.
     """
     v, before = F.col("value"), F.col("before")
-    secret = v.rlike("^(AKIA[A-Z2-7]{16}|gh[pousr]_[A-Za-z0-9]{36}|sk-[A-Za-z0-9]{32,})$") | (before.rlike(KEY_WORDS) & v.rlike("^(?=.*[0-9])(?=.*[a-f])[0-9a-f]{12,}$"))
+    secret = v.rlike("^(AKIA[A-Z2-7]{16}|gh[pousr]_[A-Za-z0-9]{36}|sk-[A-Za-z0-9]{32,})$") | (before.rlike(KEY_WORDS) & v.rlike("^(?=.*[0-9])(?=.*[A-Fa-f])([0-9a-f]{12,}|[0-9A-F]{12,})$"))
     plain = v.rlike(r"^[A-Za-z.\-_/]+$") | v.rlike(r"^[0-9.\-/+]+$") | v.rlike(r"^[a-z0-9.\-]+\.[a-z]{2,}$")
     return found.withColumn("label", F.when(secret, 1).when(plain, 0))
 
@@ -148,6 +162,8 @@ def scan(docs: DataFrame, path: str | None = "source", label=format_labels, bar:
     """Every candidate of ``docs`` with place, features, score and decision.
 
     ``label`` adds the labels to train from, for example by a join with reviewed findings on doc_id and start.
+    Null and empty texts have no candidates, a null doc_id is kept, repeated rows count once; without labels of
+    both classes, and so for no rows, nothing is called a secret. Other columns of ``docs`` are not read.
     """
     found = written(features(docs, written(candidates(docs, path))))
     return judge(found, train(label(found)), bar)
