@@ -25,14 +25,27 @@ def read_pointer(spark: SparkSession, directory: str, number: int | None = None)
     for n in reversed(_numbers(spark, directory)) if number is None else [number]:
         pointer = f"{directory}/pointer-{n}"
         if "_SUCCESS" in _entries(spark, pointer):
-            return {r.part: r.path for r in spark.read.schema("part int, path string").parquet(pointer).collect()}
+            rows = spark.read.schema("part long, path string").parquet(pointer).where("path IS NOT NULL").collect()
+            return {r.part: r.path for r in rows}
     if any(n.startswith("data-") for n in _entries(spark, directory)):
         raise RuntimeError(f"{directory} has data but no finished pointer; remove the folder or restore its pointers")
     return {}
 
 
-def move_pointer(spark: SparkSession, directory: str, parts: list[tuple[int, str]]) -> None:
-    """Add the next pointer; two writers at once collide on its name instead of losing one's work."""
+def read_sizes(spark: SparkSession, directory: str) -> dict[int, tuple[str | None, int]]:
+    """Folder and rows per part of the current version; an empty part has no folder."""
+    read_pointer(spark, directory)  # raises if data has lost its pointer
+    for n in reversed(_numbers(spark, directory)):
+        pointer = f"{directory}/pointer-{n}"
+        if "_SUCCESS" in _entries(spark, pointer):
+            return {r.part: (r.path, r.rows) for r in spark.read.schema("part long, path string, rows long").parquet(pointer).collect()}
+    return {}
+
+
+def move_pointer(spark: SparkSession, directory: str, parts: list[tuple]) -> None:
+    """Add the next pointer from (part, path) or (part, path, rows); two writers at once collide on its name instead
+    of losing one's work."""
     number = (_numbers(spark, directory) or [0])[-1] + 1
-    rows = spark.createDataFrame(parts, "part int, path string").coalesce(1)
+    schema = "part long, path string" + (", rows long" if len(parts[0]) == 3 else "")
+    rows = spark.createDataFrame(parts, schema).coalesce(1)
     rows.write.mode("errorifexists").parquet(f"{directory}/pointer-{number}")

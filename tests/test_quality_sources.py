@@ -252,6 +252,36 @@ def test_merge_that_dies_before_its_pointer(spark, tmp_path, monkeypatch):
         upsert.merge_table(spark, str(lost), new(1), ["k"], ["a"])
 
 
+def test_merged_table_splits_the_part_that_outgrows_it(spark, tmp_path):
+    """Parts split by their rows, untouched ones stay, readers of the older version keep it."""
+    path = str(tmp_path / "t")
+    frame = lambda ids, f=1.0: spark.createDataFrame([(i, f, None) for i in ids], "k long, f double, a double")
+    merge = lambda df: upsert.merge_table(spark, path, df, ["k"], ["a"], parts=4, part_rows=50)
+    first = merge(frame(range(120)))
+    old = pointer.read_sizes(spark, path)
+    assert sorted(old) == [4, 5, 6, 7] and sum(n for _, n in old.values()) == 120
+    hot = min(old)
+    inside = [r.k for r in spark.range(4000).select(F.col("id").alias("k")).where((F.pmod(F.xxhash64("k"), F.lit(4)) == hot - 4) & (F.col("k") >= 120)).limit(300).collect()]
+    out = merge(frame(inside))
+    new = pointer.read_sizes(spark, path)
+    assert hot not in new and {p: new[p] for p in old if p != hot} == {p: old[p] for p in old if p != hot}
+    grown = {p: n for p, (_, n) in new.items() if p not in old}
+    assert len(grown) >= 8 and sum(grown.values()) == 300 + old[hot][1] and all(bin(p).endswith(bin(hot - 4)[2:].zfill(2)) for p in grown)
+    assert out.count() == 420 and out.select("k").distinct().count() == 420
+    assert first.count() == 120  # files of the older version are still there
+    # known keys keep their row, missing actuals are filled, in parts of either depth
+    filled = merge(frame(range(60), 9.0).withColumn("a", F.col("k") * 1.0))
+    assert filled.count() == 420 and filled.where("a = k AND f = 1").count() == 60
+    assert merge(frame([])).count() == 420
+    # a key of an empty part is found again
+    few = str(tmp_path / "few")
+    for ids in ([1], [2], [1, 2, 3]):
+        t = upsert.merge_table(spark, few, frame(ids), ["k"], ["a"], parts=64)
+    assert sorted(r.k for r in t.collect()) == [1, 2, 3] and len(pointer.read_sizes(spark, few)) == 64
+    with pytest.raises(ValueError, match="power of two"):
+        upsert.merge_table(spark, few, frame([1]), ["k"], ["a"], parts=3)
+
+
 def test_cluster_needs_a_shared_folder(monkeypatch):
     class Context:
         master = "spark://host:7077"
