@@ -18,7 +18,7 @@ from panelcast.llm.common import maybe_in, salted_join, written
 #: A candidate: sixteen or more signs of the kinds that keys are made of, or a run of twelve to fifteen with a digit.
 #: Equals signs belong to it as padding, not where a value follows them.
 _SIGN = r"[A-Za-z0-9_/+.\-]"
-VALUE = rf"(?:{_SIGN}{{16,}}|(?<!{_SIGN})(?={_SIGN}*[0-9]){_SIGN}{{12,15}})(?:={{1,2}}(?![A-Za-z0-9_/+.\-=]))?"
+VALUE = rf"(?<!{_SIGN})(?={_SIGN}{{12}})(?:{_SIGN}{{16,}}|(?=[A-Za-z_/+.\-]*[0-9]){_SIGN}{{12,15}})(?:={{1,2}}(?![A-Za-z0-9_/+.\-=]))?"
 BEFORE, AFTER = 48, 24  # code points of the text on either side that a candidate is judged by
 #: Words before a candidate that speak for a secret, and places that speak for or against one. Fixed values.
 KEY_WORDS = r"(?i)(token|secret|passw(or)?d|pwd|api[_-]?key|access[_-]?key|auth|credential|private)[^A-Za-z0-9]{0,12}$"
