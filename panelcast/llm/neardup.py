@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from panelcast.llm.common import components, id_and_text, maybe_in, partitions, salted_join, slices, written
 from panelcast.llm.words import shingle_sets
@@ -15,7 +16,8 @@ BANDS, ROWS, BITS = 24, 4, 4
 #: minima of 4 bits have a standard error of 0.043 there, so 0.2 of slack loses as few.
 SLACK = 0.2
 BUCKET = 2048  # a larger bucket is one candidate group without estimates: only more pairs to confirm
-BLOCK_SETS, BLOCK_SHINGLES = 2048, 1_500_000  # what one confirming task holds of a candidate group, twice
+BLOCK_SETS, BLOCK_SHINGLES = 1024, 1_500_000  # what one confirming task holds of a candidate group, at most about twice
+PIVOTS = 16  # members of a large candidate group that meet all others
 
 
 def _minima(hashes, bounds):
@@ -159,20 +161,30 @@ def candidate_links(reps: DataFrame, threshold: float) -> DataFrame:
     return rows.mapInArrow(run, "a long, b long").where("a <> b")
 
 
-def confirmed_links(docs: DataFrame, groups: DataFrame, words: int, percent: int) -> DataFrame:
-    """(a, b) of candidates whose full sets reach the threshold, a forest per confirming task.
+def _parts(n, shingles):
+    """Number of blocks that hold ``n`` sets of ``shingles`` shingles together."""
+    return F.greatest(F.ceil(n / BLOCK_SETS), F.ceil(shingles / BLOCK_SHINGLES), F.lit(1)).cast("int")
 
-    ``groups(rep, cand, n_shingles)``. A candidate group within the block bounds is one task's work; a larger
-    one is cut into blocks by hash and every two of its blocks meet in one task.
-    """
+
+def blocked(groups: DataFrame) -> DataFrame:
+    """Members of the candidate groups ``(rep, cand, n_shingles)`` with the number of blocks ``nb`` of their group, their
+    own ``blk``, and whether they are one of the PIVOTS members that visit every block."""
     sizes = groups.groupBy("cand").agg(F.count(F.lit(1)).alias("m"), F.sum("n_shingles").alias("s"))
-    blocks = F.greatest(F.ceil(F.col("m") / BLOCK_SETS), F.ceil(F.col("s") / BLOCK_SHINGLES)).cast("int").alias("nb")
-    member = salted_join(groups, sizes.select("cand", blocks), ["cand"], F.col("rep"), "inner")
-    member = written(member.select("rep", "cand", "nb", F.pmod(F.xxhash64("rep"), F.col("nb")).cast("int").alias("blk")).distinct())
+    member = salted_join(groups, sizes.select("cand", _parts(F.col("m"), F.col("s")).alias("nb")), ["cand"], F.col("rep"), "inner")
+    member = written(member.withColumn("blk", F.pmod(F.xxhash64("rep"), F.col("nb")).cast("int")))
+    order = W.partitionBy("cand").orderBy(F.xxhash64("rep", F.lit(5)), "rep")
+    pivots = member.where("nb > 1").select("cand", "rep", F.row_number().over(order).alias("_n")).where(F.col("_n") <= PIVOTS)
+    return member.join(pivots.select("rep", F.lit(True).alias("pivot")), "rep", "left").withColumn("pivot", F.coalesce("pivot", F.lit(False)))
+
+
+def confirmed_links(docs: DataFrame, member: DataFrame, words: int, percent: int) -> DataFrame:
+    """(a, b) of members whose full sets reach the threshold, a forest per confirming task.
+
+    ``member(rep, cand, tasks)``: the members of a candidate group that share one of the ``tasks`` (i, j) meet in it.
+    """
     mine = maybe_in(id_and_text(docs), "doc_id", member.select(F.col("rep").alias("doc_id")), "doc_id")
-    texts = mine.join(member, F.col("doc_id") == F.col("rep"), "inner").select("cand", "rep", "nb", "blk", "text")
-    pairs = F.transform(F.sequence(F.lit(0), F.col("nb") - 1), lambda o: F.struct(F.least(F.col("blk"), o).alias("i"), F.greatest(F.col("blk"), o).alias("j")))
-    copies = texts.withColumn("_p", F.explode(pairs)).select("cand", F.col("_p.i").alias("i"), F.col("_p.j").alias("j"), "rep", "text")
+    texts = mine.join(member, F.col("doc_id") == F.col("rep"), "inner").select("cand", "rep", "text", F.explode("tasks").alias("_t"))
+    copies = texts.select("cand", F.col("_t.i").alias("i"), F.col("_t.j").alias("j"), "rep", "text")
     rows = copies.repartition(partitions(docs.sparkSession), "cand", "i", "j").sortWithinPartitions("cand", "i", "j", "rep")
 
     def confirm(ids, sets) -> list[tuple[int, int]]:
@@ -224,6 +236,36 @@ def confirmed_links(docs: DataFrame, groups: DataFrame, words: int, percent: int
     return rows.mapInArrow(run, "a long, b long").where("a <> b")
 
 
+def linked_components(docs: DataFrame, groups: DataFrame, words: int, percent: int) -> DataFrame:
+    """(node, component) over all links of ``groups(rep, cand, n_shingles)`` that full sets confirm.
+
+    Every block of a group is one task, which the group's pivots visit as well: members of a large group of near
+    copies are joined through these, and each text is copied once and a pivot's once a block. What lies in one component by then
+    needs no further comparison; only members outside their group's largest component, the rest, still meet every
+    block. A rest that is the group itself costs all pairs of blocks; no link is lost in either case.
+    """
+    one = lambda i, j: F.struct(i.cast("int").alias("i"), j.cast("int").alias("j"))
+    every = lambda n: F.sequence(F.lit(0), n - 1)
+    member = written(blocked(groups))
+    visits = F.when(F.col("pivot"), F.transform(every(F.col("nb")), lambda i: one(i, F.lit(0)))).otherwise(F.array(one(F.col("blk"), F.lit(0))))
+    links = written(confirmed_links(docs, member.select("rep", "cand", visits.alias("tasks")), words, percent))
+    found = components(links)
+    large = member.where("nb > 1").join(found, F.col("rep") == F.col("node"), "left").withColumn("root", F.coalesce("component", "rep"))
+    roots = large.groupBy("cand", "root").agg(F.count(F.lit(1)).alias("n"))
+    main = roots.groupBy("cand").agg(F.max(F.struct("n", "root")).alias("_m")).select("cand", F.col("_m.root").alias("main"))
+    told = written(salted_join(large.select("cand", "rep", "n_shingles", "nb", "blk", "root"), main, ["cand"], F.col("rep"), "inner").withColumn("rest", F.col("root") != F.col("main")))
+    spread = told.where("rest").groupBy("cand").agg(_parts(F.count(F.lit(1)), F.sum("n_shingles")).alias("nr"))
+    asked = salted_join(told, spread, ["cand"], F.col("rep"), "inner")
+    own = F.pmod(F.xxhash64("rep", F.lit(9)), F.col("nr"))
+    meets = F.transform(every(F.col("nr")), lambda i: one(i, F.col("blk")))
+    comes = F.when(F.col("rest"), F.transform(every(F.col("nb")), lambda j: one(own, j))).otherwise(F.array().cast("array<struct<i:int,j:int>>"))
+    asked = written(asked.select("rep", "cand", F.array_union(meets, comes).alias("tasks")))
+    if asked.isEmpty():
+        return found
+    more = confirmed_links(docs, asked, words, percent)
+    return components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more))
+
+
 def near_groups(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_shingles, component_id, kept.
 
@@ -241,7 +283,7 @@ def near_groups(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame
     reps = written(reps)
     cands = components(candidate_links(reps, percent / 100)).withColumnsRenamed({"node": "rep", "component": "cand"})
     groups = reps.select("rep", "n_shingles").join(cands, "rep").groupBy("rep", "cand").agg(F.max("n_shingles").alias("n_shingles"))
-    linked = components(confirmed_links(docs, written(groups), words, percent))
+    linked = linked_components(docs, written(groups), words, percent)
     classes = reps.join(linked.withColumnRenamed("node", "rep"), "rep", "left").where("n > 1 OR component IS NOT NULL")
     classes = classes.select("set_a", "set_b", F.coalesce("component", "rep").alias("_class"))
     keyed = rows.select("doc_id", "n_shingles", "set_a", "set_b").withColumn("set_a", F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("set_a")))

@@ -60,9 +60,11 @@ def test_edges(spark):
     assert sorted((r.doc_id or 0, r.component_id or 0, r.kept) for r in neardup.near_groups(odd).collect()) == [(0, 0, True)] * 2 + [(3, 3, True)] * 2
 
 
-def test_large_groups(spark, monkeypatch):
-    """Buckets beyond their limit and groups of several blocks give the same components."""
+@pytest.mark.parametrize("pivots", [1, 3, 16])
+def test_large_groups(spark, monkeypatch, pivots):
+    """Buckets beyond their limit and groups of several blocks give the same components, whatever pivots leave."""
     monkeypatch.setattr(neardup, "BUCKET", 5)
+    monkeypatch.setattr(neardup, "PIVOTS", pivots)
     monkeypatch.setattr(neardup, "BLOCK_SETS", 7)
     base = [f"w{i}" for i in range(60)]
     docs = []
@@ -73,3 +75,30 @@ def test_large_groups(spark, monkeypatch):
         docs.append((i, " ".join(w)))
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in neardup.near_groups(spark.createDataFrame(docs, "doc_id long, text string"), words=3).collect()}
     assert got == brute(docs, 3)
+
+
+def visits(spark, monkeypatch, docs):
+    """Components, and the number of rows that each confirming step sends to its tasks."""
+    sent, plain = [], neardup.confirmed_links
+    monkeypatch.setattr(neardup, "confirmed_links", lambda d, member, *more: sent.append(member.agg(F.sum(F.size("tasks"))).first()[0]) or plain(d, member, *more))
+    rows = neardup.near_groups(spark.createDataFrame(docs, "doc_id long, text string"), words=4).collect()
+    return {r.doc_id: (r.n_shingles, r.component_id) for r in rows}, sent
+
+
+def test_near_copies_meet_pivots_only(spark, monkeypatch):
+    """In a large group of near copies every text goes to one task and a pivot's to every block: no pairs of blocks."""
+    monkeypatch.setattr(neardup, "BLOCK_SETS", 20)
+    docs = [(i, " ".join(f"own{i}" if j == i % 400 else f"w{j}" for j in range(400))) for i in range(300)]
+    got, sent = visits(spark, monkeypatch, docs)
+    assert got == brute(docs, 4) and {c for _, c in got.values()} == {0}
+    assert sent == [300 + neardup.PIVOTS * (15 - 1)]
+
+
+def test_rest_meets_every_block(spark, monkeypatch):
+    """A chain, in which a pivot knows its neighbours alone, is one component all the same."""
+    monkeypatch.setattr(neardup, "BLOCK_SETS", 10)
+    monkeypatch.setattr(neardup, "PIVOTS", 2)
+    docs = [(i, " ".join(f"w{j}" for j in range(4 * i, 4 * i + 60))) for i in range(80)]
+    got, sent = visits(spark, monkeypatch, docs)
+    assert got == brute(docs, 4) and {c for _, c in got.values()} == {0}
+    assert len(sent) == 2
