@@ -170,9 +170,9 @@ def pack(items: DataFrame, capacity: int = 4096, group: int = GROUP) -> DataFram
     hash of the row's place so that repeated rows spread, and each group is searched by itself. The items of the
     emptier half of a group's bins are dealt again, until one group holds them all; what is dealt again has at most
     half the length of the turn before, so this ends. Every sequence has its items at gapless offsets from 0. No
-    rows give no rows.
+    rows give no rows; columns of ``items`` that have the names of the new ones are replaced.
     """
-    held = written(items.withColumn("_row", F.monotonically_increasing_id()))
+    held = written(items.drop("sequence_id", "offset").withColumn("_row", F.monotonically_increasing_id()))
     other = [f for f in held.schema.fields if f.name != "_row"]
     full = held.where(F.col("length") >= capacity).select(*[f.name for f in other], F.col("_row").alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
     rest = held.where(F.col("length") < capacity)

@@ -14,7 +14,6 @@ from pyspark.sql import functions as F
 from panelcast.llm.common import worker_cache, written
 
 PER_CLASS = 15_000  # about so many labelled documents of either class fit the model
-VOCABULARY = 50_000  # weights of a model at most
 PRIOR = 0.05  # strength of the Dirichlet prior, in documents per labelled document
 LEAST_Z = 3.0
 PREFIXES = (3, 4, 5, 6, 7, 8)  # lengths of word beginnings that stand in for words the labels do not show
@@ -121,8 +120,8 @@ def _lookup(model: Model) -> Lookup:
 def word_weights(sample: DataFrame, toxic: int, clean: int) -> dict[str, float]:
     """Log-odds of words and word beginnings in toxic against clean documents (doc_id, text, toxic).
 
-    Counts are documents; the prior spreads PRIOR documents per document by overall frequency. Kept are the
-    VOCABULARY weights surest to differ from zero, of those with |z| of LEAST_Z at least.
+    Counts are documents; the prior spreads PRIOR documents per document by overall frequency. Kept is every
+    weight with |z| of LEAST_Z at least; the sample is bounded in documents, and so are these.
     """
     words = F.array_distinct(F.filter(F.split(F.lower("text"), r"[^\p{L}\p{N}]+"), lambda w: w != ""))
 
@@ -137,8 +136,7 @@ def word_weights(sample: DataFrame, toxic: int, clean: int) -> dict[str, float]:
     t, c = F.col("t") + own, F.col("c") + own
     delta = F.log(t / (toxic + prior + 0.5 - t)) - F.log(c / (clean + prior + 0.5 - c))
     rated = counts.withColumn("delta", delta).withColumn("z", F.col("delta") / F.sqrt(1 / t + 1 / c))
-    best = rated.where(F.abs("z") >= LEAST_Z).orderBy(F.desc(F.abs("z")), "term").limit(VOCABULARY)
-    return {r.term: round(r.delta, 6) for r in best.select("term", "delta").collect()}
+    return {r.term: round(r.delta, 6) for r in rated.where(F.abs("z") >= LEAST_Z).select("term", "delta").collect()}
 
 
 def _null_law(top: list[tuple[float, int]]) -> tuple[float, float]:
@@ -220,7 +218,9 @@ def score(docs: DataFrame, model: Model, column: str = "toxicity", spans: bool =
 
     With ``spans`` also ``<column>_passages``: first word, word after the last and normalised score of every
     significant passage. Each row is scored by its text alone; null counts as empty, which has no passage.
+    Columns of ``docs`` that have the names of the new ones are replaced.
     """
+    docs = docs.drop(column, *[f"{column}_passages"] * spans)
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
     place = docs.columns.index("text")
 

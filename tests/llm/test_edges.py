@@ -106,6 +106,8 @@ def test_packing(docs, empty):
         assert [o for o, _ in spans] == [sum(n for _, n in spans[:i]) for i in range(len(spans))] and sum(n for _, n in spans) <= 128
     assert sum(r.piece == 0 for r in packed) == len(ROWS)
     assert packing.pack(packing.pieces(empty, WORDS, 1)).count() == 0
+    again = packing.pack(packing.pack(packing.pieces(docs, WORDS, 1).withColumn("offset", F.lit("own"))))
+    assert again.columns.count("offset") == again.columns.count("sequence_id") == 1 and again.where("offset = 0").count() >= 1
 
 
 def equal_pieces(spark, n, length):
@@ -200,6 +202,7 @@ def test_imatch(docs, empty):
         same[t].add(r.fingerprint)
         assert 0 <= r.near_edited <= 1 and 0 <= r.near_next <= 1
     assert all(len(v) == 1 for v in same.values())
+    assert imatch.against_edits(docs).count() == len(ROWS)
     assert imatch.against_edits(empty).count() == 0 and imatch.fingerprints(docs).count() == len(ROWS)
 
 
@@ -286,6 +289,8 @@ def test_toxicity(spark, docs, empty):
     got = {r.doc_id: r for r in toxicity.score(df.withColumn("found", F.lit(1)), model, spans=True).collect()}
     assert all((got[i].toxicity >= 0.7) == (i % 5 == 0) for i in range(300))
     assert all((60, 63) == (p.first, p.after) for i in range(0, 300, 5) for p in got[i].toxicity_passages)
+    twice = toxicity.score(toxicity.score(df, model, "text_score", spans=True), model, "text_score", spans=True)
+    assert twice.columns == ["doc_id", "text", "text_score", "text_score_passages"] and {r.doc_id: r.text_score for r in twice.collect()} == {d: r.toxicity for d, r in got.items()}
     kept = toxicity.drop_toxic(docs, model)
     assert kept.columns == docs.columns and kept.count() == len(ROWS)
     assert toxicity.drop_toxic(empty, model).count() == 0
