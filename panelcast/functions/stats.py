@@ -130,8 +130,9 @@ def normal_cdf(z: pd.Series) -> pd.Series:
 
 
 def normal_sf_pair(mu: Column, sigma: Column, band: float) -> tuple[Column, Column]:
-    """CDF at the lower and upper edge of a symmetric band around zero."""
+    """CDF at the lower and upper edge of a symmetric band around zero; missing where sigma is zero."""
+    spread = F.nullif(sigma, F.lit(0.0))
     return (
-        normal_cdf((F.lit(-band) - mu) / sigma),
-        normal_cdf((F.lit(band) - mu) / sigma),
+        normal_cdf((F.lit(-band) - mu) / spread),
+        normal_cdf((F.lit(band) - mu) / spread),
     )

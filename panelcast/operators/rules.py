@@ -105,6 +105,7 @@ def expanding_ols(
 
 
 def normal_band_probs(df: DataFrame, mu: str, sigma: str, band: float = DEAD_BAND) -> DataFrame:
+    """Class probabilities of a normal change; all three are missing where ``sigma`` is zero or missing."""
     lo, hi = normal_sf_pair(F.col(mu), F.col(sigma), band)
     return df.withColumns({"p_cut": lo, "_u": hi}).withColumns(
         {"p_hold": F.col("_u") - F.col("p_cut"), "p_hike": 1.0 - F.col("_u")}

@@ -62,6 +62,22 @@ def test_normal_probabilities(spark):
     assert r[1].p_hike == pytest.approx(1.0)
 
 
+def test_normal_probabilities_without_spread_are_missing(spark):
+    df = spark.createDataFrame([(1, 0.0, 0.0), (2, 1.0, 0.0), (3, 0.0, None), (4, 0.0, 0.125)], "i int, m double, s double")
+    r = rules.normal_band_probs(df, "m", "s").orderBy("i").collect()
+    assert [(x.p_cut, x.p_hold, x.p_hike) for x in r[:3]] == [(None, None, None)] * 3
+    assert r[3].p_cut + r[3].p_hold + r[3].p_hike == pytest.approx(1.0)
+
+
+def test_estimated_rule_of_a_constant_rate(spark):
+    """A rate that never changes leaves no residual; the rows stay and have no probabilities."""
+    rng = np.random.default_rng(3)
+    df = spark.createDataFrame([("e", i, 0.0, float(a), float(b)) for i, (a, b) in enumerate(rng.normal(size=(14, 2)))], "k string, q_idx int, y double, x1 double, x2 double")
+    out = rules.normal_band_probs(rules.expanding_ols(df, K, "y", "x1", "x2", 8), "predicted_change", "residual_se").collect()
+    assert sorted(r.q_idx for r in out) == list(range(8, 14))
+    assert {(r.predicted_change, r.residual_se, r.predicted_action, r.p_cut, r.p_hold, r.p_hike) for r in out} == {(0.0, 0.0, "hold", None, None, None)}
+
+
 def test_majority_vote(spark):
     data = [("cut", "cut", "hold", "cut"), ("hike", "hold", "hold", "hike"), ("hold", "hold", "cut", "hike"), ("cut", "hike", "hike", "cut")]
     df = spark.createDataFrame(data, "band string, fixed string, logit string, probit string")
