@@ -36,6 +36,7 @@ class Settings:
     l2: float = 2.0
     bins: int = 64
     seed: int = 42
+    one_sided: bool = False  # whether training rows with only one outcome are fitted, too
 
 
 def _mix(x):
@@ -184,7 +185,8 @@ def fit(df: DataFrame, features: list[str], outcomes: list[str], block: str | No
 
     ``outcomes`` are 0/1 columns. Without ``block`` there is one fold with all rows. Rows that lack a feature or an
     outcome are not used. Which rows and features a tree sees follows from hashes of the rows and the seed. Raises
-    where a fold's training rows have only one outcome, or there are none.
+    where a fold's training rows have only one outcome, or there are none; with ``one_sided`` only where there are
+    none: trees of one outcome have no split, and each moves all rows towards it by a step.
     """
     s, folds = settings, folds or [1]
     use = df.dropna(subset=[*features, *outcomes])
@@ -196,7 +198,7 @@ def fit(df: DataFrame, features: list[str], outcomes: list[str], block: str | No
     sides = rows.agg(*[agg(F.when(F.col("_block") < k, F.col(o))).alias(f"{name}{k}{o}") for k in folds for o in outcomes for name, agg in (("a", F.min), ("b", F.max))]).first()
     for k in folds:
         for o in outcomes:
-            if sides[f"a{k}{o}"] == sides[f"b{k}{o}"]:
+            if sides[f"a{k}{o}"] == sides[f"b{k}{o}"] and not (s.one_sided and sides[f"a{k}{o}"] is not None):
                 raise ValueError(f"training rows of fold {k} have only one outcome for {o.strip('_')}")
     cuts = cut_points(rows, features, folds, s.bins)
     models = [(k, o) for k in folds for o in range(len(outcomes))]

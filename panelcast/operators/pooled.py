@@ -273,7 +273,8 @@ def _with_sides(df: DataFrame, label: str) -> DataFrame:
 def fit_ordinal_pair(df: DataFrame, features: list[str], label: str, **settings) -> Boosted:
     """Boosted-tree classifiers for "above cut" and "above hold", pooled over the panel.
 
-    ``settings`` are those of :class:`~panelcast.operators.boosting.Settings`. Raises where all labels lie on one side.
+    ``settings`` are those of :class:`~panelcast.operators.boosting.Settings`. Raises where all labels lie on one side,
+    with ``one_sided`` only where there are none.
     """
     return boosted(_with_sides(df, label), features, SIDES, settings=Settings(**settings))
 
@@ -294,7 +295,8 @@ def fit_walk_forward_pair(df: DataFrame, features: list[str], label: str, folds:
 def walk_forward_ordinal_pair(df: DataFrame, features: list[str], label: str, folds: int = 4, **settings) -> DataFrame:
     """Predictions of every row in the last ``folds`` blocks of the calendar under the pair fitted on all earlier quarters.
 
-    The quarters of the first block are only trained on. Raises where a training set has only one outcome.
+    The quarters of the first block are only trained on. Raises where a training set has only one outcome, with
+    ``one_sided`` only where it is empty.
     """
     models, rows = fit_walk_forward_pair(df, features, label, folds, **settings)
     return _combined(models.predict(rows, "fold").drop("fold"))

@@ -137,5 +137,5 @@ LEAF = "(-sign({g}) * greatest(abs({g}) - 0.1, 0) / ({h} + 2) * 0.5)"
 def boosted_stumps(spark, d):
     """One boosting round of one split for both sides of four chronological folds, whose best cuts SQL can find."""
     rows = pn.policy(spark, d).withColumn("headline", F.round("headline"))
-    out = po.walk_forward_ordinal_pair(rows, ["headline", "rate_lag1"], "actual_action", **STUMP)
+    out = po.walk_forward_ordinal_pair(rows, ["headline", "rate_lag1"], "actual_action", one_sided=True, **STUMP)
     return out.select("entity", "q_idx", "p_cut", "p_hold", "p_hike", "predicted_action")

@@ -113,3 +113,44 @@ def test_wide_features_and_missing_values(spark):
         bo.fit(df, ["a"], ["high"])
     with pytest.raises(ValueError, match="only one outcome"):
         bo.fit(df.limit(0), ["a"], ["low"])
+
+
+def test_one_outcome_is_fitted_where_asked(spark):
+    df = frame(spark, data(200)).withColumn("high", F.lit(0)).withColumn("low", F.when(F.col("block") < 2, F.lit(1)).otherwise(F.col("low")))
+    s = bo.Settings(trees=2, step=0.5, subsample=1.0, columns=1.0, one_sided=True)
+    model = bo.fit(df, ["a", "b"], ["low", "high"], "block", [2, 4], s)
+    early = model.predict(df.where("block = 2"), "block").select("p_low", "p_high").distinct().collect()
+    score = 0.0
+    for _ in range(2):  # 80 rows, each pulls the score of its one outcome up
+        p = 1 / (1 + np.exp(-score))
+        score += 0.5 * (80 * (1 - p) - 0.1) / (80 * p * (1 - p) + 2)
+    up = 1 / (1 + np.exp(-score))
+    assert len(early) == 1 and (early[0].p_low, early[0].p_high) == (pytest.approx(up, abs=1e-6), pytest.approx(1 - up, abs=1e-6))
+    assert all(set(t) == {1} for t in model.trees[0] + model.trees[1] + model.trees[3])  # no split
+    assert model.predict(df.where("block = 4"), "block").select("p_low").distinct().count() > 1
+    with pytest.raises(ValueError, match="only one outcome"):  # no rows at all
+        bo.fit(df, ["a"], ["low"], "block", [0], s)
+
+
+def still_rate(spark, folder):
+    """A lineitem table whose rates never change, so that all labels are "hold"; the SQL's view of it."""
+    lines = [("AN"[i % 2], "F", 10 + i * 7 % 31, 900.0 + i, 0.05, (i * 5 % 9) / 100, i // 12) for i in range(240)]
+    rows = spark.createDataFrame(lines, "l_returnflag string, l_linestatus string, l_quantity int, l_extendedprice double, l_discount double, l_tax double, n int")
+    rows.withColumn("l_quantity", F.col("l_quantity").cast("double")).withColumn("l_shipdate", F.expr("add_months(DATE'1995-01-15', 3 * n)")).drop("n").coalesce(1).write.parquet(f"{folder}/lineitem.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW lineitem AS SELECT * FROM '{folder}/lineitem.parquet/*.parquet'")
+    return con
+
+
+def same_as_sql(spark, con, name, folder):
+    import check_oracle
+
+    from panelcast.plans import ORACLE, QUERIES
+
+    problem, n, _ = check_oracle.compare(spark, con, name, QUERIES[name], ORACLE.get(name), str(folder))
+    assert problem is None
+    return n
+
+
+def test_stumps_of_a_still_rate(spark, tmp_path):
+    assert same_as_sql(spark, still_rate(spark, tmp_path), "boosted_stumps", tmp_path) == 24
