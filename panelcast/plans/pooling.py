@@ -109,7 +109,7 @@ def net_against_mean(spark, d):
 def ordinal_pair_sums(spark, d):
     """One pair fitted on all rows: each of them has three probabilities that add up to one, and the class is the likeliest."""
     rows = pn.policy(spark, d)
-    p = po.predict_ordinal_pair(po.fit_ordinal_pair(rows, ["headline", "activity", "rate_lag1"], "actual_action"), rows)
+    p = po.predict_ordinal_pair(po.fit_ordinal_pair(rows, ["headline", "activity", "rate_lag1"], "actual_action", one_sided=True), rows)
     three = [F.col(c) for c in ("p_cut", "p_hold", "p_hike")]
     proper = (F.abs(sum(three[1:], three[0]) - 1) < 1e-9) & (F.least(*three) >= 0)
     named = F.when(F.col("predicted_action") == "cut", three[0]).when(F.col("predicted_action") == "hike", three[2]).otherwise(three[1])

@@ -154,3 +154,7 @@ def same_as_sql(spark, con, name, folder):
 
 def test_stumps_of_a_still_rate(spark, tmp_path):
     assert same_as_sql(spark, still_rate(spark, tmp_path), "boosted_stumps", tmp_path) == 24
+
+
+def test_pair_sums_of_a_still_rate(spark, tmp_path):
+    assert same_as_sql(spark, still_rate(spark, tmp_path), "ordinal_pair_sums", tmp_path) == 2
