@@ -372,7 +372,7 @@ def nonzero_coefficients(spark, d):
 @query("ordinal_tree_pair")
 def ordinal_tree_pair(spark, d):
     """Two boosted-tree classifiers on cumulative classes, combined ordinally; later rows under fits of earlier quarters."""
-    out = po.walk_forward_ordinal_pair(staged(pn.policy(spark, d)), ["headline", "activity", "rate_lag1"], "actual_action")
+    out = po.walk_forward_ordinal_pair(staged(pn.policy(spark, d)), ["headline", "activity", "rate_lag1"], "actual_action", one_sided=True)
     return out.select("entity", "q_idx", "actual_action", "predicted_action", "p_cut", "p_hold", "p_hike")
 
 

@@ -158,3 +158,12 @@ def test_stumps_of_a_still_rate(spark, tmp_path):
 
 def test_pair_sums_of_a_still_rate(spark, tmp_path):
     assert same_as_sql(spark, still_rate(spark, tmp_path), "ordinal_pair_sums", tmp_path) == 2
+
+
+def test_tree_pair_of_a_still_rate(spark, tmp_path):
+    from panelcast.plans import QUERIES
+
+    still_rate(spark, tmp_path)
+    out = QUERIES["ordinal_tree_pair"](spark, str(tmp_path)).collect()
+    assert len(out) == 24 and {(r.actual_action, r.predicted_action) for r in out} == {("hold", "hold")}
+    assert all(r.p_hold > 0.5 and r.p_cut + r.p_hold + r.p_hike == pytest.approx(1.0, abs=3e-6) for r in out)
