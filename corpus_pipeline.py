@@ -34,7 +34,7 @@ def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of what is left, placed in sequences."""
-    own = packing.pieces(docs, tokenizer("word_bpe_49k.json"), end_id=1)
+    own = packing.pieces(docs, tokenizer("word_bpe_49k.json"), end_id=1, lean=True)
     return packing.pack(own).select("doc_id", "piece", "start", F.col("length").cast("long").alias("length"), "ids_crc32", "sequence_id", "offset")
 
 

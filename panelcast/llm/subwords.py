@@ -9,6 +9,8 @@ from panelcast.llm.common import worker_cache
 #: Words a worker remembers, in two generations of half that number each: about 110 MB at most.
 REMEMBERED = 900_000
 MAX_WORD = 256  # longer words are not remembered
+AT_ONCE = 20_000  # new words handed to the tokenizer together
+LEAN = (200_000, 2_000)  # the two for executors short of memory: less of it, more time
 
 
 #: Signs that end a word as a token of their own after a letter; an apostrophe does not always.
@@ -25,7 +27,8 @@ class WordEncoder:
     and an old generation, the older one forgotten when the younger is full.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, remembered: int | None = None, at_once: int = AT_ONCE):
+        self.remembered, self.at_once = remembered or REMEMBERED, at_once
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -68,8 +71,8 @@ class WordEncoder:
                     young[w] = seen
                 else:
                     unseen.append(w)
-        for i in range(0, len(unseen), 20_000):
-            some = unseen[i : i + 20_000]
+        for i in range(0, len(unseen), self.at_once):
+            some = unseen[i : i + self.at_once]
             for w, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False)):
                 young[w] = array("I", e.ids).tobytes()
         for i in miss:
@@ -78,7 +81,7 @@ class WordEncoder:
         for w in unseen:
             if len(w) > MAX_WORD:
                 del young[w]
-        if len(young) > REMEMBERED // 2:
+        if len(young) > self.remembered // 2:
             self.old, self.young = young, {"": b""}
         return out
 
@@ -110,9 +113,9 @@ class WordEncoder:
         return ids, np.concatenate([[0], ends[last]])
 
 
-def word_encoder(path: str) -> WordEncoder:
-    """The worker's encoder of a tokenizer file."""
+def word_encoder(path: str, lean: bool = False) -> WordEncoder:
+    """The worker's encoder of a tokenizer file; a lean one remembers fewer words."""
     cache = worker_cache("word_encoders")
-    if path not in cache:
-        cache[path] = WordEncoder(path)
-    return cache[path]
+    if (path, lean) not in cache:
+        cache[path, lean] = WordEncoder(path, *LEAN) if lean else WordEncoder(path)
+    return cache[path, lean]

@@ -54,3 +54,20 @@ def test_forgetting_changes_nothing(whole, monkeypatch):
     for _ in range(10):
         texts = [" ".join(f"w{rnd.randint(0, 60)}{rnd.choice('.,! ')}" for _ in range(9)) + " " + "y" * 300 for _ in range(5)]
         assert encoded(encoder, texts) == whole(texts)
+
+
+def test_lean_pieces_are_the_same(spark, whole, monkeypatch):
+    from panelcast.llm import packing, subwords
+
+    rnd = random.Random(11)
+    texts = [" ".join("".join(rnd.choices("abcdeİ", k=rnd.randint(1, 9))) for _ in range(rnd.choice([0, 3, 6000]))) for _ in range(40)] + [None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    some = [sorted(map(tuple, packing.pieces(docs, PATH, end_id=1, lean=lean).collect())) for lean in (False, True)]
+    assert some[0] == some[1] and sum(r[3] for r in some[1]) == sum(len(x) + 1 for x in whole(texts))
+    monkeypatch.setattr(subwords, "LEAN", (40, 3))
+    monkeypatch.setattr(subwords, "worker_cache", lambda name, kept={}: kept)
+    lean = subwords.word_encoder(PATH, lean=True)
+    assert lean is subwords.word_encoder(PATH, lean=True) and lean is not subwords.word_encoder(PATH)
+    for t in texts[:-1]:
+        assert encoded(lean, [t[:200]]) == whole([t[:200]])
+        assert len(lean.young) <= 20 and len(lean.old) <= 20 + 60
